@@ -79,6 +79,13 @@ def byte_texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[int,
         yield at, column.slice(at, CHUNK_ROWS).cast(pa.binary()).to_pylist()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts can be long: unless the session has its own setting, hand Python 1,000 rows at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` of a function from one batch to columns, called a batch at a time."""
 
@@ -87,4 +94,5 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
             if batch.num_rows:
                 yield from fn(batch)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

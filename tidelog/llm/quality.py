@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bounded_sample, byte_texts, map_arrow
+from tidelog.llm.common import bounded_sample, byte_texts, map_arrow, small_batches
 
 #: Statistics a forest sees, each with its constraint: -1 means that more of it never raises quality.
 STATISTICS = {
@@ -320,6 +320,7 @@ def judge(docs: DataFrame, forest: Forest | None, threshold: float = 0.5) -> Dat
 def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = 10_000) -> DataFrame:
     """The documents that the rules keep, with all their columns.  Needs no join: rows are filtered as they pass."""
     forest = fit_quality(docs, labels, max_rows)
+    small_batches(docs.sparkSession)
     names = docs.columns
     at = names.index("text")
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
