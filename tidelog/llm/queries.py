@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import attribution, decontam, quality, simhash, toxicity
+from tidelog.llm import attribution, decontam, quality, simhash, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,12 +38,17 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
+    "op6_substring_dedup": op6_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
@@ -60,3 +65,17 @@ WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') A
 SELECT doc_id, item_id, n_item_shingles, n_shared, n_shared::DOUBLE / n_item_shingles AS containment
 FROM m JOIN n USING (item_id) WHERE 10 * n_shared >= 8 * n_item_shingles
 """
+
+ORACLES["op6_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     x AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h
+           FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+     r AS (SELECT h FROM x GROUP BY h HAVING count(*) > 1),
+     c AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM x SEMI JOIN r USING (h))),
+     l AS (SELECT doc_id, list(p) AS ps FROM c GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN ps IS NULL THEN w
+         ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: NOT list_contains(ps, z[2])),
+                             lambda z: z[1]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN l USING (doc_id)
+"""
