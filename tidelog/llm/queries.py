@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import attribution, decontam, langid, packing, quality, sharding, simhash, substring, toxicity
+from tidelog.llm import attribution, decontam, langid, packing, quality, sharding, simhash, substring, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,16 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit_language(docs))
 
 
+#: As they come: the verdict and where it holds.
+URL_RULES = ["allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/"]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [urlfilter.Rule.parse(r) for r in URL_RULES]
+    found = urlfilter.judge(_table(spark, sf_dir, "pages"), rules)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
@@ -68,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLES: dict[str, str] = {}
@@ -98,3 +109,50 @@ SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed,
                              lambda z: z[1]) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN l USING (doc_id)
 """
+
+
+def _level(width: int) -> str:
+    """SQL of the counts and the smoothed probabilities of one context length."""
+    shorter = f"right(t.c, {width - 1}) = q.c AND t.s = q.s" if width > 1 else "t.s = q.s"
+    return f"""
+     t{width} AS (SELECT *, sum(a) OVER w AS na, sum(b) OVER w AS nb,
+                         count(*) FILTER (a > 0) OVER w AS da, count(*) FILTER (b > 0) OVER w AS db
+                  FROM (SELECT right(c, {width}) AS c, s, sum(a) AS a, sum(b) AS b FROM cnt GROUP BY ALL)
+                  WINDOW w AS (PARTITION BY c)),
+     p{width} AS (SELECT t.c, t.s, CASE WHEN na > 0 THEN (a + da * pa) / (na + da) ELSE pa END AS pa,
+                         CASE WHEN nb > 0 THEN (b + db * pb) / (nb + db) ELSE pb END AS pb
+                  FROM t{width} t JOIN p{width - 1} q ON {shorter}),"""
+
+
+ORACLES["op10_url_filter"] = rf"""
+WITH rules(rule, rhost, rpath, v) AS (VALUES ('com/', 'com', '/', 'allow'),
+       ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),
+       ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
+     x AS (SELECT page_id, url AS u, coalesce(contains(url, '://'), false) AS known,
+                  substr(url, strpos(url, '://') + 3) AS rest FROM pages),
+     y AS (SELECT page_id, u, CASE WHEN known THEN translate(regexp_extract(rest, '^([^/?#]*)', 1),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+                  CASE WHEN known THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM x),
+     j AS (SELECT page_id, u, host, path, max_by(rule, length(rule)) AS rule, max_by(v, length(rule)) AS ruled
+           FROM y LEFT JOIN rules ON starts_with(path, rpath) AND (host = rhost OR ends_with(host, '.' || rhost))
+           GROUP BY ALL),
+     urls AS (SELECT u, count(*) FILTER (ruled = 'allow')::DOUBLE AS a, count(*) FILTER (ruled = 'block')::DOUBLE AS b
+              FROM j WHERE u IS NOT NULL GROUP BY u),
+     g AS (SELECT u, a, b, substr(t, i, 3) AS c, substr(t, i + 3, 1) AS s
+           FROM (SELECT u, a, b, t, unnest(range(1, length(t) - 2)) AS i
+                 FROM (SELECT *, repeat(chr(2), 3) || translate(lower(u), '123456789', '000000000') AS t FROM urls))),
+     cnt AS (SELECT c, s, sum(a) AS a, sum(b) AS b FROM g GROUP BY ALL),
+     t0 AS (SELECT s, sum(a) AS a, sum(b) AS b FROM cnt GROUP BY s),
+     z AS (SELECT sum(a) AS na, sum(b) AS nb, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM t0),
+     p0 AS (SELECT '' AS c, s, (a + da / 256) / (na + da) AS pa, (b + db / 256) / (nb + db) AS pb FROM t0, z),
+     {"".join(_level(w) for w in (1, 2, 3)).strip()}
+     sc AS (SELECT u, round(avg(ln(pa) - ln(pb)), 9) AS score FROM g JOIN p3 USING (c, s) GROUP BY u),
+     st AS (SELECT floor(coalesce(score, 0) / 0.01)::BIGINT AS step, sum(a) AS a, sum(b) AS b
+            FROM urls LEFT JOIN sc USING (u) WHERE a + b > 0 GROUP BY ALL),
+     cal AS (SELECT step, round(coalesce(sum(b) OVER below, 0) / sum(b) OVER () - coalesce(sum(a) OVER below, 0) / sum(a) OVER (), 9) AS fit
+             FROM st WINDOW below AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+     th AS (SELECT step * 0.01::DOUBLE AS at FROM cal ORDER BY fit DESC, step LIMIT 1)
+SELECT page_id, host, path, rule,
+       coalesce(ruled, CASE WHEN coalesce(score, 0) >= (SELECT at FROM th) THEN 'allow' ELSE 'block' END) AS verdict
+FROM j LEFT JOIN sc USING (u)
+"""
