@@ -151,8 +151,8 @@ WITH rules(rule, rhost, rpath, v) AS (VALUES ('com/', 'com', '/', 'allow'),
             FROM urls LEFT JOIN sc USING (u) WHERE a + b > 0 GROUP BY ALL),
      cal AS (SELECT step, round(coalesce(sum(b) OVER below, 0) / sum(b) OVER () - coalesce(sum(a) OVER below, 0) / sum(a) OVER (), 9) AS fit
              FROM st WINDOW below AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-     th AS (SELECT step * 0.01::DOUBLE AS at FROM cal ORDER BY fit DESC, step LIMIT 1)
+     th AS (SELECT step * 0.01::DOUBLE AS cut FROM cal ORDER BY fit DESC, step LIMIT 1)
 SELECT page_id, host, path, rule,
-       coalesce(ruled, CASE WHEN coalesce(score, 0) >= (SELECT at FROM th) THEN 'allow' ELSE 'block' END) AS verdict
+       coalesce(ruled, CASE WHEN coalesce(score, 0) >= (SELECT cut FROM th) THEN 'allow' ELSE 'block' END) AS verdict
 FROM j LEFT JOIN sc USING (u)
 """
