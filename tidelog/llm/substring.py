@@ -4,14 +4,21 @@ A window whose word sequence also starts anywhere else, in this document or
 another, is repeated; the words that repeated windows cover go, as maximal
 intervals.  Windows are judged on the input.
 
-Every window has a rolling hash.  Shuffling all of them would move several
-times the input, so windows are first pre-aggregated by their anchor, the least
-mixed Rabin-Karp hash among the 8-word grams inside: equal windows have equal
-anchors, neighbouring windows mostly share one, and a window whose anchor
-occurs once cannot be repeated.  Only windows with repeated anchors are hashed
-again (two moduli) and counted one by one.  Texts of 35 words or more that are
-equal word for word are repeated throughout; one of them stands for all when
-anchors and windows are counted.
+Shuffling a hash for every window would move several times the input, so
+windows are aggregated before they are shuffled.  A window's anchor is the
+leftmost least of the mixed Rabin-Karp hashes of the 8-word grams inside it.
+Equal windows have equal anchors, and neighbours mostly share one; the
+neighbouring windows on one anchor are a run.  A run travels as its anchor and
+one rolling hash (two moduli) of all its words:
+
+* an anchor that occurs once has no repeated window;
+* runs of the same words are repeated throughout, window by window;
+* only where runs on one anchor differ do their windows travel one by one, one
+  run of each kind, and are counted by their own hashes.
+
+Rows that agree within a batch are counted there: the first carries the count,
+the others are proven and spread over all tasks, so a passage that a third of
+the documents share does not meet in one task.
 
 Defined results: null and empty texts have no words; texts of fewer than 35
 words lose nothing; rows that repeat are copies of each other; null doc_ids are
@@ -28,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,10 +76,15 @@ class RollingHash:
         n = len(codes) - width + 1
         if n < 1:
             return np.empty(0, np.uint64)
+        begin = np.arange(n)
+        return self.spans(codes, begin, begin + width)
+
+    def spans(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the spans [begin, end)."""
         self._grow(len(codes) + 1)
         prefix = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(codes * self.down[: len(codes)], out=prefix[1:])
-        return (prefix[width:] - prefix[:n]) * self.up[width - 1 : width - 1 + n]
+        return (prefix[end] - prefix[begin]) * self.up[end - 1]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -110,115 +123,138 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"])
 
 
-def repeated_starts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, key and ``starts``: where the repeated windows of each document that has any begin, in words."""
-
-    def outline(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        codes_of, roll = _Codes(), RollingHash(BASES[0])
-        counts, digests, values = [], [], []
-        for _, texts in byte_texts(batch):
-            for text in texts:
+def _counted_here(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Counts equal rows of a batch before they are shuffled: the keys, and the count of each row.
+
+    The first of equal rows carries their count.  The others are proven
+    repeated; they get keys of their own, spread evenly, and the count 2.
+    """
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        x = k[order]
+        new[1:] |= x[1:] != x[:-1]
+    starts = np.flatnonzero(new)
+    n = np.full(len(order), 2, np.int64)
+    n[order[starts]] = np.diff(np.append(starts, len(order)))
+    rest, found = order[~new], []
+    salt = np.arange(len(rest), dtype=np.uint64) * np.uint64(BASES[1])
+    for i, k in enumerate(keys):
+        k = k.copy()
+        k[rest] = _mix(k[rest] + salt * np.uint64(2 * i + 1))
+        found.append(k)
+    return found, n
+
+
+def _codes(words: list[bytes], memory: _Codes) -> np.ndarray:
+    return np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
+
+
+def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """doc_id, key and ``spans`` of every document that has repeated windows.
+
+    A span (start, n) stands for the n windows that begin at the words start, start + 1, ...
+    ``keyed`` has doc_id, key and text.
+    """
+
+    def runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        memory, rolls = _Codes(), [RollingHash(b) for b in BASES]
+        found: list[list[np.ndarray]] = [[] for _ in range(6)]
+        for first, texts in byte_texts(batch):
+            for i, text in enumerate(texts, first):
                 words = (text or b"").split()
-                counts.append(len(words))
                 if len(words) < window:
-                    digests.append(None)
-                    values.append(np.empty(0, np.int64))
                     continue
-                digests.append(sha256(b" ".join(words)).digest())
-                codes = np.fromiter(map(codes_of.__getitem__, words), np.uint64, len(words))
-                at, value = anchors(codes, roll, window, gram)
-                at = np.unique(at, return_index=True)[1]
-                kind, times = np.unique(value[at], return_counts=True)
-                values.append(np.repeat(kind, np.minimum(times, 2)).view(np.int64))
-        offsets = pa.array(np.concatenate([[0], np.cumsum([len(v) for v in values])]), pa.int32())
-        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values)))
+                codes = _codes(words, memory)
+                at, value = anchors(codes, rolls[0], window, gram)
+                begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                n = np.diff(np.append(begin, len(at)))
+                end = begin + n + window - 1
+                hashes = [r.spans(codes, begin, end) for r in rolls]
+                for part, x in zip(found, (np.full(len(n), i), begin, n, value[begin], *hashes), strict=True):
+                    part.append(x)
+        if not found[0]:
+            return
+        owner, begin, n, anchor, one, two = (np.concatenate(x) for x in found)
+        (anchor, one, two), count = _counted_here(anchor, one, two)
+        owner = pa.array(owner)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("key"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists],
-            names=["doc_id", "key", "n_words", "digest", "anchors"],
-        )
-
-    keyed = _keyed(docs)
-    outlines = materialize(
-        map_arrow(keyed, outline, "doc_id long, key long, n_words long, digest binary, anchors array<long>").where(
-            "digest is not null"
-        ),
-        "outlines",
-    )
-    classes = outlines.groupBy("digest").agg(
-        F.count("*").alias("copies"), F.min(F.struct(F.coalesce("doc_id", F.lit(0)), "key")).alias("best")
-    )
-    classes = materialize(classes.where("copies > 1"), "classes")
-    copies = outlines.select("doc_id", "key", "n_words", "digest").join(classes.select("digest"), "digest", "left_semi")
-    idle = (
-        copies.join(classes, "digest")
-        .where(F.struct(F.coalesce("doc_id", F.lit(0)), "key") != F.col("best"))
-        .select("doc_id", "key")
-    )
-    alone = outlines.join(idle, _same(outlines, idle), "left_anti")
-    each = alone.select("doc_id", "key", F.explode("anchors").alias("anchor"))
-    twice = each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    near = (
-        each.join(twice, "anchor")
-        .groupBy("doc_id", "key")
-        .agg(F.collect_set("anchor").alias("anchors"))
-    )
+            [
+                batch.column("doc_id").take(owner), batch.column("key").take(owner),
+                pa.array(begin.astype(np.int32)), pa.array(n.astype(np.int32)),
+                *[pa.array(x.view(np.int64)) for x in (anchor, one, two)], pa.array(count),
+            ],
+            names=["doc_id", "key", "start", "n", "anchor", "h1", "h2", "count"],
+        )
 
-    def hashed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        codes_of, rolls = _Codes(), [RollingHash(b) for b in BASES]
-        owner, start, one, two = [], [], [], []
-        lists = batch.column("anchors")
+    def windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        memory, rolls = _Codes(), [RollingHash(b) for b in BASES]
+        found: list[list[np.ndarray]] = [[] for _ in range(5)]
+        lists = batch.column("runs")
         for first, texts in byte_texts(batch):
             for i, text in enumerate(texts, first):
-                words = (text or b"").split()
-                codes = np.fromiter(map(codes_of.__getitem__, words), np.uint64, len(words))
-                _, value = anchors(codes, rolls[0], window, gram)
-                repeated = np.array(lists[i].values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
-                s = np.flatnonzero(np.isin(value, repeated))
-                owner.append(np.full(len(s), i))
-                start.append(s)
-                one.append(rolls[0](codes, window)[s])
-                two.append(rolls[1](codes, window)[s])
-        owner = pa.array(np.concatenate(owner))
+                codes = _codes((text or b"").split(), memory)
+                start, n, single = (lists[i].values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                s = np.concatenate([np.arange(a, a + k) for a, k in zip(start.tolist(), n.tolist(), strict=True)])
+                hashes = [r.spans(codes, s, s + window) for r in rolls]
+                for part, x in zip(found, (np.full(len(s), i), s, np.repeat(single, n), *hashes), strict=True):
+                    part.append(x)
+        owner, start, single, one, two = (np.concatenate(x) for x in found)
+        (one, two), count = _counted_here(one, two)
+        owner = pa.array(owner)
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id").take(owner), batch.column("key").take(owner),
-                pa.array(np.concatenate(start).astype(np.int32)),
-                pa.array(np.concatenate(one).view(np.int64)), pa.array(np.concatenate(two).view(np.int64)),
+                batch.column("doc_id").take(owner), batch.column("key").take(owner), pa.array(start.astype(np.int32)),
+                pa.array(single.astype(bool)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(count),
             ],
-            names=["doc_id", "key", "start", "h1", "h2"],
+            names=["doc_id", "key", "start", "single", "h1", "h2", "count"],
         )
 
-    joined = keyed.join(near, _same(keyed, near)).select(keyed["doc_id"], keyed["key"], "text", "anchors")
-    windows = materialize(
-        map_arrow(joined, hashed, "doc_id long, key long, start int, h1 long, h2 long"), "windows"
+    rows = map_arrow(
+        keyed, runs, "doc_id long, key long, start int, n int, anchor long, h1 long, h2 long, count long"
     )
-    counted = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    found = windows.join(counted, ["h1", "h2"]).groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
-    throughout = copies.select(
-        "doc_id", "key", F.sequence(F.lit(0), (F.col("n_words") - window).cast("int")).alias("starts")
-    ).distinct()
-    partly = found.join(throughout, _same(found, throughout), "left_anti")
-    return partly.union(throughout)
-
-
-def intervals(starts: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Maximal intervals [start, end) of words that the windows cover."""
-    if not len(starts):
-        return []
-    s = np.sort(starts)
-    new = np.concatenate([[True], s[1:] > s[:-1] + window])
-    last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(s) - 1]])
-    return list(zip(s[new].tolist(), (s[last] + window).tolist(), strict=True))
+    same, kind = W.partitionBy("anchor"), W.partitionBy("anchor", "h1", "h2")
+    counted = rows.select(
+        "doc_id", "key", "start", "n",
+        F.sum("count").over(kind).alias("copies"),
+        F.row_number().over(kind.orderBy("doc_id", "key", "start")).alias("rank"),
+        F.sum("count").over(same).alias("all"),
+        (F.min(F.struct("h1", "h2")).over(same) != F.max(F.struct("h1", "h2")).over(same)).alias("differ"),
+    )
+    shared = materialize(counted.where("all > 1").drop("all"), "runs")
+    asked = (
+        shared.where("differ and rank = 1")
+        .groupBy("doc_id", "key")
+        .agg(F.collect_list(F.struct("start", "n", (F.col("copies") == 1).alias("single"))).alias("runs"))
+    )
+    joined = keyed.join(asked, _same(keyed, asked)).select(keyed["doc_id"], keyed["key"], "text", "runs")
+    each = map_arrow(
+        joined, windows, "doc_id long, key long, start int, single boolean, h1 long, h2 long, count long"
+    )
+    times = each.withColumn("times", F.sum("count").over(W.partitionBy("h1", "h2"))).where("times > 1 and single")
+    found = shared.where("copies > 1").select("doc_id", "key", "start", "n").union(
+        times.select("doc_id", "key", "start", F.lit(1).alias("n"))
+    )
+    return found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
-def _judged(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"))
-    starts = materialize(repeated_starts(docs, window, gram), "starts")
-    return keyed.join(starts, _same(keyed, starts), "left").select("row", keyed["doc_id"], "starts")
+def intervals(start: np.ndarray, n: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
+    """Maximal intervals [start, end) of words that the spans' windows cover."""
+    if not len(start):
+        return []
+    order = np.argsort(start, kind="stable")
+    begin, end = start[order], np.maximum.accumulate((start + n + window - 1)[order])
+    new = np.concatenate([[True], begin[1:] > end[:-1]])
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(begin) - 1)
+    return list(zip(begin[new].tolist(), end[last].tolist(), strict=True))
 
 
-def _starts(lists: pa.ListArray, i: int) -> np.ndarray:
-    return np.array(lists[i].values.to_numpy(zero_copy_only=False)) if lists[i].is_valid else np.empty(0, np.int32)
+def _cut(lists: pa.ListArray, i: int, window: int) -> list[tuple[int, int]]:
+    if not lists[i].is_valid:
+        return []
+    own = lists[i].values
+    return intervals(*(own.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1)), window)
 
 
 def digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -230,7 +266,7 @@ def digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
             for i, text in enumerate(texts, first):
                 words = (text or b"").split()
                 counts.append(len(words))
-                cut = intervals(_starts(batch.column("starts"), i), window)
+                cut = _cut(batch.column("spans"), i, window)
                 for a, b in reversed(cut):
                     del words[a:b]
                 removed.append(sum(b - a for a, b in cut))
@@ -240,9 +276,10 @@ def digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
             names=["doc_id", "n_words", "n_removed", "kept_sha256"],
         )
 
-    rows = _judged(docs.select("doc_id", "text"), window, gram).select(
-        "doc_id", F.col("row.text").cast("string").alias("text"), "starts"
-    )
+    keyed = _keyed(docs)
+    spans = repeated_spans(keyed, window, gram)
+    # the texts are dealt out once: this join and the one for the windows read the same exchange
+    rows = keyed.join(spans, _same(keyed, spans), "left").select(keyed["doc_id"], "text", "spans")
     return map_arrow(rows, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -266,12 +303,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         found = []
         for first, texts in byte_texts(batch):
             for i, text in enumerate(texts, first):
-                cut = intervals(_starts(batch.column("starts"), i), window)
+                cut = _cut(batch.column("spans"), i, window)
                 found.append(cut_text(text, cut) if cut and text is not None else text)
         column = pa.array(found, pa.binary()).cast(pa.string())
         yield pa.RecordBatch.from_arrays([batch.column("row"), column], names=["row", "cut"])
 
-    judged = _judged(docs, window, gram).select("row", F.col("row.text").cast("string").alias("text"), "starts")
+    others = [c for c in docs.columns if c != "text"]
+    keyed = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), F.col("text").cast("string").alias("text"),
+        F.struct(*others).alias("row"),
+    )
+    spans = repeated_spans(keyed, window, gram)
+    judged = keyed.join(spans, _same(keyed, spans), "left").select("row", "text", "spans")
     schema = T.StructType([judged.schema["row"], T.StructField("cut", T.StringType())])
     done = map_arrow(judged, run, schema)
     columns = []
