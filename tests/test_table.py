@@ -1,0 +1,257 @@
+import json
+
+import pytest
+
+from tidelog.errors import (
+    AlreadyExistsError,
+    BelowRetentionError,
+    ClosedError,
+    CorruptionError,
+    InvalidArgumentError,
+    NotFoundError,
+    ReadOnlyError,
+    SchemaMismatchError,
+)
+from tidelog.schema import TableSchema, column
+from tidelog.sources import export, manifest
+from tidelog.sources.mirror import Mirror
+from tidelog.sources.replica import Replica
+from tidelog.sources.sqlfeed import lower_bound, select_changes
+from tidelog.sources.storage import Storage
+from tidelog.sources.table import KeyedTable, Options
+
+SCHEMA = TableSchema("t", (column("id", "long", nullable=False), column("v", "long")), ("id",))
+QUIET = Options(compact_after=0)
+
+
+@pytest.fixture
+def table(spark, tmp_path):
+    return KeyedTable.open(spark, f"{tmp_path}/t", SCHEMA, QUIET)
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def feed(table, since=0):
+    return [(r.seq, r.op, r.id, r.v) for r in table.changes(since).orderBy("seq").collect()]
+
+
+def test_crud(table):
+    assert table.read_seq() == 0 and rows(table.scan()) == [] and table.get(1) is None
+    assert table.put({"id": 1, "v": 10}) == 1
+    assert table.put_batch([{"id": 2, "v": 20}, {"id": 3}]) == 2
+    assert table.delete(2) == 4 and table.read_seq() == 4
+    assert table.put_batch([]) == 4
+    assert rows(table.scan()) == [(1, 10), (3, None)]
+    assert tuple(table.get(1)) == (1, 10) and table.get(2) is None and tuple(table.get(2, as_of=3)) == (2, 20)
+    assert rows(table.scan(2, 4)) == [(3, None)] and rows(table.scan((1,), (3,))) == [(1, 10)]
+    assert table.apply_batch([("put", {"id": 9, "v": 999}), ("delete", (9,))]) == 5
+    assert feed(table, 4) == [(5, "INSERT", 9, 999), (6, "DELETE", 9, 999)]
+
+
+def test_one_bad_row_refuses_the_batch(table):
+    with pytest.raises(SchemaMismatchError):
+        table.put_batch([{"id": 1, "v": 1}, {"id": None}])
+    with pytest.raises(InvalidArgumentError):
+        table.delete(1, 2)
+    assert table.read_seq() == 0
+
+
+def test_results_do_not_depend_on_merging(spark, table, tmp_path):
+    for k in range(3):
+        table.apply_batch([("put", {"id": i, "v": k}) if (i + k) % 2 == 0 else ("delete", (i,)) for i in range(20)])
+    scan, changes, old = rows(table.scan()), feed(table), rows(table.scan(as_of=25))
+    assert table.compact() and not table.compact()
+    assert (rows(table.scan()), feed(table), rows(table.scan(as_of=25))) == (scan, changes, old)
+    table.put({"id": 1, "v": 7})
+    assert tuple(table.get(1)) == (1, 7) and rows(table.scan(as_of=60)) == scan
+    again = KeyedTable.open(spark, f"{tmp_path}/t")
+    assert again.read_seq() == 61 and rows(again.scan()) == rows(table.scan())
+    levels = again.stats()["levels"]
+    assert levels[1]["rows"] == levels[1]["live_rows"] == len(scan) and levels[0]["rows"] == 61
+    assert {r.level: r.rows for r in again.level_table().collect()} == {0: 61, 1: len(scan)}
+    assert table.superseded_positions().count() == 61 - 20
+
+
+def test_batches_as_frames(spark, table):
+    df = spark.range(1000).selectExpr("id % 100 AS id", "id AS v", "id AS at", "CAST(id % 7 <> 0 AS INT) AS op")
+    assert table.write(df.repartition(5), order_by=["at"], op="op") == 1
+    assert table.read_seq() == 1000
+    assert [r.v for r in table.operations().where("op = 1").orderBy("seq").collect()] == [i for i in range(1000) if i % 7]
+    assert [r.seq for r in table.operations().orderBy("seq").collect()] == list(range(1, 1001))
+    with pytest.raises(SchemaMismatchError):
+        table.write(spark.createDataFrame([(None, 1, 1)], "id long, v long, at long"), order_by=["at"])
+    with pytest.raises(SchemaMismatchError):
+        table.write(spark.createDataFrame([("x", 1)], "id string, v long"), order_by=["v"])
+    with pytest.raises(SchemaMismatchError):
+        table.write(spark.createDataFrame([(1, 1, 1)], "id long, v long, w long"), order_by=["v"])
+
+
+def test_merges_by_itself(spark, tmp_path):
+    t = KeyedTable.open(spark, f"{tmp_path}/t", SCHEMA, Options(compact_after=3))
+    for i in range(3):
+        t.put({"id": i})
+    assert t.snapshot().base_seq == 3 and len(rows(t.scan())) == 3
+
+
+def test_states(spark, table, tmp_path):
+    table.put({"id": 1})
+    reader = KeyedTable.open_read_only(spark, f"{tmp_path}/t")
+    with pytest.raises(ReadOnlyError):
+        reader.put({"id": 2})
+    table.put({"id": 2})
+    assert len(rows(reader.scan())) == 1
+    reader.refresh()
+    assert len(rows(reader.scan())) == 2
+    table.flush()
+    table.close()
+    assert table.is_closed() and len(rows(table.scan())) == 2
+    with pytest.raises(ClosedError):
+        table.delete(1)
+    with pytest.raises(NotFoundError):
+        KeyedTable.open(spark, f"{tmp_path}/none")
+    with pytest.raises(SchemaMismatchError):
+        KeyedTable.open(spark, f"{tmp_path}/t", TableSchema("t", (column("id", "int", nullable=False),), ("id",)))
+
+
+def test_of_two_writers_one_commits(spark, table, tmp_path):
+    other = KeyedTable.open(spark, f"{tmp_path}/t", options=QUIET)
+    table.put({"id": 1})
+    with pytest.raises(AlreadyExistsError):
+        other.put({"id": 2})
+    other.refresh()
+    assert other.put({"id": 2}) == 2
+    assert table.vacuum(older_than_s=3600) == []
+    table.refresh()
+    assert len(table.vacuum(older_than_s=0)) == 1  # what the loser wrote
+    assert len(rows(table.scan())) == 2
+
+
+def test_evolution(spark, table, tmp_path):
+    table.put_batch([{"id": i, "v": i} for i in range(3)])
+    table.compact()
+    with pytest.raises(SchemaMismatchError):
+        table.add_column(column("m", "long", nullable=False))
+    grown = table.add_column(column("d", "long", initial_default=-7))
+    assert grown.schema_id == 1
+    table.put({"id": 5, "v": 5, "d": None})
+    table.put({"id": 6, "v": 6, "d": 1})
+    want = [(0, 0, -7), (1, 1, -7), (2, 2, -7), (5, 5, -7), (6, 6, 1)]
+    found = rows(table.scan())
+    assert [r for r in found if r[0] != 5] == [r for r in want if r[0] != 5]
+    assert found[3] == (5, 5, None)  # a null that was written stays
+    table.compact()
+    again = KeyedTable.open(spark, f"{tmp_path}/t")
+    assert rows(again.scan()) == found and again.schema.names == ["id", "v", "d"]
+
+
+def test_retention(table):
+    table.put({"id": 1, "v": 5})
+    table.put({"id": 2, "v": 6})
+    table.delete(1)
+    whole = feed(table)
+    with pytest.raises(InvalidArgumentError):
+        table.expire(9)
+    assert table.expire(2) == 2 and table.expire(2) == 0
+    assert feed(table, 2) == whole[2:]
+    with pytest.raises(BelowRetentionError):
+        table.changes(1)
+    with pytest.raises(BelowRetentionError):
+        table.cursor(0).next_batch(5)
+    assert rows(table.scan()) == [(2, 6)]
+    table.compact()
+    table.delete(2)
+    assert feed(table, 2)[-1] == (4, "DELETE", 2, 6)
+    assert rows(table.scan(as_of=2)) == [(1, 5), (2, 6)]
+
+
+def test_sql(spark, table):
+    table.put_batch([{"id": i, "v": i} for i in range(5)])
+    table.delete(3)
+    table.create_changes_view("changes_of_t")
+    assert [r.seq for r in spark.sql("SELECT seq FROM changes_of_t WHERE op = 'DELETE'").collect()] == [6]
+    assert select_changes(table, where="seq > 2").count() == 4 and select_changes(table, where="seq >= 4").count() == 3
+    assert select_changes(table, "op, count(*) AS n", rest="GROUP BY op").count() == 2
+    assert [lower_bound(x) for x in ("seq > 5", "seq >= 5 AND op = 'DELETE'", "7 < seq", "7 <= seq", "seq = 5", "seq > 5 OR op = 'x'", "seq >= 0", "seq > -1")] == [5, 4, 7, 6, 0, 0, 0, 0]
+    assert table.changes().schema["pk_bytes"].dataType.simpleString() == "binary"
+
+
+def test_replica(spark, table, tmp_path):
+    table.put_batch([{"id": 1, "v": 1}, {"id": 2, "v": 2}])
+    r = Replica(spark, f"{tmp_path}/t")
+    assert tuple(r.get(1)) == (1, 1) and r.advance() == 0
+    table.delete(1)
+    table.put({"id": 3, "v": 3})
+    assert r.advance() == 2
+    assert r.get(1) is None and tuple(r.get(3)) == (3, 3) and tuple(r.get(2)) == (2, 2)
+    assert sorted(rows(r.view())) == [(2, 2), (3, 3)] == rows(table.scan())
+    assert r.stats()["tail_length"] == 2 and r.visible_seq == 4
+    r.rebase()
+    assert r.stats()["tail_length"] == 0 and r.stats()["rebase_count"] == 1 and sorted(rows(r.view())) == [(2, 2), (3, 3)]
+    table.put({"id": 4, "v": 4})
+    table.put({"id": 5, "v": 5})
+    table.expire(6)
+    assert r.advance_or_recover() == "recovered" and sorted(rows(r.view())) == rows(table.scan())
+    assert r.advance_or_recover() == "advanced"
+    with pytest.raises(Exception, match="took"):
+        r.rebase_hotswap(timeout_s=0)
+
+
+def test_mirror(spark, table, tmp_path):
+    table.put({"id": 1, "v": 1})
+    m = Mirror(table, f"{tmp_path}/copy")
+    assert m.lag_s() is None and m.run() == 1 and m.run() == 0 and m.mirror_seq() == 1 and m.lag_s() == 0
+    table.put({"id": 2})
+    assert m.lag_s() > 0 and m.await_seq(2, 10) and not m.await_seq(99, 0.2)
+    copy = KeyedTable.open_read_only(spark, f"{tmp_path}/copy")
+    assert rows(copy.scan()) == rows(table.scan())
+
+
+def test_export(spark, table, tmp_path):
+    table.put_batch([{"id": 2, "v": 2}, {"id": 1, "v": 1}, {"id": 3}])
+    table.delete(2)
+    path = table.export(f"{tmp_path}/x")
+    d = json.loads(open(path.removeprefix("file:")).read())
+    assert d["format-version"] == 2 and d["read-seq"] == 4 and d["schemas"][0]["identifier-field-ids"] == [1]
+    found = spark.read.parquet(*[f["file-path"] for f in d["exported-files"]])
+    assert sorted(rows(found)) == [(1, 1), (3, None)] and found.columns == ["id", "v"]
+    assert table.export(f"{tmp_path}/x").endswith("v2.metadata.json")
+    f = export.data_file_json(table.snapshot().files[0], SCHEMA, "at")
+    assert f["record-count"] == 3 and f["null-value-counts"] == {1: 0, 2: 1} and f["lower-bounds"][1] == "1"
+    assert export.sort_order_json(SCHEMA)["fields"][0]["source-id"] == 1
+
+
+def test_manifest_rules(spark, tmp_path):
+    def file(p, rows=5):
+        return manifest.DataFile(p, 0, rows, 1, 1, 5, "", "", 0, rows)
+
+    m = manifest.Manifest(1, SCHEMA).apply(add=[file("a"), file("b", 7)])
+    assert [f.first_row_id for f in m.files] == [0, 5] and m.next_row_id == 12
+    with pytest.raises(Exception, match="to remove"):
+        m.apply(remove=["z"])
+    with pytest.raises(Exception, match="to add"):
+        m.apply(add=[file("a")])
+    assert manifest.Manifest.from_json(m.to_json()) == m
+    with pytest.raises(CorruptionError):
+        manifest.Manifest.from_json(b"{")
+    store = Storage(spark, f"{tmp_path}/s")
+    manifest.commit(store, m)
+    with pytest.raises(AlreadyExistsError):
+        manifest.commit(store, m)
+    store.put("manifests/hint", b"junk")
+    assert manifest.latest_id(store) == 2
+    assert store.get_range("manifests/hint", 1, 2) == b"un"
+    with pytest.raises(NotFoundError):
+        store.get("nothing")
+
+
+def test_binary_and_composite_keys(spark, tmp_path):
+    s = TableSchema("b", (column("k", "bytes", nullable=False), column("n", "int", nullable=False), column("v", "str")), ("k", "n"))
+    t = KeyedTable.open(spark, f"{tmp_path}/b", s, QUIET)
+    found = [b"", b"\0", b"\0\0", b"\xff", b"\0\xff\0", b"\0\1", b"\1\0"]
+    t.put_batch([{"k": k, "n": i, "v": str(i)} for i, k in enumerate(found)])
+    t.compact()
+    assert [bytes(r.k) for r in t.scan().collect()] == sorted(found)
+    assert t.get(b"\0\0", 2).v == "2" and t.get(b"\0\0", 3) is None
+    assert [bytes(r.k) for r in t.scan((b"\0", 0), (b"\0\1", 9)).collect()] == [b"\0", b"\0\0", b"\0\1"]

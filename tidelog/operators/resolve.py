@@ -7,6 +7,7 @@ operations on one key never have the same ``seq``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import copysign
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -101,8 +102,9 @@ def point_lookup(ops: DataFrame, pk: Sequence[str], key: Sequence[Any], as_of: i
     same = F.lit(True)
     for k, v in zip(pk, key, strict=True):
         same = same & (F.col(k) == F.lit(v))
-        if isinstance(v, float):
-            same = same & (F.col(k).cast("string") == F.lit(v).cast(ops.schema[k].dataType).cast("string"))
+        if v == 0 and isinstance(v, float):  # equal, but different keys
+            negative = F.col(k).cast("string").startswith("-")
+            same = same & (negative if copysign(1, v) < 0 else ~negative)
     return current_state(ops.where(same), pk, as_of)
 
 

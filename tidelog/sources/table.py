@@ -151,7 +151,7 @@ class KeyedTable:
             return self.read_seq()
         first = self._manifest.next_seq
         numbered = [(first + i, *r) for i, r in enumerate(rows)]
-        frame = self._spark.createDataFrame(numbered, self.schema.log_struct())
+        frame = self._spark.createDataFrame(numbered, self.schema.log_struct()).coalesce(1)
         return self._append(frame, first, len(rows))
 
     def write(self, df: DataFrame, order_by: Sequence[str], op: str | None = None) -> int:
