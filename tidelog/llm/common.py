@@ -6,41 +6,18 @@ arguments splits on exactly those six bytes, so words are cut on UTF-8 bytes.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.sources.workspace import scratch
+
 #: Rows of an Arrow batch that are worked on together, so that word lists stay small.
 CHUNK_ROWS = 128
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own in tests."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        at = sc._jsc.sc().getCheckpointDir()
-        found = at.get() if at.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidelog-checkpoints-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-    except Exception:  # the session has ended: the folder's owner cleans it
-        return
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -48,9 +25,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     as the session, since results that read it are lazy.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -16,6 +16,9 @@ halves are within 2 or their second halves within 1:
 Equal fingerprints are one point of the grid, however many documents share
 them.  Within a cell, links are followed breadth first through what is not yet
 reached, so that a cell of near copies yields a spanning forest, not its pairs.
+A cell that a hashed sample of the fingerprints shows to be very large is split
+into blocks, and every two of its blocks meet in a task of their own; whether a
+cell is split changes where its links are found, never which.
 
 Defined results: null and empty texts have the fingerprint zero, which links
 like any other; a null doc_id is never a component's id unless the component
@@ -43,6 +46,10 @@ BITS = 4
 BLOCK = 200_000
 #: Cells up to this size are compared pair by pair.
 SMALL_CELL = 32
+#: Cells that seem to have more rows are split into blocks of about half as many.
+LARGE_CELL = 50_000
+#: One fingerprint in so many is looked at to find them.
+SAMPLE = 64
 
 _PAIRS = np.uint64(0x5555555555555555)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -152,7 +159,25 @@ def cell_links(cell: np.ndarray, fp: np.ndarray, bits: int = BITS) -> tuple[np.n
     return a, b
 
 
-def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
+def _split_large(cells: DataFrame, sampled: DataFrame, large: int, sample: int) -> DataFrame:
+    """Deals the rows of large cells out to pairs of blocks, as cells of their own.
+
+    A cell's number has 33 bits; two block numbers of 14 bits go above it.
+    """
+    hot = sampled.groupBy("cell").agg((F.count("*") * sample).alias("n")).where(F.col("n") > large)
+    blocks = F.least(F.ceil(F.col("n") * 2 / large), F.lit((1 << 14) - 1))
+    hot = materialize(hot.select(F.col("cell").alias("hot"), blocks.alias("blocks")), "cells")
+    if not hot.limit(1).count():
+        return cells
+    marked = cells.join(hot, cells["cell"] == hot["hot"], "left")
+    own = F.pmod(F.xxhash64("fp"), "blocks")
+    whole = marked.where("hot is null").select("cell", "fp")
+    parts = marked.where("hot is not null").select("cell", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    number = F.col("cell") + F.shiftleft(F.least("own", "other"), 34) + F.shiftleft(F.greatest("own", "other"), 48)
+    return whole.union(parts.select(number.alias("cell"), "fp"))
+
+
+def links(distinct: DataFrame, bits: int = BITS, large: int = LARGE_CELL, sample: int = SAMPLE) -> DataFrame:
     """(a, b): links between different fingerprints of ``distinct``, enough of them to span every component."""
     if bits != BITS:
         raise ValueError(f"the grid is laid out for {BITS} bits")
@@ -191,7 +216,10 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
                     yield from joined(False)
         yield from joined(True)
 
-    cells = map_arrow(distinct.select("fp"), spread, "cell long, fp long")
+    own = distinct.select("fp")
+    some = own.where(F.pmod(F.xxhash64(F.lit(11), "fp"), F.lit(sample)) == 0)
+    cells, sampled = (map_arrow(x, spread, "cell long, fp long") for x in (own, some))
+    cells = _split_large(cells, sampled, large, sample)
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cells.repartition(n, "cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(join, "a long, b long").distinct()
@@ -200,7 +228,7 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
 def components(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """doc_id, ``fp``, component_id and ``root``, the component's least fingerprint, of every document."""
     fps = materialize(fingerprints(docs), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = connected_components(links(classes, bits))
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
