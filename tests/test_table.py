@@ -255,3 +255,81 @@ def test_binary_and_composite_keys(spark, tmp_path):
     assert [bytes(r.k) for r in t.scan().collect()] == sorted(found)
     assert t.get(b"\0\0", 2).v == "2" and t.get(b"\0\0", 3) is None
     assert [bytes(r.k) for r in t.scan((b"\0", 0), (b"\0\1", 9)).collect()] == [b"\0", b"\0\0", b"\0\1"]
+
+
+def test_pins_keep_files(table):
+    table.put({"id": 1})
+    table.compact()
+    with table.pin() as held:
+        table.put({"id": 2})
+        table.compact()
+        assert table.vacuum(older_than_s=0) == []
+    gone = table.vacuum(older_than_s=0)
+    assert gone == [f.path for f in held.base] and len(rows(table.scan())) == 2
+
+
+def test_deletions_by_position(spark, table):
+    from tidelog.operators.merge import with_positions
+
+    table.put_batch([{"id": i, "v": i} for i in range(6)])
+    table.compact()
+    files = [f"{table.catalog_path()}/{f.path}" for f in table.snapshot().base]
+    stored = with_positions(spark.read.parquet(*files))
+    assert table.mark_deleted(stored.where("id = 2")) == 1
+    assert table.mark_deleted(stored.where("id in (2, 4)")) == 2
+    assert [r[0] for r in rows(table.scan())] == [0, 1, 3, 5] and table.get(4) is None
+    table.put({"id": 4, "v": 44})
+    assert tuple(table.get(4)) == (4, 44) and len(feed(table)) == 7
+    table.compact()
+    assert [r[0] for r in rows(table.scan())] == [0, 1, 3, 4, 5]
+    with pytest.raises(InvalidArgumentError):
+        table.mark_deleted(spark.createDataFrame([("nowhere", 0)], "file_path string, row_index long"))
+
+
+def test_metrics(table):
+    seen = []
+    table.install_metrics_recorder(lambda name, by: seen.append((name, by)))
+    table.apply_batch([("put", {"id": 1}), ("delete", (1,))])
+    table.get(1)
+    table.compact()
+    m = table.metrics
+    assert (m["puts"], m["deletes"], m["gets"], m["compactions"], m["batches"]) == (1, 1, 1, 1, 1) and ("puts", 1) in seen
+
+
+def test_plain_python(spark, tmp_path):
+    from tidelog.api import Database
+
+    db = Database(f"{tmp_path}/d", "d", [("id", "int64"), {"name": "name", "type": "str"}, ("ok", "bool", False)], spark=spark)
+    db.put({"id": 1, "name": "a", "ok": True})
+    db.put_batch([{"id": 2, "name": None, "ok": False}, {"id": 3, "ok": True}])
+    db.delete(1)
+    assert db.get(2) == {"id": 2, "name": None, "ok": False} and db.get(1) is None
+    assert [r["id"] for r in db.scan()] == [2, 3] and [r["id"] for r in db.scan(3, None)] == [3]
+    with pytest.raises(SchemaMismatchError):
+        db.put({"id": 4, "ok": True, "zz": 1})
+    with pytest.raises(SchemaMismatchError):
+        db.put({"id": 4})
+    db.add_column(("more", "int64"))
+    db.compact()
+    db.mirror_to(f"{tmp_path}/m")
+    assert db.mirror_seq() == db.read_seq() == 4 and db.mirror_lag_secs() == 0 and db.await_mirror(4)
+    assert [c["op"] for c in db.changes(2)] == ["INSERT", "DELETE"] and db.replica().get(3)["id"] == 3
+    reader = Database(f"{tmp_path}/d", "d", [("id", "int64"), ("name", "str"), ("ok", "bool", False), ("more", "int64")], read_only=True, spark=spark)
+    assert reader.scan() == db.scan()
+    db.close()
+    assert db.is_closed() and db.stats()["read_seq"] == 4
+
+
+def test_maintenance(spark, table, tmp_path):
+    from tidelog.sources.maintenance import Maintainer
+
+    m = Maintainer(KeyedTable.open(spark, f"{tmp_path}/t", options=QUIET), log_files=3, interval_s=0.1)
+    table.put({"id": 1})
+    table.put({"id": 2})
+    assert not m.tick()
+    table.put({"id": 3})
+    assert m.tick() and not m.tick() and (m.turns, m.merges, m.lost) == (3, 1, 0)
+    table.refresh()
+    assert table.snapshot().base_seq == 3 and len(rows(table.scan())) == 3
+    m.start()
+    m.stop()

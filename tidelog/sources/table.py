@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Iterable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Any
 
@@ -56,6 +58,9 @@ class KeyedTable:
     def __init__(self, spark: SparkSession, store: Storage, manifest: Manifest, read_only: bool, options: Options):
         self._spark, self._store, self._manifest = spark, store, manifest
         self._read_only, self._closed, self.options = read_only, False, options
+        self._pins: Counter[frozenset[str]] = Counter()
+        self.metrics: Counter[str] = Counter()
+        self._recorder: Callable[[str, int], None] | None = None
 
     # opening and closing
 
@@ -97,6 +102,15 @@ class KeyedTable:
         if self._closed:
             raise ClosedError("the table is closed")
 
+    def install_metrics_recorder(self, recorder: Callable[[str, int], None]) -> None:
+        """Call ``recorder(name, by)`` whenever a counter of :attr:`metrics` goes up."""
+        self._recorder = recorder
+
+    def _count(self, name: str, by: int = 1) -> None:
+        self.metrics[name] += by
+        if self._recorder is not None:
+            self._recorder(name, by)
+
     # what it is
 
     @property
@@ -149,6 +163,8 @@ class KeyedTable:
                 raise InvalidArgumentError(f"an operation is put or delete, not {kind}")
         if not rows:
             return self.read_seq()
+        self._count("puts", sum(r[0] for r in rows))
+        self._count("deletes", sum(1 - r[0] for r in rows))
         first = self._manifest.next_seq
         numbered = [(first + i, *r) for i, r in enumerate(rows)]
         frame = self._spark.createDataFrame(numbered, self.schema.log_struct()).coalesce(1)
@@ -210,6 +226,8 @@ class KeyedTable:
         after = self._manifest.apply(add=files, next_seq=first + n)
         snapshots.commit(self._store, after)
         self._manifest = after
+        self._count("batches")
+        self._count("bytes_written", sum(f.bytes for f in files))
         pending = len({f.path.rpartition("/")[0] for f in after.log if f.seq_max > after.base_seq})
         if self.options.compact_after and pending >= self.options.compact_after:
             self.compact()
@@ -253,8 +271,8 @@ class KeyedTable:
 
     # reading
 
-    def _read(self, files: Sequence[DataFile]) -> DataFrame:
-        """``seq``, ``op`` and the current columns of the files.
+    def _read(self, files: Sequence[DataFile], marks: bool = False) -> DataFrame:
+        """``seq``, ``op`` and the current columns of the files, with ``marks`` without the rows marked as deleted.
 
         Files of one schema are read together; what they lack reads as its
         initial default.  A null that was written stays null.
@@ -265,6 +283,9 @@ class KeyedTable:
         for schema_id in sorted({f.schema_id for f in files}):
             own, then = [f for f in files if f.schema_id == schema_id], self._manifest.schema_of(schema_id)
             part = self._spark.read.schema(then.log_struct()).parquet(*[self._store.url(f.path) for f in own])
+            if marks and self._manifest.deletions:
+                columns = part.columns
+                part = merge.without_positions(merge.with_positions(part), self._marked()).select(*columns)
             part = pad(part, current, initial=True)
             found = part if found is None else found.unionByName(part)
         return empty if found is None else found
@@ -287,11 +308,11 @@ class KeyedTable:
         if as_of is not None and as_of < m.base_seq:
             if as_of < m.low_water:
                 raise BelowRetentionError(as_of, m.low_water)
-            return self._read([f for f in m.log if f.seq_min <= as_of and near(f)]).where(F.col("seq") <= as_of)
+            return self._read([f for f in m.log if f.seq_min <= as_of and near(f)], True).where(F.col("seq") <= as_of)
         after = [f for f in m.log if f.seq_max > m.base_seq and near(f) and (as_of is None or f.seq_min <= as_of)]
-        found = self._read(after).where(feed.in_window(m.base_seq, as_of))
+        found = self._read(after, True).where(feed.in_window(m.base_seq, as_of))
         base = [f for f in m.base if near(f)]
-        return self._read(base).unionByName(found) if base else found
+        return self._read(base, True).unionByName(found) if base else found
 
     def scan(
         self,
@@ -301,6 +322,7 @@ class KeyedTable:
         ordered: bool = True,
     ) -> DataFrame:
         """Live rows with ``start <= key < end``, in key order."""
+        self._count("scans")
         start, end = (None if x is None else tuple(x) if isinstance(x, tuple | list) else (x,) for x in (start, end))
         bounds = tuple(None if x is None else encode(self.schema, x) for x in (start, end))
         found = resolve.range_scan(self.versions(as_of, bounds), self.pk, start, end, as_of)
@@ -309,6 +331,7 @@ class KeyedTable:
 
     def get(self, *key: Any, as_of: int | None = None) -> Row | None:
         """The live row of a key, or None."""
+        self._count("gets")
         encoded = encode(self.schema, key)
         found = resolve.point_lookup(self.versions(as_of, (encoded, encoded)), self.pk, key, as_of)
         return found.select(*self.schema.names).first()
@@ -349,9 +372,12 @@ class KeyedTable:
         kept = merge.compact(self.versions(), self.pk, None, drop_deletions=True)
         n = max(1, -(-sum(f.rows for f in m.files) // self.options.max_records_per_file))
         files = self._write_files(kept.repartitionByRange(n, *self.pk), level=1)
+        # positions in the old base mean nothing in the new one, whose rows they already left out
         after = m.apply(add=files, remove=[f.path for f in m.base], base_seq=seq)
         snapshots.commit(self._store, after)
         self._manifest = after
+        self._count("compactions")
+        self._count("bytes_written", sum(f.bytes for f in files))
         return True
 
     def expire(self, before: int) -> int:
@@ -382,15 +408,59 @@ class KeyedTable:
         self._writable()
         age = self.options.grace_s if older_than_s is None else older_than_s
         live = {f.path for f in self._manifest.files} | set(self._manifest.deletions)
+        for pinned in self._pins:
+            live |= pinned
         limit, gone = (time.time() - age) * 1000, []
-        for kind in ("log", "base"):
+        for kind in ("log", "base", "deletions"):
             for folder in self._store.folders(kind):
                 for name, _ in self._store.list(folder):
                     if name.endswith(".parquet") and name not in live and self._store.modified_ms(name) <= limit:
                         self._store.delete(name)
                         gone.append(name)
+        self._count("files_deleted", len(gone))
         return gone
 
+    @contextmanager
+    def pin(self) -> Iterator[Manifest]:
+        """Keep the files of the snapshot that is current now from :meth:`vacuum`, however long a reader takes."""
+        held = self._manifest
+        files = frozenset([*(f.path for f in held.files), *held.deletions])
+        self._pins[files] += 1
+        try:
+            yield held
+        finally:
+            self._pins[files] -= 1
+            if not self._pins[files]:
+                del self._pins[files]
+
+    def mark_deleted(self, positions: DataFrame) -> int:
+        """Leave out stored rows at (file_path, row_index) from all reads of the state; how many are marked in all.
+
+        For writers that delete by position instead of by key.  Marks add up and
+        never become fewer; the next merge writes them out.  The change feed
+        stays what was written.
+        """
+        self._writable()
+        old, folder = self._marked(), f"deletions/{uuid.uuid4().hex}"
+        known = self._spark.createDataFrame([(self._store.url(f.path),) for f in self._manifest.files], "known string")
+        own = positions.select("file_path", "row_index").distinct()
+        plain = F.regexp_replace("file_path", "^file:/*", "/")
+        named = own.join(known, plain == F.regexp_replace("known", "^file:/*", "/"), "left")
+        if named.where("known is null").limit(1).count():
+            raise InvalidArgumentError("a position is in no file of the snapshot")
+        merge.union_positions(old, own).write.parquet(self._store.url(folder))
+        names = tuple(n for n, _ in self._store.list(folder) if n.endswith(".parquet"))
+        after = self._manifest.apply(deletions=names)
+        snapshots.commit(self._store, after)
+        self._manifest = after
+        return self._marked().count()
+
+    def _marked(self) -> DataFrame:
+        schema = "file_path string, row_index long"
+        if not self._manifest.deletions:
+            return self._spark.createDataFrame([], schema)
+        return self._spark.read.schema(schema).parquet(*[self._store.url(n) for n in self._manifest.deletions])
+
     def refresh(self) -> None:
         """Go on from the newest snapshot; its files must all be there."""
         found = snapshots.load(self._store)
