@@ -135,3 +135,10 @@ def test_bad_keys():
         keys.encode(of("double"), (float("nan"),))
     with pytest.raises(InvalidArgumentError):
         keys.encode(s, (1,))
+
+
+def test_decoded_column(spark):
+    s = of("long", "binary", "double")
+    rows = [(1, b"a\0b", -0.5), (-3, b"", 2.0)]
+    df = spark.createDataFrame(rows, s.struct()).select(keys.decoded(s, keys.pk_bytes(s)).alias("k")).select("k.*")
+    assert [(r.k0, bytes(r.k1), r.k2) for r in df.collect()] == rows

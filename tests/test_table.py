@@ -64,14 +64,18 @@ def test_results_do_not_depend_on_merging(spark, table, tmp_path):
     scan, changes, old = rows(table.scan()), feed(table), rows(table.scan(as_of=25))
     assert table.compact() and not table.compact()
     assert (rows(table.scan()), feed(table), rows(table.scan(as_of=25))) == (scan, changes, old)
+    table.apply_batch([("put", {"id": i, "v": 9}) if i % 3 else ("delete", (i,)) for i in range(25)])
+    after = feed(table)
+    assert after[:60] == changes and [feed(table, s) == after[s:] for s in (59, 60, 61, 70)] == [True] * 4
+    assert any("/base/" in f for f in table.changes(60).inputFiles())
     table.put({"id": 1, "v": 7})
     assert tuple(table.get(1)) == (1, 7) and rows(table.scan(as_of=60)) == scan
     again = KeyedTable.open(spark, f"{tmp_path}/t")
-    assert again.read_seq() == 61 and rows(again.scan()) == rows(table.scan())
+    assert again.read_seq() == 86 and rows(again.scan()) == rows(table.scan())
     levels = again.stats()["levels"]
-    assert levels[1]["rows"] == levels[1]["live_rows"] == len(scan) and levels[0]["rows"] == 61
-    assert {r.level: r.rows for r in again.level_table().collect()} == {0: 61, 1: len(scan)}
-    assert table.superseded_positions().count() == 61 - 20
+    assert levels[1]["rows"] == levels[1]["live_rows"] == len(scan) and levels[0]["rows"] == 86
+    assert {r.level: r.rows for r in again.level_table().collect()} == {0: 86, 1: len(scan)}
+    assert table.superseded_positions().count() == 86 - 25
 
 
 def test_batches_as_frames(spark, table):

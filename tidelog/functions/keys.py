@@ -16,8 +16,10 @@ from __future__ import annotations
 import struct
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.errors import CorruptionError, InvalidArgumentError
 from tidelog.schema import TableSchema
@@ -156,3 +158,14 @@ def decode_version(schema: TableSchema, data: bytes) -> tuple[tuple, int, int]:
     if op not in (0, 1):
         raise CorruptionError(f"no operation {op}")
     return decode(schema, data[:-8]), SEQ_MAX - (tag >> 8), op
+
+
+def decoded(schema: TableSchema, key: Column) -> Column:
+    """The key columns of encoded keys, as a struct; Arrow batches, for reading keys back from files."""
+    out = T.StructType([T.StructField(k, schema[k].spark_type) for k in schema.primary_key])
+
+    @F.pandas_udf(out)
+    def run(keys: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([decode(schema, bytes(k)) for k in keys], columns=list(schema.primary_key))
+
+    return run(key)

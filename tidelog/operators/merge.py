@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.operators.resolve import DELETE, key_columns
+from tidelog.operators.resolve import DELETE, in_range, key_columns
 
 
 def compact(
@@ -45,6 +46,15 @@ def with_positions(files: DataFrame) -> DataFrame:
     )
 
 
+def keys_in_range(rows: DataFrame, pk: Sequence[str], low: Sequence[Any], high: Sequence[Any]) -> DataFrame:
+    """Keys and positions with ``low <= pk <= high``; no other column is read."""
+    below = in_range(pk, low, None)
+    last = F.lit(True)
+    for k, v in zip(pk, high, strict=True):
+        last = last & (F.col(k) == F.lit(v))
+    return rows.where(below & (in_range(pk, None, high) | last)).select(*pk, "file_path", "row_index")
+
+
 def superseded(
     rows: DataFrame, pk: Sequence[str], keys: DataFrame, marked: DataFrame | None = None
 ) -> DataFrame:

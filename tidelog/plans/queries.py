@@ -319,7 +319,7 @@ def dv_union(spark, sf_dir):
 @query(f"WITH {_FILES} SELECT pk, file_path, row_index FROM rows_ WHERE pk BETWEEN 3 AND 8")
 def key_positions(spark, sf_dir):
     rows = _rows(spark, sf_dir)
-    return rows.where(F.col("pk").between(3, 8)).select("pk", "file_path", "row_index")
+    return merge.keys_in_range(rows, PK, (3,), (8,))
 
 
 @query(

@@ -344,8 +344,13 @@ class KeyedTable:
         until = self.read_seq() if until is None else min(until, self.read_seq())
         if since < m.low_water:
             raise BelowRetentionError(since, m.low_water)
-        # what was live before `since` is in the log too: expire() leaves the state at the low water mark there
-        history = self._read([f for f in m.log if f.seq_min <= until]).where(F.col("seq") <= until)
+        if m.base_seq and since >= m.base_seq and "marked" not in m.properties:
+            # the base tells what was live at its seq; only later log files are opened
+            later = [f for f in m.log if f.seq_max > m.base_seq and f.seq_min <= until]
+            history = self._read(m.base).unionByName(self._read(later).where(feed.in_window(m.base_seq, until)))
+        else:
+            # expire() leaves the state at the low water mark in the log
+            history = self._read([f for f in m.log if f.seq_min <= until]).where(F.col("seq") <= until)
         return feed.change_feed(
             history, self.pk, since, until, discriminate, key_bytes=pk_bytes(self.schema), split_every=split_every
         )
@@ -450,7 +455,8 @@ class KeyedTable:
             raise InvalidArgumentError("a position is in no file of the snapshot")
         merge.union_positions(old, own).write.parquet(self._store.url(folder))
         names = tuple(n for n, _ in self._store.list(folder) if n.endswith(".parquet"))
-        after = self._manifest.apply(deletions=names)
+        # a base merged from now on lacks rows that the feed still has to know
+        after = self._manifest.apply(deletions=names, properties=self._manifest.properties | {"marked": "true"})
         snapshots.commit(self._store, after)
         self._manifest = after
         return self._marked().count()
