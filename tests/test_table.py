@@ -337,3 +337,11 @@ def test_maintenance(spark, table, tmp_path):
     assert table.snapshot().base_seq == 3 and len(rows(table.scan())) == 3
     m.start()
     m.stop()
+
+
+def test_retries_number_a_batch_again(spark, table, tmp_path):
+    other = KeyedTable.open(spark, f"{tmp_path}/t", options=Options(compact_after=0, retries=2))
+    table.put_batch([{"id": 1}, {"id": 2}])
+    assert other.put_batch([{"id": 3}, {"id": 4}]) == 3 and other.read_seq() == 4
+    table.refresh()
+    assert [r[0] for r in feed(table)] == [1, 2, 3, 4]

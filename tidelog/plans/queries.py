@@ -506,6 +506,96 @@ def exported_snapshot(spark, sf_dir):
     return spark.read.schema(SCHEMA.struct()).parquet(*[f["file-path"] for f in files])
 
 
+@query("SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS seq, o_orderkey, o_custkey FROM orders")
+def table_batch_numbers(spark, sf_dir):
+    from tidelog.sources.table import KeyedTable, Options
+    from tidelog.sources.workspace import scratch
+
+    schema = TableSchema("orders", (column("o_orderkey", "long", nullable=False), column("o_custkey", "long")), ("o_orderkey",))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    stored = KeyedTable.open(spark, scratch(spark, "orders"), schema, Options(compact_after=0))
+    stored.write(orders, order_by=["o_orderdate", "o_orderkey"])
+    return stored.operations().select("seq", "o_orderkey", "o_custkey")
+
+
+@query(
+    f"""WITH {LOG}, {RANKED} SELECT pk, event_type, value, CASE WHEN seq <= 600 THEN 'old' ELSE 'new' END AS origin
+    FROM r WHERE rn = 1 AND op = 1"""
+)
+def table_evolved_scan(spark, sf_dir):
+    from tidelog.sources.table import KeyedTable, Options
+    from tidelog.sources.workspace import scratch
+
+    ops = log(spark, sf_dir)
+    stored = KeyedTable.open(spark, scratch(spark, "evolved"), SCHEMA, Options(compact_after=0))
+    stored.write(ops.where("seq <= 600"), order_by=["seq"], op="op")
+    stored.add_column(column("origin", "string", initial_default="old"))
+    stored.write(ops.where("seq > 600").withColumn("origin", F.lit("new")), order_by=["seq"], op="op")
+    stored.compact()
+    return stored.scan()
+
+
+@query(f"WITH {LOG}, {FEED} SELECT seq, op, pk, event_type, value FROM feed WHERE seq > 620")
+def table_changes_after_expiry(spark, sf_dir):
+    stored = _stored(spark, sf_dir)
+    stored.expire(600)
+    return stored.changes(since=620).drop("pk_bytes")
+
+
+@query(
+    f"WITH {LOG.replace('FROM events', 'FROM events WHERE event_id < 400')}, {RANKED} "
+    "SELECT pk, event_type, value FROM r WHERE rn = 1 AND op = 1"
+)
+def table_scan_before_base(spark, sf_dir):
+    return _stored(spark, sf_dir).scan(as_of=400)
+
+
+@query(
+    _BASE + """ SELECT pk, event_type, value FROM base WHERE pk NOT IN (SELECT pk FROM tail) AND pk % 3 <> 0
+    UNION ALL SELECT pk, event_type, value FROM tail WHERE op = 1"""
+)
+def table_position_deletes(spark, sf_dir):
+    stored = _stored(spark, sf_dir)
+    base = [stored.catalog_path() + "/" + f.path for f in stored.snapshot().base]
+    stored.mark_deleted(merge.with_positions(spark.read.parquet(*base)).where("pk % 3 = 0"))
+    return stored.scan()
+
+
+@query(f"WITH {LOG}, {RANKED} SELECT pk, event_type, value FROM r WHERE rn = 1 AND op = 1")
+def mirror_scan(spark, sf_dir):
+    from tidelog.sources.mirror import Mirror
+    from tidelog.sources.table import KeyedTable
+    from tidelog.sources.workspace import scratch
+
+    to = scratch(spark, "mirror")
+    Mirror(_stored(spark, sf_dir), to).run()
+    return KeyedTable.open_read_only(spark, to).scan()
+
+
+@query(f"WITH {LOG}, {RANKED} SELECT seq, op, pk, event_type, value FROM r WHERE rn = 1")
+def stream_tail(spark, sf_dir):
+    from tidelog.sources.workspace import scratch
+    from tidelog.streaming.tail import TailSink, read_log
+
+    stored = _stored(spark, sf_dir)
+    sink = TailSink(spark, scratch(spark, "tail"), SCHEMA)
+    stream = read_log(spark, stored.catalog_path(), SCHEMA).writeStream.foreachBatch(sink)
+    stream.option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return sink.tail()
+
+
+@query(f"WITH {LOG}, {FEED} SELECT seq, op, pk, event_type, value FROM feed")
+def stream_labels(spark, sf_dir):
+    from tidelog.sources.workspace import scratch
+    from tidelog.streaming.tail import label_stream, read_log
+
+    stored, to = _stored(spark, sf_dir), scratch(spark, "labels")
+    labelled = label_stream(read_log(spark, stored.catalog_path(), SCHEMA), SCHEMA).writeStream.format("parquet")
+    labelled = labelled.option("path", to).option("checkpointLocation", scratch(spark, "progress"))
+    labelled.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(to)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many keys are live, and how many operations it took."""
     state: Column = F.count("*").alias("live_keys")

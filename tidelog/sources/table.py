@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.errors import (
+    AlreadyExistsError,
     BelowRetentionError,
     ClosedError,
     InvalidArgumentError,
@@ -44,12 +45,14 @@ from tidelog.sources.storage import Storage
 @dataclass(frozen=True)
 class Options:
     """``compact_after`` log files beyond the base trigger a merge at the next write, 0 never;
-    ``max_records_per_file`` bounds files; ``grace_s`` is how long unused files stay."""
+    ``max_records_per_file`` bounds files; ``grace_s`` is how long unused files stay; a batch of rows that
+    another writer's commit got ahead of is numbered and written again up to ``retries`` times."""
 
     compact_after: int = 20
     max_records_per_file: int = 5_000_000
     grace_s: int = 300
     bloom_columns: tuple[str, ...] = ()
+    retries: int = 0
 
 
 class KeyedTable:
@@ -165,10 +168,19 @@ class KeyedTable:
             return self.read_seq()
         self._count("puts", sum(r[0] for r in rows))
         self._count("deletes", sum(1 - r[0] for r in rows))
-        first = self._manifest.next_seq
-        numbered = [(first + i, *r) for i, r in enumerate(rows)]
-        frame = self._spark.createDataFrame(numbered, self.schema.log_struct()).coalesce(1)
-        return self._append(frame, first, len(rows))
+        for left in range(self.options.retries, -1, -1):
+            first = self._manifest.next_seq
+            numbered = [(first + i, *r) for i, r in enumerate(rows)]
+            frame = self._spark.createDataFrame(numbered, self.schema.log_struct()).coalesce(1)
+            try:
+                return self._append(frame, first, len(rows))
+            except AlreadyExistsError:
+                if not left:
+                    raise
+                was = self.schema
+                self.refresh()
+                if self.schema != was:  # the rows were checked against another schema
+                    raise
 
     def write(self, df: DataFrame, order_by: Sequence[str], op: str | None = None) -> int:
         """A batch of any size, in the order of ``order_by``; ``op`` names a column of 0 and 1, else all are puts.
@@ -351,6 +363,8 @@ class KeyedTable:
         else:
             # expire() leaves the state at the low water mark in the log
             history = self._read([f for f in m.log if f.seq_min <= until]).where(F.col("seq") <= until)
+        if split_every is None and until - since > self.options.max_records_per_file:
+            split_every = self.options.max_records_per_file  # no key brings more to a task
         return feed.change_feed(
             history, self.pk, since, until, discriminate, key_bytes=pk_bytes(self.schema), split_every=split_every
         )
