@@ -321,7 +321,8 @@ def test_plain_python(spark, tmp_path):
     reader = Database(f"{tmp_path}/d", "d", [("id", "int64"), ("name", "str"), ("ok", "bool", False), ("more", "int64")], read_only=True, spark=spark)
     assert reader.scan() == db.scan()
     db.close()
-    assert db.is_closed() and db.stats()["read_seq"] == 4
+    assert db.is_closed() and db.stats()["current_seq"] == 4
+    assert [x["level"] for x in db.stats()["levels"]] == [0, 1] and "seq=4" in repr(db)
 
 
 def test_maintenance(spark, table, tmp_path):

@@ -35,7 +35,11 @@ def _columns(columns: Sequence[Any], primary_key: Sequence[str]) -> tuple[Column
 
 
 class Database:
-    """One table at a path.  The primary key is the first column unless given."""
+    """One table at a path.  The primary key is the first column unless given.
+
+    ``memtable_size_mb`` is taken for callers that pass it; a batch is written at
+    once, so nothing grows in memory that it could bound.
+    """
 
     def __init__(
         self,
@@ -43,6 +47,7 @@ class Database:
         table_name: str,
         columns: Sequence[Any],
         primary_key: Sequence[str] | None = None,
+        memtable_size_mb: int = 64,
         read_only: bool = False,
         spark: SparkSession | None = None,
         options: Options | None = None,
@@ -85,7 +90,43 @@ class Database:
         self.table.compact()
 
     def stats(self) -> dict[str, Any]:
-        return self.table.stats()
+        """The snapshot with its levels and files; parts that do not exist here are empty."""
+        m, levels = self.table.snapshot(), []
+        for level in sorted({f.level for f in m.files}):
+            own = [f for f in m.files if f.level == level]
+            levels.append(
+                {
+                    "level": level,
+                    "file_count": len(own),
+                    "total_bytes": sum(f.bytes for f in own),
+                    "total_rows": sum(f.rows for f in own),
+                    "live_rows": sum(f.live_rows for f in own),
+                    "files": [
+                        {
+                            "path": f.path,
+                            "file_size": f.bytes,
+                            "num_rows": f.rows,
+                            "seq_range": (f.seq_min, f.seq_max),
+                            "has_dv": bool(m.deletions),
+                        }
+                        for f in own
+                    ],
+                }
+            )
+        return {
+            "snapshot_id": m.snapshot_id,
+            "current_seq": self.table.read_seq(),
+            "base_seq": m.base_seq,
+            "memtable": {"active_size_bytes": 0, "active_entry_count": 0, "immutable_count": 0},
+            "levels": levels,
+            "cache": {"capacity": 0, "size": 0, "hit_count": 0, "miss_count": 0},
+            "metrics": dict(self.table.metrics),
+        }
+
+    def __repr__(self) -> str:
+        s = self.stats()
+        files = sum(x["file_count"] for x in s["levels"])
+        return f"Database(table={self.table.schema.name!r}, seq={s['current_seq']}, files={files}, levels={len(s['levels'])})"
 
     def refresh(self) -> None:
         self.table.refresh()

@@ -52,6 +52,11 @@ def current_state(ops: DataFrame, pk: Sequence[str], as_of: int | None = None) -
     return newest(visible(ops, as_of), pk).where(F.col("op") == PUT).drop("op")
 
 
+def in_version_order(ops: DataFrame, pk: Sequence[str]) -> DataFrame:
+    """All versions by key, the newest of each first."""
+    return ops.orderBy(*pk, F.desc("seq"))
+
+
 def _bound(pk: Sequence[str], key: Sequence[Any], below: bool) -> Column:
     """pk < key or pk >= key, column by column, as a condition that Parquet can use.
 

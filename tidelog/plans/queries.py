@@ -133,6 +133,11 @@ def newest_per_key(spark, sf_dir):
     return resolve.newest(log(spark, sf_dir), PK)
 
 
+@query(f"WITH {LOG} SELECT pk, seq, op FROM ops ORDER BY pk, seq DESC")
+def versions_in_order(spark, sf_dir):
+    return resolve.in_version_order(log(spark, sf_dir), PK).select("pk", "seq", "op")
+
+
 # the change feed
 
 
