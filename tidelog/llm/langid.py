@@ -162,7 +162,7 @@ def coder(model: Model, digest: str) -> Coder:
 def fit_language(docs: DataFrame, max_docs: int = 6_000) -> Model:
     """Gram counts of at most about ``max_docs`` labelled documents that are not held out, whole texts."""
     marked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
+        F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))
     )
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
