@@ -84,8 +84,9 @@ def test_batches_as_frames(spark, table):
     assert table.read_seq() == 1000
     assert [r.v for r in table.operations().where("op = 1").orderBy("seq").collect()] == [i for i in range(1000) if i % 7]
     assert [r.seq for r in table.operations().orderBy("seq").collect()] == list(range(1, 1001))
-    with pytest.raises(SchemaMismatchError):
+    with pytest.raises(SchemaMismatchError, match="id may not be null"):
         table.write(spark.createDataFrame([(None, 1, 1)], "id long, v long, at long"), order_by=["at"])
+    assert table.read_seq() == 1000 and not table._store.folders("staging")
     with pytest.raises(SchemaMismatchError):
         table.write(spark.createDataFrame([("x", 1)], "id string, v long"), order_by=["v"])
     with pytest.raises(SchemaMismatchError):

@@ -372,7 +372,7 @@ def level_statistics(spark, sf_dir):
 
 @query(
     f"""WITH {_FILE_SQL}, s AS (SELECT *, sum(bytes) OVER w AS total, row_number() OVER w AS n FROM files WHERE level = 0
-    WINDOW w AS (ORDER BY seq_min)) SELECT path, bytes FROM s WHERE total <= 500 OR n = 1"""
+    WINDOW w AS (ORDER BY seq_min)) SELECT path, bytes::BIGINT AS bytes FROM s WHERE total <= 500 OR n = 1"""
 )
 def compaction_pick_prefix(spark, sf_dir):
     return picker.take_prefix(_file_list(spark).where("level = 0"), "seq_min", 500).select("path", "bytes")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
-from functools import reduce
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -288,7 +287,3 @@ def same_type(df: DataFrame, schema: TableSchema) -> None:
         text_as_bytes = isinstance(want, T.BinaryType) and isinstance(f.dataType, T.StringType)
         if f.dataType != want and not text_as_bytes and not isinstance(f.dataType, T.NullType):
             raise SchemaMismatchError(f"{f.name} takes {want.simpleString()}, not {f.dataType.simpleString()}")
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -11,6 +11,7 @@ DataFrame has no order, so a batch given as one names the columns that order it.
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 from collections import Counter
@@ -206,13 +207,18 @@ class KeyedTable:
                 raise SchemaMismatchError(f"{c.name} may not be null")
             sorting = sorting.withColumn(c.name, F.lit(value).cast(c.spark_type))
         by = [f"_by{i}" for i in range(len(order_by))]
-        bad = sorting.select(violation(self.schema, F.col("_op") == 0).alias("why")).where("why is not null").first()
-        if bad is not None:
-            raise SchemaMismatchError(bad["why"])
+        # a bad row stops the job that writes; there is no pass of its own for the check
+        why = violation(self.schema, F.col("_op") == 0)
+        sorting = sorting.withColumn("_op", F.when(why.isNull(), F.col("_op")).otherwise(F.raise_error(why).cast("int")))
         staging = f"staging/{uuid.uuid4().hex}"
         url = self._store.url(staging)
         try:
-            sorting.orderBy(*by).drop(*by).write.parquet(url)
+            try:
+                sorting.orderBy(*by).drop(*by).write.parquet(url)
+            except Exception as e:
+                if m := re.search(r"USER_RAISED_EXCEPTION\]\s*([^\n]*?)(?: SQLSTATE.*)?$", str(e), re.M):
+                    raise SchemaMismatchError(m[1]) from e
+                raise
             staged = self._spark.read.parquet(url).select(
                 "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")
             )
