@@ -233,7 +233,9 @@ def components(docs: DataFrame, bits: int = BITS) -> DataFrame:
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = materialize(named, "named")
+    # written, so that the join below reads plain exchanges, which Spark can split where a component is large
+    least = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     of = named.join(least, "root").select("fp", "component_id", "root")
     return fps.join(of, "fp").select("doc_id", "fp", "component_id", "root")
 
