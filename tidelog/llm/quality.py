@@ -47,9 +47,8 @@ STATISTICS = {
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-
-_SPACE = np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8)
-_SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
+#: Least probability of quality to stay: below one half, so that unfamiliar but clean texts are not lost.
+THRESHOLD = 0.3
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -284,7 +283,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, **gr
     return fit_forest(x, y, list(STATISTICS.values()), **growth)
 
 
-def judge(docs: DataFrame, forest: Forest | None, threshold: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, forest: Forest | None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: base counts, ``base_failed``, ``kept`` and ``quality`` (null without a forest)."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -317,7 +316,7 @@ def judge(docs: DataFrame, forest: Forest | None, threshold: float = 0.5) -> Dat
     )
 
 
-def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = 10_000) -> DataFrame:
+def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = 10_000) -> DataFrame:
     """The documents that the rules keep, with all their columns.  Needs no join: rows are filtered as they pass."""
     forest = fit_quality(docs, labels, max_rows)
     small_batches(docs.sparkSession)
