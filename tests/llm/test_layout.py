@@ -84,6 +84,13 @@ def test_shards(spark, odd_docs, no_docs):
     assert sharding.layout(no_docs, eight, nine).count() == 0
 
 
+def test_shards_are_written(spark, tmp_path):
+    docs, tree = spark.range(100).selectExpr("id AS doc_id", "'t' AS text"), sharding.balanced_tree(4)
+    sharding.write_shards(docs, tree, f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(tuple, back.select("doc_id", "shard").collect())) == sorted((r.doc_id, r.shard) for r in sharding.assign(docs, tree).collect())
+
+
 def test_weights_confine_movement(spark):
     docs = spark.range(6000).selectExpr("id AS doc_id")
     tree = sharding.balanced_tree(8)
