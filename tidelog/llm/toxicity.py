@@ -1,7 +1,7 @@
 """Toxicity: multiple-instance learning over sentences.
 
 A sentence is a maximal run without ``. ! ?`` or a line feed; its logit is a
-bias plus the weights of its words and of their five-letter beginnings.  A
+bias plus the weights of its words and of their first four and five letters.  A
 document is toxic unless every sentence is clean (noisy-or), so
 
     P(toxic) = 1 - prod(1 - p_s) = 1 - exp(-sum(softplus(logit_s)))
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import CHUNK_ROWS, bounded_sample, held_out, map_arrow
 
 THRESHOLD = 0.3
-PREFIX = 5
+#: Lengths of the beginnings of longer words that are features beside the word.
+PREFIXES = (4, 5)
 #: Words whose weight a task remembers; beyond it the memory starts anew.
 MEMORY = 200_000
 
@@ -40,10 +41,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def features(word: str) -> list[int]:
-    """Hashes of a lower-cased word and, if it is longer, of its beginning."""
+    """Hashes of a lower-cased word and of its beginnings."""
     found = [crc32(word.encode("utf-8", "replace"))]
-    if len(word) > PREFIX:
-        found.append(crc32(b"^" + word[:PREFIX].encode("utf-8", "replace")))
+    found += [crc32(b"^" + word[:n].encode("utf-8", "replace")) for n in PREFIXES if len(word) > n]
     return found
 
 
@@ -101,19 +101,21 @@ def fit(
     y = np.array([y for y, _ in bags], np.float64)
     counts = np.array([len(s) for _, s in bags])
     doc_at = np.concatenate([[0], np.cumsum(counts)])[:-1]
-    flat = [s for _, each in bags for s in each]
-    lengths = np.array([len(s) for s in flat])
-    hashes = np.concatenate(flat)
-    kinds, code = np.unique(hashes, return_inverse=True)
-    owner = np.repeat(np.repeat(np.arange(len(bags)), counts), lengths)
-    pair = np.unique(code.astype(np.int64) * len(bags) + owner)
-    in_docs = np.bincount(pair // len(bags), minlength=len(kinds))
-    in_toxic = np.bincount(pair // len(bags), y[pair % len(bags)], len(kinds))
+    lengths = np.array([len(s) for _, each in bags for s in each], np.int32)
+    kinds, code = np.unique(np.concatenate([s for _, each in bags for s in each]), return_inverse=True)
+    code = code.astype(np.int32)
+    in_docs, in_toxic = np.zeros(len(kinds)), np.zeros(len(kinds))
+    ends = np.cumsum(np.add.reduceat(lengths, doc_at))
+    for label, first, last in zip(y.tolist(), (ends - np.diff(ends, prepend=0)).tolist(), ends.tolist(), strict=True):
+        own = np.unique(code[first:last])
+        in_docs[own] += 1
+        in_toxic[own] += label
     keep = in_docs >= least_docs
     used = keep[code]
-    slot = np.cumsum(keep) - 1
-    code = slot[code[used]]
-    sentence = np.repeat(np.arange(len(flat)), lengths)[used]
+    code = (np.cumsum(keep, dtype=np.int32) - 1)[code[used]]
+    n_sentences = len(lengths)
+    sentence = np.repeat(np.arange(n_sentences, dtype=np.int32), lengths)[used]
+    del used
     kinds, bad = kinds[keep], in_toxic[keep] + 0.5
     good = in_docs[keep] - in_toxic[keep] + 0.5
     odds = np.log(bad / y.sum()) - np.log(good / (len(y) - y.sum()))
@@ -121,7 +123,7 @@ def fit(
     b, seen_b = bias, 1e-12
     doc_of = np.repeat(np.arange(len(bags)), counts)
     for _ in range(steps):
-        z = b + np.bincount(sentence, w[code], len(flat))
+        z = b + np.bincount(sentence, w[code], n_sentences)
         total = np.add.reduceat(_softplus(z), doc_at)
         slope = np.where(y > 0, -1 / np.expm1(np.clip(total, 1e-9, 500)), 1.0)
         r = slope[doc_of] / (1 + np.exp(-np.clip(z, -500, 500))) / len(bags)
@@ -135,7 +137,7 @@ def fit(
     return Model(dict(zip(kinds[alive].tolist(), w[alive].tolist(), strict=True)), float(b))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 6_000, **how) -> Model:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 5_000, **how) -> Model:
     """A model from at most about ``max_docs`` labelled documents that are not held out, whole texts."""
     marked = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
