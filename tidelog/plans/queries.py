@@ -5,14 +5,23 @@ The log: event n is operation n + 1 on its user's key; an ``error`` deletes.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.functions import keys
 from tidelog.operators import feed, merge, overlay, picker, resolve, stats
 from tidelog.schema import TableSchema, column, pad, violation
+from tidelog.sources.mirror import Mirror
+from tidelog.sources.replica import Replica
+from tidelog.sources.sqlfeed import select_changes
+from tidelog.sources.storage import Storage
+from tidelog.sources.table import KeyedTable, Options
+from tidelog.sources.workspace import scratch
+from tidelog.streaming.tail import TailSink, label_stream, read_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -333,8 +342,6 @@ def key_positions(spark, sf_dir):
     SELECT seq, first_row_id + row_index AS row_id FROM rows_ JOIN first USING (file_path)"""
 )
 def row_lineage(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     rows = _rows(spark, sf_dir)
     files = rows.groupBy("file_path").agg(F.count("*").alias("n"), F.min("seq").alias("low"))
     before = F.sum("n").over(W.orderBy("low").rowsBetween(W.unboundedPreceding, -1))
@@ -453,11 +460,8 @@ def version_key_seq(spark, sf_dir):
 # tables on storage
 
 
-def _stored(spark: SparkSession, sf_dir: str):
+def stored_table(spark: SparkSession, sf_dir: str) -> KeyedTable:
     """The log in a stored table: two batches with a merge between them."""
-    from tidelog.sources.table import KeyedTable, Options
-    from tidelog.sources.workspace import scratch
-
     ops = log(spark, sf_dir)
     stored = KeyedTable.open(spark, scratch(spark, "table"), SCHEMA, Options(compact_after=0))
     stored.write(ops.where("seq <= 600"), order_by=["seq"], op="op")
@@ -468,27 +472,21 @@ def _stored(spark: SparkSession, sf_dir: str):
 
 @query(f"WITH {LOG}, {RANKED} SELECT pk, event_type, value FROM r WHERE rn = 1 AND op = 1")
 def table_scan(spark, sf_dir):
-    return _stored(spark, sf_dir).scan()
+    return stored_table(spark, sf_dir).scan()
 
 
 @query(f"WITH {LOG}, {FEED} SELECT seq, op, pk, event_type, value FROM feed WHERE seq > 550")
 def table_changes(spark, sf_dir):
-    return _stored(spark, sf_dir).changes(since=550).drop("pk_bytes")
+    return stored_table(spark, sf_dir).changes(since=550).drop("pk_bytes")
 
 
 @query(f"WITH {LOG}, {FEED} SELECT seq, op, pk FROM feed WHERE seq >= 580 AND op <> 'INSERT'")
 def table_changes_sql(spark, sf_dir):
-    from tidelog.sources.sqlfeed import select_changes
-
-    return select_changes(_stored(spark, sf_dir), "seq, op, pk", "seq >= 580 AND op <> 'INSERT'")
+    return select_changes(stored_table(spark, sf_dir), "seq, op, pk", "seq >= 580 AND op <> 'INSERT'")
 
 
 @query(f"WITH {LOG}, {RANKED} SELECT pk, event_type, value FROM r WHERE rn = 1 AND op = 1")
 def replica_view(spark, sf_dir):
-    from tidelog.sources.replica import Replica
-    from tidelog.sources.table import KeyedTable, Options
-    from tidelog.sources.workspace import scratch
-
     ops, path = log(spark, sf_dir), scratch(spark, "replica")
     stored = KeyedTable.open(spark, path, SCHEMA, Options(compact_after=0))
     stored.write(ops.where("seq <= 600"), order_by=["seq"], op="op")
@@ -500,22 +498,14 @@ def replica_view(spark, sf_dir):
 
 @query(f"WITH {LOG}, {RANKED} SELECT pk, event_type, value FROM r WHERE rn = 1 AND op = 1")
 def exported_snapshot(spark, sf_dir):
-    import json
-
-    from tidelog.sources.storage import Storage
-    from tidelog.sources.workspace import scratch
-
     to = scratch(spark, "export")
-    described = _stored(spark, sf_dir).export(to)
+    described = stored_table(spark, sf_dir).export(to)
     files = json.loads(Storage(spark, to).get(described.removeprefix(f"{to}/")))["exported-files"]
     return spark.read.schema(SCHEMA.struct()).parquet(*[f["file-path"] for f in files])
 
 
 @query("SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS seq, o_orderkey, o_custkey FROM orders")
 def table_batch_numbers(spark, sf_dir):
-    from tidelog.sources.table import KeyedTable, Options
-    from tidelog.sources.workspace import scratch
-
     schema = TableSchema("orders", (column("o_orderkey", "long", nullable=False), column("o_custkey", "long")), ("o_orderkey",))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     stored = KeyedTable.open(spark, scratch(spark, "orders"), schema, Options(compact_after=0))
@@ -528,9 +518,6 @@ def table_batch_numbers(spark, sf_dir):
     FROM r WHERE rn = 1 AND op = 1"""
 )
 def table_evolved_scan(spark, sf_dir):
-    from tidelog.sources.table import KeyedTable, Options
-    from tidelog.sources.workspace import scratch
-
     ops = log(spark, sf_dir)
     stored = KeyedTable.open(spark, scratch(spark, "evolved"), SCHEMA, Options(compact_after=0))
     stored.write(ops.where("seq <= 600"), order_by=["seq"], op="op")
@@ -542,7 +529,7 @@ def table_evolved_scan(spark, sf_dir):
 
 @query(f"WITH {LOG}, {FEED} SELECT seq, op, pk, event_type, value FROM feed WHERE seq > 620")
 def table_changes_after_expiry(spark, sf_dir):
-    stored = _stored(spark, sf_dir)
+    stored = stored_table(spark, sf_dir)
     stored.expire(600)
     return stored.changes(since=620).drop("pk_bytes")
 
@@ -552,7 +539,7 @@ def table_changes_after_expiry(spark, sf_dir):
     "SELECT pk, event_type, value FROM r WHERE rn = 1 AND op = 1"
 )
 def table_scan_before_base(spark, sf_dir):
-    return _stored(spark, sf_dir).scan(as_of=400)
+    return stored_table(spark, sf_dir).scan(as_of=400)
 
 
 @query(
@@ -560,7 +547,7 @@ def table_scan_before_base(spark, sf_dir):
     UNION ALL SELECT pk, event_type, value FROM tail WHERE op = 1"""
 )
 def table_position_deletes(spark, sf_dir):
-    stored = _stored(spark, sf_dir)
+    stored = stored_table(spark, sf_dir)
     base = [stored.catalog_path() + "/" + f.path for f in stored.snapshot().base]
     stored.mark_deleted(merge.with_positions(spark.read.parquet(*base)).where("pk % 3 = 0"))
     return stored.scan()
@@ -568,21 +555,14 @@ def table_position_deletes(spark, sf_dir):
 
 @query(f"WITH {LOG}, {RANKED} SELECT pk, event_type, value FROM r WHERE rn = 1 AND op = 1")
 def mirror_scan(spark, sf_dir):
-    from tidelog.sources.mirror import Mirror
-    from tidelog.sources.table import KeyedTable
-    from tidelog.sources.workspace import scratch
-
     to = scratch(spark, "mirror")
-    Mirror(_stored(spark, sf_dir), to).run()
+    Mirror(stored_table(spark, sf_dir), to).run()
     return KeyedTable.open_read_only(spark, to).scan()
 
 
 @query(f"WITH {LOG}, {RANKED} SELECT seq, op, pk, event_type, value FROM r WHERE rn = 1")
 def stream_tail(spark, sf_dir):
-    from tidelog.sources.workspace import scratch
-    from tidelog.streaming.tail import TailSink, read_log
-
-    stored = _stored(spark, sf_dir)
+    stored = stored_table(spark, sf_dir)
     sink = TailSink(spark, scratch(spark, "tail"), SCHEMA)
     stream = read_log(spark, stored.catalog_path(), SCHEMA).writeStream.foreachBatch(sink)
     stream.option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
@@ -591,10 +571,7 @@ def stream_tail(spark, sf_dir):
 
 @query(f"WITH {LOG}, {FEED} SELECT seq, op, pk, event_type, value FROM feed")
 def stream_labels(spark, sf_dir):
-    from tidelog.sources.workspace import scratch
-    from tidelog.streaming.tail import label_stream, read_log
-
-    stored, to = _stored(spark, sf_dir), scratch(spark, "labels")
+    stored, to = stored_table(spark, sf_dir), scratch(spark, "labels")
     labelled = label_stream(read_log(spark, stored.catalog_path(), SCHEMA), SCHEMA).writeStream.format("parquet")
     labelled = labelled.option("path", to).option("checkpointLocation", scratch(spark, "progress"))
     labelled.outputMode("append").trigger(availableNow=True).start().awaitTermination()
