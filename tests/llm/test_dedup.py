@@ -234,6 +234,22 @@ def test_search_both_ways_and_at_the_threshold(spark, odd_docs, no_docs):
     assert decontam.search(no_docs, items).count() == 0 and decontam.search(docs, items.where("false")).count() == 0
 
 
+def test_both_ways_judge_each_row_by_its_own_text(spark):
+    r = random.Random(12)
+    held, unnamed, other = prose(r, 24), prose(r, 30), prose(r, 26)
+    texts = [(None, held), (None, prose(r, 50)), (None, None), (7, held), (7, prose(r, 40)), (8, unnamed), (8, other), (9, "short"), (7, held)]
+    docs = spark.createDataFrame([(i, t, k, "n") for k, (i, t) in enumerate(texts)], "doc_id long, text string, key int, near string")
+    # a null item, and two items of one id
+    items = spark.createDataFrame([(1, held), (None, unnamed), (2, other), (2, prose(r, 20)), (None, None)], "item_id long, text string")
+    small = sorted(map(repr, decontam.search(docs, items).collect()))
+    want = sorted([(None, 1), (7, 1), (7, 1), (8, None), (8, 2)], key=repr)
+    for how in ({}, {"max_items": 0}, {"max_bytes": 0}):
+        found = decontam.search(docs, items, **how).collect()
+        assert sorted([(x.doc_id, x.item_id) for x in found], key=repr) == want and sorted(map(repr, found)) == small
+        clean = decontam.filter_contaminated(docs, items, **how)
+        assert clean.columns == docs.columns and sorted(x.key for x in clean.collect()) == [1, 2, 4, 7]
+
+
 def test_sketches_lose_nothing():
     r = random.Random(4)
     memory = decontam._WordHashes()

@@ -18,7 +18,8 @@ little; instead
   by exact containment of its shingles, word by word.
 
 Items of proven small size travel to the tasks; a larger benchmark is joined to
-the document sketches by value.  Both ways give the same rows.
+the document sketches by value, and candidates to the documents by a hash of
+doc_id and text.  Both ways judge each row by its own text and give the same rows.
 
 Defined results: an item or document of fewer than five words (null and empty
 texts too) has no shingle and takes no part; equal items each get their rows;
@@ -35,7 +36,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import CHUNK_ROWS, map_arrow, materialize, small_batches
@@ -195,23 +196,30 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _search_joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """The search for a benchmark of any size: sketches meet in a join by value, verification in one by document."""
+def _key(id_name: str, text_name: str = "text") -> Column:
+    """Tells rows apart unless they repeat; where it does not, a row only gets more candidates to verify."""
+    return F.xxhash64(F.col(id_name).cast("long"), F.col(text_name).cast("string"))
+
+
+def _near_items(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """The candidates of each ``key`` of ``docs``, for a benchmark of any size: sketches meet in a join by value."""
+    items = items.withColumn("item_key", _key("item_id"))
 
     def sketches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         memory, rows = _WordHashes(), []
-        for item_id, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for item_key, text in zip(batch.column("item_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
             h = min_hashes(words_of(text), memory)
             if len(h):
                 size = len(np.unique(h))
                 s = sketch(h, threshold).view(np.int64)
-                rows += [(item_id, size.bit_length(), needed(size, threshold), v) for v in s.tolist()]
+                rows += [(item_key, size.bit_length(), needed(size, threshold), v) for v in s.tolist()]
         columns = list(zip(*rows, strict=True)) or [[]] * 4
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in columns], names=["item_id", "size_class", "least", "value"]
+            [pa.array(c, pa.int64()) for c in columns], names=["item_key", "size_class", "least", "value"]
         )
 
-    own = materialize(map_arrow(items, sketches, "item_id long, size_class long, least long, value long"), "sketches")
+    schema = "item_key long, size_class long, least long, value long"
+    own = materialize(map_arrow(items, sketches, schema), "sketches")
     # at most one row for each bit length of a size
     flip = F.col("value").bitwiseXOR(F.lit(-(1 << 63)))
     limits = own.groupBy("size_class").agg(F.min("least"), F.max(flip)).collect()
@@ -220,49 +228,82 @@ def _search_joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataF
     def values(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         memory = _WordHashes()
         for at in range(0, batch.num_rows, CHUNK_ROWS):
-            part, ids, classes, found = batch.slice(at, CHUNK_ROWS), [], [], []
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+            part, keys, classes, found = batch.slice(at, CHUNK_ROWS), [], [], []
+            for key, text in zip(part.column("key").to_pylist(), part.column("text").to_pylist(), strict=True):
                 h = min_hashes(words_of(text), memory)
                 distinct = np.unique(h)
                 for c, least, top in bounds:
                     if len(h) >= least:
                         v = distinct[distinct <= np.uint64(top)].view(np.int64)
-                        ids += [doc_id] * len(v)
+                        keys += [key] * len(v)
                         classes.append(np.full(len(v), c))
                         found.append(v)
-            if ids:
+            if keys:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(np.concatenate(classes)), pa.array(np.concatenate(found))],
-                    names=["doc_id", "size_class", "value"],
+                    [pa.array(keys, pa.int64()), pa.array(np.concatenate(classes)), pa.array(np.concatenate(found))],
+                    names=["key", "size_class", "value"],
                 )
 
     near = (
-        map_arrow(docs, values, "doc_id long, size_class long, value long")
-        .join(own.select("item_id", "size_class", "value"), ["size_class", "value"])
-        .select("doc_id", "item_id")
+        map_arrow(docs, values, "key long, size_class long, value long")
+        .join(own.select("item_key", "size_class", "value"), ["size_class", "value"])
+        .select("key", "item_key")
         .distinct()
     )
-    lists = (
-        near.join(items.withColumnRenamed("text", "item_text"), "item_id")
-        .groupBy("doc_id")
+    return (
+        near.join(items.select("item_key", "item_id", F.col("text").alias("item_text")), "item_key")
+        .groupBy("key")
         .agg(F.sort_array(F.collect_list(F.struct("item_id", "item_text"))).alias("near"))
     )
 
+
+def _held(text: str | None, near: list[dict] | None, threshold: float) -> Iterator[tuple[int | None, int, int]]:
+    """(item, its shingles, those that the text contains) of each candidate that the text holds."""
+    own = shingles(words_of(text)) if near else set()
+    for item in near or []:
+        mine = shingles(words_of(item["item_text"]))
+        shared = len(mine & own)
+        if mine and shared >= needed(len(mine), threshold):
+            yield item["item_id"], len(mine), shared
+
+
+def _search_joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """The search for a benchmark of any size: candidates meet their documents in a join, and are verified there."""
+    keyed = docs.withColumn("key", _key("doc_id"))
+
     def verify(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
-        for doc_id, text, each in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "near")), strict=True):
-            own = shingles(words_of(text))
-            for item in each:
-                mine = shingles(words_of(item["item_text"]))
-                shared = len(mine & own)
-                if mine and shared >= needed(len(mine), threshold):
-                    rows.append((doc_id, item["item_id"], len(mine), shared, shared / len(mine)))
+        for doc_id, text, near in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "near")), strict=True):
+            rows += [(doc_id, i, size, shared, shared / size) for i, size, shared in _held(text, near, threshold)]
         yield _rows(rows)
 
-    joined = docs.join(lists, docs.doc_id.eqNullSafe(lists.doc_id)).select(docs.doc_id, "text", "near")
+    joined = keyed.join(_near_items(keyed, items, threshold), "key").select("doc_id", "text", "near")
     return map_arrow(joined, verify, _SCHEMA)
 
 
+def _filter_joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """The filter for a benchmark of any size: each row meets its candidates, and goes only if its own text holds one."""
+    names = docs.columns
+    at_text = names.index("text")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    keyed = plain.withColumn("key", _key(f"c{names.index('doc_id')}", f"c{at_text}"))
+    near = _near_items(keyed.select("key", F.col(f"c{at_text}").cast("string").alias("text")), items, threshold)
+    rows = keyed.join(near, "key", "left").drop("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = []
+            for at in range(0, batch.num_rows, CHUNK_ROWS):
+                part = batch.slice(at, CHUNK_ROWS)
+                both = zip(part.column(at_text).to_pylist(), part.column(len(names)).to_pylist(), strict=True)
+                clean += [not any(_held(text, near, threshold)) for text, near in both]
+            if clean:
+                yield batch.select(range(len(names))).filter(pa.array(clean))
+
+    small_batches(docs.sparkSession)
+    return rows.mapInArrow(run, plain.schema).toDF(*names)
+
+
 def filter_contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -275,8 +316,7 @@ def filter_contaminated(
     small = _small(items, max_items, max_bytes)
     names = docs.columns
     if small is None:
-        bad = search(docs, benchmark, threshold, max_items, max_bytes).select(F.col("doc_id").alias("_bad")).distinct()
-        return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti").select(*docs.columns)
+        return _filter_joined(docs, items, threshold)
     texts, at_text = [r[1] for r in small], names.index("text")
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
 
