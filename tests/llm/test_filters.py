@@ -147,6 +147,23 @@ def test_code_lengths_equal_ppm(spark, real):
         assert np.allclose(got[i], want, rtol=1e-5)
 
 
+def test_code_lengths_equal_ppm_with_many_scripts(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    scripts = {"en": (33, 127), "la": (0xA0, 0x250), "el": (0x3B1, 0x3CA), "ru": (0x430, 0x450), "hy": (0x561, 0x587), "ka": (0x10D0, 0x10F1), "th": (0xE01, 0xE2F), "ja": (0x4E00, 0x9F00), "ko": (0xAC00, 0xD7A0), "xx": (0x10000, 0x10FFFF)}
+    word = lambda a, b, n: "".join(map(chr, r.integers(a, b, n)))
+    texts = {k: " ".join(word(a, b, 5) for _ in range(60)) for k, (a, b) in scripts.items()}
+    docs = spark.createDataFrame([(None, t, k) for k, t in texts.items()], "doc_id long, text string, lang string")
+    model = langid.fit_language(docs)
+    assert model.languages == sorted(scripts) and len(np.unique(model.gram & 255)) > 127
+    asked = [t.encode()[:150] for t in texts.values()] + [(word(a, b, 6) + "\t" + word(a, b, 9)).encode() for a, b in scripts.values()] + [bytes(range(256))]
+    want = [[ppm_bits(model, k, t) for k in range(len(model.languages))] for t in asked]
+    made = langid.Coder(model)
+    assert np.allclose(made.bits(asked), want, rtol=1e-5) and np.allclose(made.bits(asked[::-1]), want[::-1], rtol=1e-5)
+    monkeypatch.setattr(langid, "MEMORY", 10 * 150)  # the memory starts anew again and again
+    for t, w in zip(asked, want, strict=True):
+        assert np.allclose(made.bits([t])[0], w, rtol=1e-5)
+
+
 def test_languages_of_held_out_documents(spark, odd_docs, no_docs):
     d = "/root/testdata/sf0.01"
     known = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").collect()}

@@ -9,8 +9,9 @@ symbols just excluded; below order 0 a byte unseen by the language costs its
 share of what is left of 256.  The language with the shortest code wins, and
 the score is its posterior share under equal priors.
 
-Since exclusions depend on the context alone, the cost of every (context, byte)
-is tabulated once a worker, and a text is scored by table lookups.
+A byte's cost depends on it and the three before it alone, so it is worked out
+once for each four-byte gram that occurs, by look-ups in sorted counts, and
+remembered; a text is scored by table lookups.  All 256 byte values count.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0;
 without training rows everything is ``und``; repeated rows are scored one by one.
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import CHUNK_ROWS, bounded_sample, held_out, map_arrow
 
 ORDER = 3
-#: Bytes beyond the most frequent of training are coded below order 0.
-ALPHABET = 127
+#: Costs that a worker remembers, over all languages; beyond it the memory starts anew.
+MEMORY = 8_000_000
 
 _letter = regex.compile(r"\p{L}").search
 _PAD = np.full(ORDER, ord("\n"), np.uint8)
@@ -58,90 +59,96 @@ class Model:
         return hashlib.sha256(b"".join(parts)).hexdigest()
 
 
-def _bits(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """-log2(part / whole); 0 where nothing is left to code."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(part > 0, -np.log2(part / whole), 0.0)
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key in a sorted table that is not empty, and whether it is there."""
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+class _Order:
+    """One language's counts after contexts of one length, and what is left of the next shorter one."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray, width: int, shorter: _Order | None):
+        self.width = width
+        self.key, back = np.unique(gram & np.uint32((1 << 8 * (width + 1)) - 1), return_inverse=True)
+        self.n = np.bincount(back, n)
+        self.context, of = np.unique(self.key >> np.uint32(8), return_inverse=True)
+        self.total, self.kinds = np.bincount(of, self.n), np.bincount(of)
+        if shorter is not None:
+            # whatever is seen here is seen in the shorter context
+            known = shorter.n[shorter.place(self.key)[0]]
+            at, _ = shorter.place_of_context(self.key[np.unique(of, return_index=True)[1]])
+            self.left = shorter.total[at] - np.bincount(of, known)
+            self.left_kinds = shorter.kinds[at] - self.kinds
+
+    def place(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _find(self.key, gram & np.uint32((1 << 8 * (self.width + 1)) - 1))
+
+    def place_of_context(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _find(self.context, gram >> np.uint32(8) & np.uint32((1 << 8 * self.width) - 1))
 
 
 class Coder:
     """Code lengths in bits of every (context, byte) under each language."""
 
     def __init__(self, model: Model):
-        self.languages = model.languages
-        seen = np.bincount((model.gram & 255).astype(np.int64), model.count, 256)
-        used = np.argsort(-seen, kind="stable")[: int(min((seen > 0).sum(), ALPHABET))]
-        size = self.size = len(used) + 1  # the last code is any other byte
-        self.code = np.full(256, size - 1, np.int64)
-        self.code[np.sort(used)] = np.arange(size - 1)
-        g = model.gram.astype(np.int64)
-        c = [self.code[g >> s & 255] for s in (24, 16, 8, 0)]
-        known = np.all([x < size - 1 for x in c], axis=0)
-        context = (c[0] * size + c[1]) * size + c[2]
-        deep = np.unique(context[known])
-        self.deep = np.full(size**3, -1, np.int32)
-        self.deep[deep] = np.arange(len(deep))
-        n_lang = len(self.languages)
-        self.long = np.empty((len(deep) * size, n_lang), np.float32)
-        self.short = np.empty((size**3, n_lang), np.float32)
-        for k in range(n_lang):
-            own = model.language == k
-            self._tabulate(k, [x[own] for x in c], model.count[own], deep)
-
-    def _tabulate(self, k: int, c: list[np.ndarray], n: np.ndarray, deep: np.ndarray) -> None:
-        size = self.size
-        last, inside = size - 1, [x < size - 1 for x in c]
-
-        def table(width: int) -> np.ndarray:
-            """Counts by context of ``width`` bytes (rows) and byte, of grams without other bytes."""
-            ok = np.all(inside[3 - width :], axis=0)
-            at = np.zeros(len(n), np.int64)
-            for x in c[3 - width : 3]:
-                at = at * size + x
-            if width == 3:
-                at = self.deep[at]
-                ok &= at >= 0
-                rows = len(deep)
-            else:
-                rows = size**width
-            return np.bincount(at[ok] * size + c[3][ok], n[ok], rows * size).reshape(rows, size)
-
-        cost = escaped = before = None
-        for width in range(ORDER + 1):
-            count = table(width)
-            total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-            if width == 0:
-                below = np.full((1, size), np.log2(max(256 - int(kinds[0, 0]), 1)))
-                inherited = below
-            else:
-                # rows of the next shorter context, its counts, and what is left of it after excluding what is seen here
-                shorter = (deep if width == 3 else np.arange(size**width)) % size ** (width - 1)
-                n_short = before[shorter]
-                left = n_short * (count == 0)
-                n_left, d_left = left.sum(1, keepdims=True), (left > 0).sum(1, keepdims=True)
-                new = _bits(n_short, n_left + d_left)
-                below = np.where(n_short > 0, new, _bits(d_left, n_left + d_left) + escaped[shorter])
-                inherited = cost[shorter]
-            here = np.where(count > 0, _bits(count, total + kinds), _bits(kinds, total + kinds) + below)
-            cost, escaped, before = np.where(total > 0, here, inherited), below, count
-            if width == 2:
-                self.short[:, k] = cost.reshape(-1)
-            if width == 3:
-                self.long[:, k] = cost.reshape(-1)
-        assert last == size - 1
+        self.languages, self.orders = model.languages, []
+        for k in range(len(self.languages)):
+            own, orders = model.language == k, []
+            for width in range(ORDER + 1):
+                orders.append(_Order(model.gram[own], model.count[own], width, orders[-1] if orders else None))
+            self.orders.append(orders)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.gram, self.cost = np.empty(0, np.uint32), np.empty((0, len(self.languages)), np.float32)
+
+    def costs(self, gram: np.ndarray) -> np.ndarray:
+        """The cost of the last byte of each gram (rows) under each language."""
+        out = np.zeros((len(gram), len(self.languages)))
+        for k, orders in enumerate(self.orders):
+            todo, longer = np.arange(len(gram)), np.full(len(gram), -1)
+            for order in reversed(orders):
+                g = gram[todo]
+                context, met = order.place_of_context(g)
+                at, seen = order.place(g)
+                total, kinds = order.total[context], order.kinds[context]
+                if order.width < ORDER:
+                    # without the symbols of the longer context that was escaped from
+                    above, cut = orders[order.width + 1], longer[todo] >= 0
+                    total = np.where(cut, above.left[longer[todo]], total)
+                    kinds = np.where(cut, above.left_kinds[longer[todo]], kinds)
+                part = np.where(seen, order.n[at], kinds)
+                coded = met & (part > 0)
+                out[todo[coded], k] += np.log2((total[coded] + kinds[coded]) / part[coded])
+                longer[todo] = np.where(met, context, -1)
+                todo = todo[~seen]
+            out[todo, k] += np.log2(max(256 - int(orders[0].kinds[0]), 1))
+        return out
+
+    def _rows(self, gram: np.ndarray) -> np.ndarray:
+        """Places in the memory of the costs of these grams, which are worked out if they are new."""
+        if len(self.gram):
+            at, known = _find(self.gram, gram)
+            if known.all():
+                return at
+            new = np.unique(gram[~known])
+        else:
+            new = np.unique(gram)
+        if (len(self.gram) + len(new)) * len(self.languages) > MEMORY:
+            self._forget()
+            new = np.unique(gram)
+        to = np.searchsorted(self.gram, new)
+        self.cost = np.insert(self.cost, to, self.costs(new), axis=0)
+        self.gram = np.insert(self.gram, to, new)
+        return np.searchsorted(self.gram, gram)
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text (rows, none empty) under each language."""
         sizes = np.array([len(t) for t in texts])
         out = np.empty((len(texts), len(self.languages)))
-        flat = np.frombuffer((b"\n" * ORDER).join([b"", *texts]), np.uint8)
-        x = self.code[flat]
-        size = self.size
-        two = x[1:-2] * size + x[2:-1]
-        at = self.deep[x[:-3] * size * size + two]
-        rows = self.short[two * size + x[3:]]
-        found = np.flatnonzero(at >= 0)
-        rows[found] = self.long[at[found].astype(np.int64) * size + x[3:][found]]
+        at = self._rows(byte_grams((b"\n" * ORDER).join(texts)))
+        rows = self.cost[at]
         begin = np.cumsum(sizes + ORDER) - (sizes + ORDER)
         for i, (a, n) in enumerate(zip(begin.tolist(), sizes.tolist(), strict=True)):
             out[i] = rows[a : a + n].sum(axis=0, dtype=np.float64)
