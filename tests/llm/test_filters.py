@@ -6,7 +6,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from tidelog.llm import langid, quality, queries, toxicity, urlfilter
+from tidelog.llm import common, langid, quality, queries, toxicity, urlfilter
 
 from .conftest import words_of
 
@@ -79,6 +79,30 @@ def test_quality_filter_keeps_rows_whole(spark, odd_docs, no_docs):
     assert quality.fit_quality(odd_docs, one) is None
 
 
+def test_samples_keep_rare_labels(spark):
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "concat('t', id) AS text", "if(id % 4000 = 7, 'rare', 'usual') AS label")
+    rows = rows.union(spark.range(4000).selectExpr("CAST(null AS LONG)", "concat('null ', id)", "'unnamed'"))
+    got = Counter(r.label for r in common.bounded_sample(rows, ["doc_id", "text"], 1000, "label").collect())
+    # about 833 and 167 in proportion; all of the five; null ids are chosen one by one
+    assert got["rare"] == 5 and 700 < got["usual"] < 970 and 140 < got["unnamed"] < 260
+    assert common.bounded_sample(rows, ["doc_id", "text"], 24_000, "label").count() == 24_000
+
+
+def test_rare_classes_are_learned(spark):
+    n = 14_000
+    # documents that a sample in proportion to the labels takes one in two or three of; one in 2,000 is rare
+    base = spark.range(n).selectExpr("id AS doc_id", "id % 2000 = 1 AS rare")
+    docs = base.selectExpr("doc_id", "if(rare, 'zyx wvu zyx wvu', 'the cat sat there') AS text", "if(rare, 'zz', 'en') AS lang")
+    ids = {r.doc_id for r in base.where("rare").collect() if crc32(str(r.doc_id).encode()) % 4 != 2}
+    model = langid.fit_language(docs, max_docs=500)
+    count = sum(int(c) for k, g, c in zip(model.language, model.gram, model.count, strict=True) if model.languages[k] == "zz" and g & 255 == ord("v"))
+    assert model.languages == ["en", "zz"] and count == 2 * len(ids)
+    labels = base.selectExpr("doc_id", "int(NOT rare) AS quality", "int(rare) AS toxic")
+    tox = toxicity.fit_toxicity(docs, labels, max_docs=500)
+    assert {r.predicted for r in toxicity.score(docs.where("lang = 'zz'"), tox).collect()} == {1}
+    assert quality.fit_quality(docs, labels, max_rows=500, trees=2) is not None
+
+
 def test_toxicity_on_held_out_documents(spark):
     d = "/root/testdata/check_h"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}

@@ -16,6 +16,8 @@ from tidelog.sources.workspace import scratch
 
 #: Rows of an Arrow batch that are worked on together, so that word lists stay small.
 CHUNK_ROWS = 128
+#: So many rows of each label are in a sample, or all that it has.
+LEAST_OF_LABEL = 200
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -35,17 +37,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def bounded_sample(labelled: DataFrame, key: str, bound: int) -> DataFrame:
-    """About ``bound`` rows of ``labelled``, chosen by a hash of ``key``; all rows if there are no more.
+def bounded_sample(labelled: DataFrame, keys: list[str], bound: int, label: str) -> DataFrame:
+    """About ``bound`` rows of ``labelled``, chosen by a hash of ``keys``; all rows if there are no more.
 
-    A row is in or out by its own key, so no task sees more than its share and
+    Labels keep their proportions, but of each at least about
+    :data:`LEAST_OF_LABEL` rows are taken, all if it has no more; so the sample
+    has about ``bound + LEAST_OF_LABEL * labels`` rows at most.  A row is in or
+    out by its own label and keys, so no task sees more than its share and
     reruns choose the same rows.
     """
-    n = labelled.count()
+    counts = dict(map(tuple, labelled.groupBy(label).count().collect()))  # a row for each label
+    n = sum(counts.values())
     if n <= bound:
         return labelled
     scale = 1 << 30
-    return labelled.where(F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(scale)) < int(scale * bound / n))
+    limit = F.lit(int(scale * bound / n))
+    raised = {x: min(1, LEAST_OF_LABEL / m) for x, m in counts.items() if m * bound < LEAST_OF_LABEL * n}
+    if raised:
+        pairs = [F.lit(x) for label_share in raised.items() for x in (label_share[0], int(scale * label_share[1]))]
+        limit = F.coalesce(F.create_map(*pairs)[F.col(label)], limit)
+    return labelled.where(F.pmod(F.xxhash64(F.lit(7), *keys), F.lit(scale)) < limit)
 
 
 def byte_texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[int, list[bytes | None]]]:

@@ -183,7 +183,7 @@ def fit_language(docs: DataFrame, max_docs: int = 6_000) -> Model:
                     [pa.array([lang] * len(gram)), pa.array(gram.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"]
                 )
 
-    sample = bounded_sample(marked, "doc_id", max_docs)
+    sample = bounded_sample(marked, ["doc_id", "text"], max_docs, "lang")
     counts = map_arrow(sample, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     got = counts.toPandas().sort_values(["lang", "gram"])  # bounded by the sample
     languages = sorted(set(got.lang))

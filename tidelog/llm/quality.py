@@ -271,7 +271,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, **gr
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg((F.min("quality") > 0).cast("int").alias("quality"))
     )
-    marked = F.broadcast(bounded_sample(marked, "doc_id", max_rows))  # bounded by max_rows
+    marked = F.broadcast(bounded_sample(marked, ["doc_id"], max_rows, "quality"))  # bounded by max_rows and the number of labels
     ours = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         marked.select("doc_id"), "doc_id", "left_semi"
     )

@@ -144,7 +144,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 5_000, **ho
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     )
-    marked = F.broadcast(bounded_sample(marked, "doc_id", max_docs))  # bounded by max_docs
+    marked = F.broadcast(bounded_sample(marked, ["doc_id"], max_docs, "toxic"))  # bounded by max_docs and the number of labels
     ours = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(
         marked, "doc_id"
     )
