@@ -28,3 +28,11 @@ def test_bounds_on_seq_reach_the_scan(spark, sf_dir, tmp_path):
 def test_range_bounds_reach_the_scan(spark, sf_dir):
     plan = QUERIES["range_scan"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(user_id,3)" in plan and "LessThan(user_id,90)" in plan
+
+
+def test_bench_gives_no_rates_of_partial_queries():
+    import bench
+
+    seconds = dict.fromkeys([*bench.HEADLINE, "stored_scan"], 0.5)
+    whole = {"current_state", "feed_all", "feed_since", "compact_keep_latest", "file_stats", "stored_scan"}
+    assert bench.rates(seconds, 100) == dict.fromkeys(whole, 200)
