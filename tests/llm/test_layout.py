@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidelog.llm import attribution, packing, queries, sharding
+from tidelog.llm import attribution, packing, quality, queries, sharding
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -216,6 +216,29 @@ def test_pipeline(spark, sf_dir):
             docs = spark.createDataFrame(rows, docs.schema)
 
 
+def test_pipeline_drops_what_it_should(spark, sf_dir):
+    """Stage 1 keeps what judge() keeps; stage 4 keeps what holds no item."""
+    names = ["doc_id", "text"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = lambda df: sorted(map(repr, df.select(names).collect()))
+    forest = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    kept = {r.doc_id: r.kept for r in quality.judge(docs, forest).collect()}
+    first = corpus_pipeline.STAGES[0][1](spark, docs, sf_dir)
+    assert forest is not None and len(kept) == docs.count() and 0 < sum(kept.values()) < len(kept)
+    assert rows(first) == sorted(repr(r) for r in docs.select(names).collect() if kept[r.doc_id])
+
+    def grams(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    items = [g for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if (g := grams(r.text))]
+    holds = lambda text: any(10 * len(g & own) >= 8 * len(g) for own in [grams(text)] for g in items)
+    every = docs.select(names).collect()
+    clean = sorted(repr(r) for r in every if not holds(r.text))
+    assert 0 < len(clean) < len(every)
+    assert rows(corpus_pipeline.STAGES[3][1](spark, docs, sf_dir)) == clean
+
+
 def test_stages_take_odd_rows(spark, odd_docs, no_docs, sf_dir):
     for docs in (odd_docs, no_docs):
         for _, stage in corpus_pipeline.STAGES:
