@@ -1,5 +1,6 @@
 """Token counts, shards, packing and the pipeline."""
 
+import base64
 import random
 from collections import Counter, defaultdict
 from zlib import crc32
@@ -7,6 +8,7 @@ from zlib import crc32
 import numpy as np
 import public_tokenizers
 import pytest
+import tiktoken
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -16,9 +18,15 @@ RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokeniz
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
-def slow_counts(text, bounds, rule):
+@pytest.fixture(scope="module")
+def encoding():
+    """The tokenizer itself, without anything of the operator."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def slow_counts(encoding, text, bounds, rule):
     """Each token's characters, one by one."""
-    encoding, _ = attribution.tokenizer(RANKS, PATTERN)
     tokens, at, char = Counter(), 0, []
     for i, c in enumerate(text):
         char += [i] * len(c.encode())
@@ -33,31 +41,54 @@ def slow_counts(text, bounds, rule):
     return [tokens[k] for k in range(len(bounds) - 1)]
 
 
+def slow_bounds(text):
+    lines = text.split("\n")
+    ends = np.cumsum([len(x) + 1 for x in lines]).tolist()
+    ends = ends[:-1] if text.endswith("\n") else [*ends[:-1], len(text)]
+    return [0, *(ends or [0])]
+
+
 @pytest.mark.parametrize("rule", attribution.RULES)
-def test_attribution_equals_brute_force(spark, odd_docs, no_docs, rule):
-    docs = odd_docs.where("length(text) < 3000 or text is null").union(
-        spark.createDataFrame([(90 + i, t, None, None, None, None, None, None, None) for i, t in enumerate(["a\n\n\nb", "\n", "x \n y\n\n", "é\n\U0001f600\n\n日本"])], odd_docs.schema)
-    )
-    docs = docs.where("doc_id is not null and doc_id <> 12").distinct()  # ids that tell rows apart
-    got = defaultdict(list)
-    for r in attribution.count_by_line(docs, RANKS, PATTERN, rule).orderBy("section").collect():
-        got[r.doc_id].append(r)
+def test_attribution_equals_brute_force(spark, odd_docs, no_docs, encoding, rule):
+    """Long texts, null ids, repeated ids and repeated rows too."""
+    more = ["a\n\n\nb", "\n", "x \n y\n\n", "é\n\U0001f600\n\n日本"]
+    docs = odd_docs.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(more, 90)), "doc_id long, text string"))
+    got = attribution.count_by_line(docs, RANKS, PATTERN, rule).collect()
+    want = []
     for r in docs.collect():
         text = r.text or ""
-        bounds = attribution.line_bounds(text)
-        lines = text.split("\n")
-        ends = np.cumsum([len(x) + 1 for x in lines]).tolist()
-        ends = ends[:-1] if text.endswith("\n") else [*ends[:-1], len(text)]
-        assert bounds == [0, *(ends or [0])]
-        assert [(x.start, x.end) for x in got[r.doc_id]] == list(zip(bounds, bounds[1:], strict=False))
-        assert [x.n_tokens for x in got[r.doc_id]] == (slow_counts(text, bounds, rule) if text else [0]), r.doc_id
+        bounds = slow_bounds(text)
+        counts = slow_counts(encoding, text, bounds, rule) if text else [0]
+        want += [(r.doc_id, k, a, b, n) for k, (a, b, n) in enumerate(zip(bounds[:-1], bounds[1:], counts, strict=True))]
+    assert Counter(tuple(r)[:5] for r in got) == Counter(want)
     assert attribution.count_by_line(no_docs, RANKS, PATTERN).count() == 0
     with pytest.raises(ValueError):
         attribution.count_by_line(docs, RANKS, PATTERN, "all")
 
 
-def test_fields_add_up(spark, odd_docs):
-    encoding, _ = attribution.tokenizer(RANKS, PATTERN)
+def test_long_white_space_keeps_its_ids(monkeypatch, encoding):
+    """Runs are cut out where the pattern cuts: ids are those of the tokenizer over the whole text."""
+    r, encode = random.Random(6), attribution.tokenizer(RANKS, PATTERN)[0]
+    monkeypatch.setattr(attribution, "LONG_SPACE", 3)
+    monkeypatch.setattr(attribution, "_long_space", attribution.regex.compile(r"\p{White_Space}{3,}").finditer)
+    for _ in range(500):
+        text = "".join(r.choices(["a", "é", "1", "'s", "!", " ", "  ", "\n", "\t", "\r\n", "\u3000", "\x85", "\x1c", "\u200b"], k=r.randint(0, 40)))
+        assert encode(text) == encoding.encode_ordinary(text), repr(text)
+
+
+def test_very_long_white_space(spark, encoding):
+    n = 1_000_000
+    texts = [" " * n, "x" + " " * n + "y\nz", "\n" * 30_000 + "end", "a\n" + "\t \r" * 300_000]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, section string")
+    got = defaultdict(list)
+    for r in attribution.count_by_line(docs, RANKS, PATTERN).orderBy("section").collect():
+        got[r.doc_id].append(r.n_tokens)
+    piece = lambda t: len(encoding._encode_single_piece(t))
+    assert got[0] == [piece(" " * n)] and got[1] == [1 + piece(" " * (n - 1)) + 1 + 1, 1]
+    assert got[2] == slow_counts(encoding, texts[2], slow_bounds(texts[2]), "majority") and got[3] == [2, piece("\t \r" * 300_000)]
+
+
+def test_fields_add_up(spark, odd_docs, encoding):
     got = attribution.count_by_field(odd_docs.where("doc_id < 10"), ["source", "lang", "text"], RANKS, PATTERN)
     total = got.groupBy("doc_id").sum("n_tokens").collect()
     for r in odd_docs.where("doc_id < 10").collect():

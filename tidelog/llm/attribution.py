@@ -13,8 +13,15 @@ whole character.  Both lists of spans are in order, so the join is a search in
 the sorted boundaries, not a product.  Counts over the sections of a document
 add up to its token count under each rule.
 
+White space of many thousand characters overflows the stack of the pattern's
+engine, so such a run is cut out first, where the pattern itself cuts: all of it
+at the end of a text, else all but its last character.  The ids stay the same.
+
 Defined results: a null or empty text is one empty section without tokens;
-repeated rows are counted one by one; a null field counts as empty.
+repeated rows, rows of one doc_id and rows without one are counted one by one;
+texts of any length are encoded whole; a token that two sections hold equal
+parts of goes by the rule; a null field counts as empty; an empty table gives an
+empty one; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,16 +32,42 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import CHUNK_ROWS, map_arrow
 
 RULES = ("majority", "first", "last")
+#: How a pattern ends that takes a run of white space but for the last character before something else.
+SPACE_RULE = r"|\s+(?!\S)|\s+"
+#: Runs of white space of so many characters are cut out of a text before it is encoded.
+LONG_SPACE = 10_000
+
+_long_space = regex.compile(rf"\p{{White_Space}}{{{LONG_SPACE},}}").finditer
+
+
+class Encoder:
+    """Ids of a text, whatever is in it."""
+
+    def __init__(self, encoding, pattern: str):
+        self._encoding, self._cuts = encoding, pattern.endswith(SPACE_RULE)
+
+    def __call__(self, text: str) -> list[int]:
+        if len(text) < LONG_SPACE or not self._cuts:
+            return self._encoding.encode_ordinary(text)
+        ids, at = [], 0
+        for run in _long_space(text):
+            start, end = run.span()
+            end -= end < len(text)
+            ids += self._encoding.encode_ordinary(text[at:start])
+            ids += self._encoding._encode_single_piece(text[start:end])  # one match of the pattern
+            at = end
+        return ids + self._encoding.encode_ordinary(text[at:])
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str, pattern: str):
+def tokenizer(path: str, pattern: str) -> tuple[Encoder, np.ndarray]:
     """The byte-level encoding of a rank file, and the bytes in each of its tokens."""
     import tiktoken
 
@@ -43,7 +76,8 @@ def tokenizer(path: str, pattern: str):
     size = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, rank in ranks.items():
         size[rank] = len(token)
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), size
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return Encoder(encoding, pattern), size
 
 
 def token_spans(text: str, encode: Callable[[str], list[int]], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +126,7 @@ def _counted(df: DataFrame, spans: Callable, path: str, pattern: str, rule: str)
         raise ValueError(f"rule must be one of {RULES}")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        encoding, size = tokenizer(path, pattern)
+        encode, size = tokenizer(path, pattern)
         for at in range(0, batch.num_rows, CHUNK_ROWS):
             part = batch.slice(at, CHUNK_ROWS)
             columns = [part.column(i).to_pylist() for i in range(1, part.num_columns)]
@@ -100,7 +134,7 @@ def _counted(df: DataFrame, spans: Callable, path: str, pattern: str, rule: str)
             for row in zip(*columns, strict=True):
                 text, bounds = spans(row)
                 bounds = np.array(bounds)
-                starts, ends = token_spans(text, encoding.encode_ordinary, size)
+                starts, ends = token_spans(text, encode, size)
                 counts, across = allocate(starts, ends, bounds, rule)
                 lengths.append(len(counts))
                 section.append(np.arange(len(counts)))
