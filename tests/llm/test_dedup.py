@@ -4,6 +4,7 @@ import random
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -180,8 +181,50 @@ def test_substrings_of_random_words(spark):
         rows = [(i, " ".join(r.choices("abcde"[:vocabulary], k=r.randint(0, 25)))) for i in range(25)]
         rows += [(40, "a b a b a b a b a b a b"), (41, "c d e " * 6)]
         docs = spark.createDataFrame(rows, "doc_id long, text string")
-        got = substring.digest(docs, window=6, gram=3).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
-        assert sorted(map(tuple, got)) == sorted(slow_removal(rows, 6))
+        for skew in ({}, {"max_rows": 2, "sample": 1}):
+            got = substring.digest(docs, window=6, gram=3, **skew).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+            assert sorted(map(tuple, got)) == sorted(slow_removal(rows, 6))
+
+
+def test_windows_on_hot_anchors_are_counted_one_by_one(spark, odd_docs, monkeypatch):
+    """One gram in every document, in different surroundings, and passages that many share."""
+    r = random.Random(3)
+    gram, passage = "one gram of eight words that all share", prose(r, 45)
+    rows = [(i if i % 9 else None, f"{prose(r, r.randint(0, 40))} {gram} {prose(r, r.randint(30, 60))}") for i in range(120)]
+    rows += [(200 + i, f"{prose(r, 5)} {passage} {gram} {prose(r, 20)}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = sorted(map(repr, slow_removal(rows, 35)))
+    widest = []
+    for max_rows in (10**9, 20):
+        got = substring.digest(docs, max_rows=max_rows, sample=1).select("doc_id", "n_words", "n_removed", "kept_sha256")
+        assert sorted(map(repr, map(tuple, got.collect()))) == want
+        keyed = substring._keyed(docs)
+        hot = substring._hot_anchors(keyed, 35, 8, max_rows, 1)
+        runs = substring._run_rows(keyed, 35, 8, hot)
+        widest.append(runs.groupBy("anchor").count().agg({"count": "max"}).first()[0])
+        assert bool(len(hot)) == (max_rows == 20)
+    assert widest[0] > 50 and widest[1] <= 20
+    monkeypatch.setattr(substring, "MAX_HOT", 40)
+    assert 0 < len(substring._hot_anchors(keyed, 35, 8, 0, 1)) <= 40
+    odd = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    got = substring.digest(odd_docs, max_rows=0, sample=1).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, slow_removal(odd, 35)))
+
+
+def test_blocks_count_equal_rows(monkeypatch):
+    monkeypatch.setattr(substring, "BLOCK", 8)
+    blocks, found = substring._Blocks(["start", "h"], ["h"]), []
+    ids = pa.RecordBatch.from_arrays([pa.array([1, None]), pa.array([5, 6])], names=["doc_id", "key"])
+    for h in ([7, 7, 8], [7, 9], [7, 8, 9, 7], [7]):
+        h = np.array(h, np.uint64)
+        found += blocks.add(ids, np.arange(len(h)) % 2, np.arange(len(h), dtype=np.int32), h)
+    found += blocks.flush()
+    got = [r for b in found for r in b.to_pylist()]
+    assert len(got) == 10 and [r["doc_id"] for r in got[:4]] == [1, None, 1, 1]
+    # nine rows in one block, one in the next; what is counted has its sum, the rest is proven under keys of its own
+    assert sorted((r["h"], r["count"]) for r in got if r["h"] in (7, 8, 9)) == [(7, 1), (7, 5), (8, 2), (9, 2)]
+    rest = [r for r in got if r["h"] not in (7, 8, 9)]
+    assert [r["count"] for r in rest] == [2] * 6 and len({r["h"] for r in rest}) == 6
 
 
 def test_substring_sql(spark, sf_dir, same):

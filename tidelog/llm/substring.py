@@ -5,24 +5,43 @@ another, is repeated; the words that repeated windows cover go, as maximal
 intervals.  Windows are judged on the input.
 
 Shuffling a hash for every window would move several times the input, so
-windows are aggregated before they are shuffled.  A window's anchor is the
-leftmost least of the mixed Rabin-Karp hashes of the 8-word grams inside it.
-Equal windows have equal anchors, and neighbours mostly share one; the
-neighbouring windows on one anchor are a run.  A run travels as its anchor and
-one rolling hash (two moduli) of all its words:
+windows are counted in runs first.  A window's anchor is the leftmost least of
+the mixed Rabin-Karp hashes of the 8-word grams inside it; neighbouring windows
+with the same anchor at the same place are a run, and a run travels as its
+anchor and one Rabin-Karp hash (two bases) of all its words:
 
 * an anchor that occurs once has no repeated window;
 * runs of the same words are repeated throughout, window by window;
 * only where runs on one anchor differ do their windows travel one by one, one
   run of each kind, and are counted by their own hashes.
 
-Rows that agree within a batch are counted there: the first carries the count,
-the others are proven and spread over all tasks, so a passage that a third of
-the documents share does not meet in one task.
+This counts every window exactly.  An anchor is a function of the window's words
+alone, so equal windows have equal anchors, and a repeated window lies in two
+runs on one anchor.  If these runs have the same words, the window is at the
+same place in both, since the anchor's gram is the leftmost least of each window
+and so at one place in the run; both runs are then counted as equal, and every
+window in them is repeated.  If they differ, the anchor has runs that differ,
+and the windows of one run of each kind are counted by hash; a window in a kind
+that occurs twice is repeated anyway.  Conversely two windows only count as one
+where all 128 bits of their hashes agree.
+
+Skew.  A gram that very many documents share in different surroundings would
+gather its runs in one task.  Such anchors show in a sample of the documents:
+each with more than ``max_rows`` runs by that estimate, and more than one in
+:data:`MAX_HOT` of all runs, so that they are at most :data:`MAX_HOT` and travel
+to the tasks.  A window on one of them is a run of its own whose anchor is a
+hash of all its words.  Which anchors are so refined decides where windows are
+counted, never which are repeated: equal windows still have equal anchors.
+Rows that agree within a task are counted there, in blocks of :data:`BLOCK`:
+the first carries the count, the others are proven and spread over all tasks, so
+a passage that a third of the documents share brings a row for each block.
 
 Defined results: null and empty texts have no words; texts of fewer than 35
-words lose nothing; rows that repeat are copies of each other; null doc_ids are
-handled like others; :func:`remove_repeats` keeps all columns of the input.
+words lose nothing; texts of any length are cut whole; rows that repeat are
+copies of each other; null and repeated doc_ids are handled like others; a window
+that overlaps its own copy counts as repeated; an empty table gives an empty
+one; :func:`remove_repeats` keeps all rows and columns of the input, whatever
+their names, and :func:`digest` reads no others than doc_id and text.
 """
 
 from __future__ import annotations
@@ -39,11 +58,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import byte_texts, map_arrow, materialize
+from tidelog.llm.common import byte_texts, map_arrow, materialize, small_batches
 
 WINDOW = 35
 GRAM = 8
 MEMORY = 200_000
+#: Rows of a task in which equal ones are counted before they are shuffled.
+BLOCK = 400_000
+#: An anchor that seems to have more runs has its windows counted one by one.
+MAX_ROWS = 50_000
+#: One document in so many is looked at to find such anchors, of which there are no more than MAX_HOT.
+SAMPLE = 64
+MAX_HOT = 100_000
 
 #: Odd multipliers of the rolling hashes modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -124,7 +150,7 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 
 
 def _counted_here(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Counts equal rows of a batch before they are shuffled: the keys, and the count of each row.
+    """Counts equal rows of a block before they are shuffled: the keys, and the count of each row.
 
     The first of equal rows carries their count.  The others are proven
     repeated; they get keys of their own, spread evenly, and the count 2.
@@ -151,69 +177,110 @@ def _codes(words: list[bytes], memory: _Codes) -> np.ndarray:
     return np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
 
 
-def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+class _Blocks:
+    """Gathers the rows of a task's batches, and counts equal ones in blocks of about :data:`BLOCK`."""
+
+    def __init__(self, names: list[str], keys: list[str]):
+        self.names, self.keys, self.held, self.rows = names, keys, [], 0
+
+    def add(self, ids: pa.RecordBatch, owner: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = pa.array(owner)
+        found = [ids.column(c).take(rows) for c in ("doc_id", "key")] + [pa.array(c) for c in columns]
+        self.held.append(pa.RecordBatch.from_arrays(found, names=["doc_id", "key", *self.names]))
+        self.rows += len(owner)
+        if self.rows >= BLOCK:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.rows:
+            return
+        block = pa.Table.from_batches(self.held).combine_chunks()
+        self.held, self.rows = [], 0
+        keys, count = _counted_here(*[block.column(k).to_numpy().astype(np.uint64) for k in self.keys])
+        for k, x in zip(self.keys, keys, strict=True):
+            block = block.set_column(block.column_names.index(k), k, pa.array(x.view(np.int64)))
+        yield from block.append_column("count", pa.array(count)).to_batches(max_chunksize=50_000)
+
+
+def _runs(codes: np.ndarray, rolls: list[RollingHash], window: int, gram: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Start, how many windows, anchor and both hashes of each run; windows on the sorted anchors ``hot`` are runs of one."""
+    at, value = anchors(codes, rolls[0], window, gram)
+    cut = at[1:] != at[:-1]
+    if len(hot):
+        single = hot[np.minimum(np.searchsorted(hot, value), len(hot) - 1)] == value
+        cut |= single[1:]
+    begin = np.flatnonzero(np.concatenate([[True], cut]))
+    n = np.diff(np.append(begin, len(at)))
+    one, two = (r.spans(codes, begin, begin + n + window - 1) for r in rolls)
+    anchor = value[begin]
+    if len(hot):
+        own = single[begin]
+        anchor[own] = _mix(one[own] ^ _mix(two[own]))
+    return begin, n, anchor, one, two
+
+
+def _run_rows(keyed: DataFrame, window: int, gram: int, hot: np.ndarray) -> DataFrame:
+    """doc_id, key, start, n, anchor, h1, h2 and count of the runs of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory, rolls = _Codes(), [RollingHash(b) for b in BASES]
+        blocks = _Blocks(["start", "n", "anchor", "h1", "h2"], ["anchor", "h1", "h2"])
+        for batch in batches:
+            found: list[list[np.ndarray]] = [[] for _ in range(6)]
+            for first, texts in byte_texts(batch):
+                for i, text in enumerate(texts, first):
+                    words = (text or b"").split()
+                    if len(words) >= window:
+                        own = _runs(_codes(words, memory), rolls, window, gram, hot)
+                        for part, x in zip(found, (np.full(len(own[0]), i), *own), strict=True):
+                            part.append(x)
+            if found[0]:
+                owner, begin, n, anchor, one, two = (np.concatenate(x) for x in found)
+                yield from blocks.add(batch, owner, begin.astype(np.int32), n.astype(np.int32), anchor, one, two)
+        yield from blocks.flush()
+
+    small_batches(keyed.sparkSession)
+    return keyed.mapInArrow(run, "doc_id long, key long, start int, n int, anchor long, h1 long, h2 long, count long")
+
+
+def _hot_anchors(keyed: DataFrame, window: int, gram: int, max_rows: int, sample: int) -> np.ndarray:
+    """Anchors that seem to have more than ``max_rows`` runs, in order; at most :data:`MAX_HOT`."""
+    some = _run_rows(keyed.sample(1 / sample, seed=7) if sample > 1 else keyed, window, gram, np.empty(0, np.uint64))
+    seen = materialize(some.groupBy("anchor").agg(F.count("*").alias("n")), "anchors")
+    total = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(max_rows / sample, total / MAX_HOT)
+    found = [r[0] for r in seen.where(F.col("n") > least).select("anchor").collect()]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+def repeated_spans(
+    keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, max_rows: int = MAX_ROWS, sample: int = SAMPLE
+) -> DataFrame:
     """doc_id, key and ``spans`` of every document that has repeated windows.
 
     A span (start, n) stands for the n windows that begin at the words start, start + 1, ...
     ``keyed`` has doc_id, key and text.
     """
 
-    def runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, rolls = _Codes(), [RollingHash(b) for b in BASES]
-        found: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for first, texts in byte_texts(batch):
-            for i, text in enumerate(texts, first):
-                words = (text or b"").split()
-                if len(words) < window:
-                    continue
-                codes = _codes(words, memory)
-                at, value = anchors(codes, rolls[0], window, gram)
-                begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                n = np.diff(np.append(begin, len(at)))
-                end = begin + n + window - 1
-                hashes = [r.spans(codes, begin, end) for r in rolls]
-                for part, x in zip(found, (np.full(len(n), i), begin, n, value[begin], *hashes), strict=True):
-                    part.append(x)
-        if not found[0]:
-            return
-        owner, begin, n, anchor, one, two = (np.concatenate(x) for x in found)
-        (anchor, one, two), count = _counted_here(anchor, one, two)
-        owner = pa.array(owner)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id").take(owner), batch.column("key").take(owner),
-                pa.array(begin.astype(np.int32)), pa.array(n.astype(np.int32)),
-                *[pa.array(x.view(np.int64)) for x in (anchor, one, two)], pa.array(count),
-            ],
-            names=["doc_id", "key", "start", "n", "anchor", "h1", "h2", "count"],
-        )
-
-    def windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        memory, rolls = _Codes(), [RollingHash(b) for b in BASES]
-        found: list[list[np.ndarray]] = [[] for _ in range(5)]
-        lists = batch.column("runs")
-        for first, texts in byte_texts(batch):
-            for i, text in enumerate(texts, first):
-                codes = _codes((text or b"").split(), memory)
-                start, n, single = (lists[i].values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                s = np.concatenate([np.arange(a, a + k) for a, k in zip(start.tolist(), n.tolist(), strict=True)])
-                hashes = [r.spans(codes, s, s + window) for r in rolls]
-                for part, x in zip(found, (np.full(len(s), i), s, np.repeat(single, n), *hashes), strict=True):
-                    part.append(x)
-        owner, start, single, one, two = (np.concatenate(x) for x in found)
-        (one, two), count = _counted_here(one, two)
-        owner = pa.array(owner)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id").take(owner), batch.column("key").take(owner), pa.array(start.astype(np.int32)),
-                pa.array(single.astype(bool)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(count),
-            ],
-            names=["doc_id", "key", "start", "single", "h1", "h2", "count"],
-        )
-
-    rows = map_arrow(
-        keyed, runs, "doc_id long, key long, start int, n int, anchor long, h1 long, h2 long, count long"
-    )
+        blocks = _Blocks(["start", "single", "h1", "h2"], ["h1", "h2"])
+        for batch in batches:
+            lists = batch.column("runs")
+            for first, texts in byte_texts(batch):
+                found: list[list[np.ndarray]] = [[] for _ in range(5)]
+                for i, text in enumerate(texts, first):
+                    codes = _codes((text or b"").split(), memory)
+                    start, n, single = (lists[i].values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                    s = np.concatenate([np.arange(a, a + k) for a, k in zip(start.tolist(), n.tolist(), strict=True)])
+                    hashes = [r.spans(codes, s, s + window) for r in rolls]
+                    for part, x in zip(found, (np.full(len(s), i), s, np.repeat(single, n), *hashes), strict=True):
+                        part.append(x)
+                owner, start, single, one, two = (np.concatenate(x) for x in found)
+                yield from blocks.add(batch, owner, start.astype(np.int32), single.astype(bool), one, two)
+        yield from blocks.flush()
+
+    rows = _run_rows(keyed, window, gram, _hot_anchors(keyed, window, gram, max_rows, sample))
     same, kind = W.partitionBy("anchor"), W.partitionBy("anchor", "h1", "h2")
     counted = rows.select(
         "doc_id", "key", "start", "n",
@@ -226,17 +293,16 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     asked = (
         shared.where("differ and rank = 1")
         .groupBy("doc_id", "key")
-        .agg(F.collect_list(F.struct("start", "n", (F.col("copies") == 1).alias("single"))).alias("runs"))
+        .agg(F.collect_set(F.struct("start", "n", (F.col("copies") == 1).alias("single"))).alias("runs"))
     )
     joined = keyed.join(asked, _same(keyed, asked)).select(keyed["doc_id"], keyed["key"], "text", "runs")
-    each = map_arrow(
-        joined, windows, "doc_id long, key long, start int, single boolean, h1 long, h2 long, count long"
-    )
+    each = joined.mapInArrow(windows, "doc_id long, key long, start int, single boolean, h1 long, h2 long, count long")
     times = each.withColumn("times", F.sum("count").over(W.partitionBy("h1", "h2"))).where("times > 1 and single")
     found = shared.where("copies > 1").select("doc_id", "key", "start", "n").union(
         times.select("doc_id", "key", "start", F.lit(1).alias("n"))
     )
-    return found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    # a set: rows that repeat add nothing to it
+    return found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
 
 def intervals(start: np.ndarray, n: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -257,8 +323,8 @@ def _cut(lists: pa.ListArray, i: int, window: int) -> list[tuple[int, int]]:
     return intervals(*(own.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1)), window)
 
 
-def digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 of every document."""
+def digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **skew) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of every document; ``skew`` is for :func:`repeated_spans`."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         counts, removed, digests = [], [], []
@@ -277,7 +343,7 @@ def digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
         )
 
     keyed = _keyed(docs)
-    spans = repeated_spans(keyed, window, gram)
+    spans = repeated_spans(keyed, window, gram, **skew)
     # the texts are dealt out once: this join and the one for the windows read the same exchange
     rows = keyed.join(spans, _same(keyed, spans), "left").select(keyed["doc_id"], "text", "spans")
     return map_arrow(rows, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
