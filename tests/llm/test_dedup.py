@@ -149,6 +149,41 @@ def test_components(spark, seed):
     assert components.connected_components(spark.createDataFrame([], "x long, y long")).count() == 0
 
 
+def test_a_hub_of_all_nodes_is_split(spark, tmp_path):
+    """One node with all links: Spark deals its rows out to several tasks, in both steps."""
+    for name, pairs in (("star", ["id AS a", "0L AS b"]), ("hub", ["70000L AS a", "id AS b"])):
+        spark.range(1, 60_001).selectExpr(*pairs).repartition(8).write.parquet(f"{tmp_path}/{name}")
+    star, hub = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("star", "hub"))
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k) for k in conf}
+    plans, write = [], components.materialize
+
+    def watched(df, name):
+        found = write(df, name)
+        df.collect()
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return found
+
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        components.materialize = watched
+        components._large_star(star)
+        small = components._small_star(hub)
+        watched(small, "small")
+    finally:
+        components.materialize = write
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert small.count() == 60_000 and {tuple(r) for r in small.groupBy("b").count().collect()} == {(1, 60_000)}
+    for name in ("large", "small"):
+        assert "skew=true" in next(p for n, p in plans if n == name), name
+
+
 def slow_removal(rows, width):
     seen, split = {}, [(i, words_of(t)) for i, t in rows]
     for _, w in split:

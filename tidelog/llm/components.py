@@ -14,7 +14,13 @@ from tidelog.llm.common import materialize
 
 
 def _least(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("a").agg(F.min("b").alias("m"))
+    """The least neighbour ``m`` of each node ``a``, written.
+
+    A node may have very many neighbours.  Spark splits such a node's rows in a
+    join only if both sides come straight from an exchange, so this side is a
+    table, not the aggregate itself.
+    """
+    return materialize(pairs.groupBy("a").agg(F.min("b").alias("m")), "least")
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -22,13 +28,14 @@ def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = _least(both).select("a", F.least("a", "m").alias("m"))
     moved = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.where("a <> b").distinct()
+    return materialize(moved.where("a <> b").distinct(), "large")
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Links (a > b): the lesser neighbours of a node, and the node itself, move to the least of them."""
-    moved = links.join(_least(links), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(_least(links).select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    least = _least(links)
+    moved = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
 def _digest(links: DataFrame) -> tuple:
