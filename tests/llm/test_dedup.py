@@ -328,6 +328,61 @@ def test_both_ways_judge_each_row_by_its_own_text(spark):
         assert clean.columns == docs.columns and sorted(x.key for x in clean.collect()) == [1, 2, 4, 7]
 
 
+def slow_search(docs, items):
+    """Shingles of as many words as the item has, five at most; all against all."""
+    split = lambda t: (t or "").lower().split()
+    grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    found = []
+    for item_id, text in items:
+        w = split(text)
+        k = min(5, len(w))
+        mine = grams(w, k) if k else set()
+        for doc_id, t in docs:
+            n = len(mine & grams(split(t), k)) if mine else 0
+            if mine and 10 * n >= 8 * len(mine):
+                found.append((doc_id, item_id, len(mine), n, n / len(mine)))
+    return sorted(map(repr, found))
+
+
+def test_short_and_equal_items_equal_brute_force(spark, odd_docs, no_docs):
+    r = random.Random(21)
+    long = prose(r, 2000)
+    w = long.split()
+    docs = [(1, long), (2, "a b c"), (2, "x a b c d y"), (None, "Yes"), (None, "yes no"), (3, "A\tB\nC"), (4, None), (5, ""), (6, "a c b"), (6, "a c b"), (7, "a b c d e f")]
+    items = [(1, "a b c"), (2, "yes"), (None, "YES no"), (3, " ".join(w[700:704])), (4, " ".join(w[900:903])), (5, "a b c"), (5, "b c d e f"), (6, ""), (7, None), (8, " "), (9, "nowhere")]
+    items += [(10 + i, " ".join(w[100 * i : 100 * i + r.randint(5, 40)])) for i in range(8)] + [(30, "a b c")]
+    df, of = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = slow_search(docs, items)
+    assert len(want) > 25
+    for how in ({}, {"max_items": 0}):
+        assert sorted(map(repr, map(tuple, decontam.search(df, of, **how).collect()))) == want
+        clean = [r.text for r in decontam.filter_contaminated(df, of, **how).collect()]
+        assert sorted(map(repr, clean)) == sorted(map(repr, [None, "", "a c b", "a c b"]))
+        odd = decontam.search(odd_docs, of, **how).collect()
+        assert sorted(map(repr, map(tuple, odd))) == slow_search([(x.doc_id, x.text) for x in odd_docs.collect()], items)
+        assert decontam.search(no_docs, of, **how).count() == 0 == decontam.search(df, of.where("false"), **how).count()
+        assert decontam.filter_contaminated(odd_docs, of.where("item_id > 100"), **how).count() == odd_docs.count()
+
+
+def test_benchmark_sql_finds_short_items(spark, same, duck):
+    """The query's SQL and the operator agree on items of any length."""
+    docs = [(1, "a b c d e f g"), (2, "c d"), (3, None), (4, "q")]
+    items = [(1, "b c"), (2, "C D"), (3, "q"), (4, "a b c d e f"), (5, ""), (6, None), (7, "a b c d e f x")]
+    df, of = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    quoted = lambda rows: ", ".join(f"({i}, {'NULL' if t is None else repr(t)})" for i, t in rows)
+    sql = queries.ORACLES["op3_decontamination"].replace("FROM documents", f"FROM (VALUES {quoted(docs)}) v(doc_id, text)")
+    same(decontam.search(df, of), sql.replace("FROM benchmark", f"FROM (VALUES {quoted(items)}) v(item_id, text)"))
+
+
+def test_bitmap_keeps_every_value(spark):
+    r = np.random.default_rng(3)
+    for n in (0, 1, 70, 5000):
+        v = r.integers(-(2**63), 2**63 - 1, n)
+        bitmap = decontam._bitmap(spark.createDataFrame([(int(x),) for x in v], "value long"))
+        other = r.integers(0, 2**63, 10_000).astype(np.uint64)
+        assert len(decontam._among(v.view(np.uint64), bitmap)) == n and len(decontam._among(other, bitmap)) < 1500
+
+
 def test_sketches_lose_nothing():
     r = random.Random(4)
     memory = decontam._WordHashes()

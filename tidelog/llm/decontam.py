@@ -1,12 +1,13 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-Documents and items are sets of five-word shingles of the lower-cased text.  A
-document holds an item if it contains at least ``threshold`` of the item's
-shingles.  Items are much smaller than documents, so Jaccard similarity says
-little; instead
-
-* items are partitioned by size, the partition being the bit length of their
-  shingle count;
+Documents and items are sets of five-word shingles of the lower-cased text; an
+item of fewer words is one shingle, all of its words, and documents are then
+looked at in shingles of that width as well.  A document holds an item if it
+contains at least ``threshold`` of the item's shingles.  Items are much smaller
+than documents, so Jaccard similarity says little; instead
+
+* items are partitioned by size, the partition being the shingles' width and
+  the bit length of their count;
 * an item's sketch is its ``k`` smallest MinHash values, with ``k`` one more
   than the number of shingles that may be missing at the threshold.  Whatever
   is missing, one of the ``k`` is in a document that holds the item, so the
@@ -17,14 +18,19 @@ little; instead
 * sketches that share a value give candidates, and each candidate is verified
   by exact containment of its shingles, word by word.
 
-Items of proven small size travel to the tasks; a larger benchmark is joined to
-the document sketches by value, and candidates to the documents by a hash of
-doc_id and text.  Both ways judge each row by its own text and give the same rows.
-
-Defined results: an item or document of fewer than five words (null and empty
-texts too) has no shingle and takes no part; equal items each get their rows;
-repeated document rows each get theirs; further columns are ignored by
-:func:`search` and kept by :func:`filter_contaminated`.
+Items of proven small size travel to the tasks.  A larger benchmark is joined to
+the document sketches by value, after a bitmap of its values, of at most
+``2 ** MAX_BITS`` bits, has taken out nearly all that meet nothing; candidates
+then meet their documents by a hash of doc_id and text.  Both ways judge each
+row by its own text and give the same rows.
+
+Defined results: null and empty texts, and those of white space, hold nothing
+and are held by nothing; equal items are verified once and each get their rows,
+items without an id too; repeated document rows each get theirs, whatever other
+texts their doc_id has, and rows without a doc_id are told apart by their texts;
+texts of any length are searched whole; containment of exactly the threshold
+counts; an empty table on either side finds nothing; further columns, whatever
+their names, are ignored by :func:`search` and kept by :func:`filter_contaminated`.
 """
 
 from __future__ import annotations
@@ -32,6 +38,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +52,8 @@ WORDS = 5
 THRESHOLD = 0.8
 #: A benchmark of at most so many items and bytes travels to the tasks.
 MAX_ITEMS, MAX_BYTES = 20_000, 16_000_000
+#: The bitmap of a larger benchmark's sketch values has at most two to this many bits.
+MAX_BITS = 26
 MEMORY = 200_000
 
 
@@ -60,14 +69,19 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").split()
 
 
-def min_hashes(words: list[bytes], memory: dict) -> np.ndarray:
-    """The hash of every shingle, in order; uniform over 64 bits."""
-    n = len(words) - WORDS + 1
-    if n < 1:
+def width_of(words: list[bytes]) -> int:
+    """How many words an item's shingles have; 0 for an item without words."""
+    return min(WORDS, len(words))
+
+
+def min_hashes(words: list[bytes], memory: dict, width: int = WORDS) -> np.ndarray:
+    """The hash of every shingle, in order; uniform over 64 bits, and another for each width."""
+    n = len(words) - width + 1
+    if n < 1 or width < 1:
         return np.empty(0, np.uint64)
     codes = np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
-    h = np.zeros(n, np.uint64)
-    for i in range(WORDS):
+    h = np.full(n, WORDS - width, np.uint64)
+    for i in range(width):
         h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
@@ -75,8 +89,8 @@ def min_hashes(words: list[bytes], memory: dict) -> np.ndarray:
     return h
 
 
-def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
-    return set(zip(*(words[i:] for i in range(WORDS)), strict=False))
+def shingles(words: list[bytes], width: int = WORDS) -> set[tuple[bytes, ...]]:
+    return set(zip(*(words[i:] for i in range(width)), strict=False))
 
 
 def needed(size: int, threshold: float) -> int:
@@ -91,37 +105,42 @@ def sketch(hashes: np.ndarray, threshold: float) -> np.ndarray:
 
 @dataclass
 class Partition:
-    """Items of one size class: their sketch values in order, and the items behind each."""
+    """Items of one width and size class: their sketch values in order, and the items behind each."""
 
+    width: int
     least: int
     values: np.ndarray
     items: list[list[int]]
 
 
-def partitions(texts: list[str | None], threshold: float) -> tuple[list[Partition], list[set[tuple[bytes, ...]]]]:
-    """The size partitions, and the shingles of each item."""
+def partitions(texts: list[str | None], threshold: float) -> tuple[list[Partition], list[tuple[int, set[tuple[bytes, ...]]]]]:
+    """The size partitions, and the width and the shingles of each item."""
     memory, by_class, exact = _WordHashes(), defaultdict(lambda: (defaultdict(list), [])), []
     for i, text in enumerate(texts):
         words = words_of(text)
-        exact.append(shingles(words))
-        if exact[-1]:
-            posts, sizes = by_class[len(exact[-1]).bit_length()]
-            sizes.append(needed(len(exact[-1]), threshold))
-            for v in sketch(min_hashes(words, memory), threshold).tolist():
+        width = width_of(words)
+        own = shingles(words, width)
+        exact.append((width, own))
+        if own:
+            posts, sizes = by_class[width, len(own).bit_length()]
+            sizes.append(needed(len(own), threshold))
+            for v in sketch(min_hashes(words, memory, width), threshold).tolist():
                 posts[v].append(i)
     found = []
-    for _, (posts, sizes) in sorted(by_class.items()):
+    for (width, _), (posts, sizes) in sorted(by_class.items()):
         values = np.array(sorted(posts), np.uint64)
-        found.append(Partition(min(sizes), values, [posts[v] for v in values.tolist()]))
+        found.append(Partition(width, min(sizes), values, [posts[v] for v in values.tolist()]))
     return found, exact
 
 
-def candidates(hashes: np.ndarray, parts: list[Partition]) -> set[int]:
+def candidates(hashes: dict[int, np.ndarray], parts: list[Partition]) -> set[int]:
+    """Items that share a sketch value with a document, from its hashes of each width."""
     found: set[int] = set()
     for part in parts:
-        if len(hashes) < part.least:
+        every = hashes[part.width]
+        if len(every) < part.least:
             continue
-        own = hashes[hashes <= part.values[-1]]
+        own = every[every <= part.values[-1]]
         at = np.searchsorted(part.values, own)
         for k in np.unique(at[part.values[at] == own]).tolist():
             found.update(part.items[k])
@@ -131,22 +150,39 @@ def candidates(hashes: np.ndarray, parts: list[Partition]) -> set[int]:
 class _Searcher:
     def __init__(self, item_texts: list[str | None], threshold: float):
         self.parts, self.exact = partitions(item_texts, threshold)
+        self.widths = sorted({p.width for p in self.parts})
         self.threshold, self.memory = threshold, _WordHashes()
 
     def __call__(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item, its shingles, those that the text contains) of each item that the text holds."""
         words = words_of(text)
-        near = candidates(min_hashes(words, self.memory), self.parts)
+        near = candidates({w: min_hashes(words, self.memory, w) for w in self.widths}, self.parts)
         if not near:
             return []
-        own, found = shingles(words), []
+        own, found = {w: shingles(words, w) for w in {self.exact[i][0] for i in near}}, []
         for i in sorted(near):
-            size, shared = len(self.exact[i]), len(self.exact[i] & own)
+            width, mine = self.exact[i]
+            size, shared = len(mine), len(mine & own[width])
             if shared >= needed(size, self.threshold):
                 found.append((i, size, shared))
         return found
 
 
+_searchers: dict[str, _Searcher] = {}
+
+
+def searcher(item_texts: list[str | None], threshold: float, digest: str) -> _Searcher:
+    """The index of a small benchmark, built once a Python worker."""
+    if digest not in _searchers:
+        _searchers.clear()
+        _searchers[digest] = _Searcher(item_texts, threshold)
+    return _searchers[digest]
+
+
+def _digest(item_texts: list[str | None], threshold: float) -> str:
+    return sha256(repr((item_texts, threshold)).encode("utf-8", "replace")).hexdigest()
+
+
 _SCHEMA = "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double"
 
 
@@ -172,12 +208,10 @@ def search(
     if small is None:
         return _search_joined(docs, items, threshold)
     ids, texts = [r[0] for r in small], [r[1] for r in small]
-    made: list[_Searcher] = []  # once a task
+    digest = _digest(texts, threshold)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(_Searcher(texts, threshold))
-        find, rows = made[0], []
+        find, rows = searcher(texts, threshold, digest), []
         for at in range(0, batch.num_rows, CHUNK_ROWS):
             part = batch.slice(at, CHUNK_ROWS)
             for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
@@ -201,70 +235,95 @@ def _key(id_name: str, text_name: str = "text") -> Column:
     return F.xxhash64(F.col(id_name).cast("long"), F.col(text_name).cast("string"))
 
 
+def _bitmap(values: DataFrame) -> np.ndarray:
+    """Which low bits the sketch values have, 64 to a word: about 16 bits a value, 2 ** MAX_BITS at most."""
+    n = values.count()
+    bits = min(max(int(16 * n).bit_length(), 10), MAX_BITS)
+    at = F.col("value").bitwiseAND(F.lit((1 << bits) - 1))
+    one = F.expr("shiftleft(1L, int(value & 63L))")
+    words = values.select(F.shiftright(at, 6).alias("word"), one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    got = words.toPandas()  # bounded: one row for 64 bits
+    found = np.zeros(1 << (bits - 6), np.uint64)
+    found[got.word.to_numpy(np.int64)] = got.bits.to_numpy(np.int64).view(np.uint64)
+    return found
+
+
+def _among(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """The hashes whose bit is set."""
+    at = hashes & np.uint64(64 * len(bitmap) - 1)
+    return hashes[(bitmap[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
+
+
+def _item_key() -> Column:
+    return F.md5(F.col("text").cast("binary"))
+
+
 def _near_items(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """The candidates of each ``key`` of ``docs``, for a benchmark of any size: sketches meet in a join by value."""
-    items = items.withColumn("item_key", _key("item_id"))
+    """The candidates of each ``key`` of ``docs``, for a benchmark of any size: sketches meet in a join by value.
+
+    A candidate is a text with its ``item_key``, however many items have it.
+    """
+    texts = items.where("text is not null").select("text").distinct().withColumn("item_key", _item_key())
 
     def sketches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         memory, rows = _WordHashes(), []
         for item_key, text in zip(batch.column("item_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            h = min_hashes(words_of(text), memory)
+            words = words_of(text)
+            h = min_hashes(words, memory, width_of(words))
             if len(h):
-                size = len(np.unique(h))
-                s = sketch(h, threshold).view(np.int64)
-                rows += [(item_key, size.bit_length(), needed(size, threshold), v) for v in s.tolist()]
+                least = needed(len(np.unique(h)), threshold)
+                rows += [(item_key, width_of(words), least, v) for v in sketch(h, threshold).view(np.int64).tolist()]
         columns = list(zip(*rows, strict=True)) or [[]] * 4
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in columns], names=["item_key", "size_class", "least", "value"]
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["item_key", "width", "least", "value"]
         )
 
-    schema = "item_key long, size_class long, least long, value long"
-    own = materialize(map_arrow(items, sketches, schema), "sketches")
-    # at most one row for each bit length of a size
-    flip = F.col("value").bitwiseXOR(F.lit(-(1 << 63)))
-    limits = own.groupBy("size_class").agg(F.min("least"), F.max(flip)).collect()
-    bounds = [(c, least, (top ^ -(1 << 63)) & (2**64 - 1)) for c, least, top in limits]
+    own = materialize(map_arrow(texts, sketches, "item_key string, width int, least long, value long"), "sketches")
+    widths = sorted(r[0] for r in own.select("width").distinct().collect())  # five at most
+    bitmap = _bitmap(own.select("value").distinct())
 
     def values(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         memory = _WordHashes()
         for at in range(0, batch.num_rows, CHUNK_ROWS):
-            part, keys, classes, found = batch.slice(at, CHUNK_ROWS), [], [], []
+            part, keys, sizes, found = batch.slice(at, CHUNK_ROWS), [], [], []
             for key, text in zip(part.column("key").to_pylist(), part.column("text").to_pylist(), strict=True):
-                h = min_hashes(words_of(text), memory)
-                distinct = np.unique(h)
-                for c, least, top in bounds:
-                    if len(h) >= least:
-                        v = distinct[distinct <= np.uint64(top)].view(np.int64)
-                        keys += [key] * len(v)
-                        classes.append(np.full(len(v), c))
-                        found.append(v)
+                words = words_of(text)
+                for width in widths:
+                    h = min_hashes(words, memory, width)
+                    v = _among(np.unique(h), bitmap).view(np.int64)
+                    keys += [key] * len(v)
+                    sizes.append(np.full(len(v), len(h)))
+                    found.append(v)
             if keys:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(np.concatenate(classes)), pa.array(np.concatenate(found))],
-                    names=["key", "size_class", "value"],
+                    [pa.array(keys, pa.int64()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(found))],
+                    names=["key", "size", "value"],
                 )
 
+    met = map_arrow(docs, values, "key long, size long, value long").join(own, "value").where("size >= least")
     near = (
-        map_arrow(docs, values, "key long, size_class long, value long")
-        .join(own.select("item_key", "size_class", "value"), ["size_class", "value"])
-        .select("key", "item_key")
+        met.select("key", "item_key")
         .distinct()
-    )
-    return (
-        near.join(items.select("item_key", "item_id", F.col("text").alias("item_text")), "item_key")
+        .join(texts.select("item_key", F.col("text").alias("item_text")), "item_key")
         .groupBy("key")
-        .agg(F.sort_array(F.collect_list(F.struct("item_id", "item_text"))).alias("near"))
+        .agg(F.collect_list(F.struct("item_key", "item_text")).alias("near"))
     )
+    return materialize(near, "near")  # so that Spark can split a key that very many rows have
 
 
-def _held(text: str | None, near: list[dict] | None, threshold: float) -> Iterator[tuple[int | None, int, int]]:
-    """(item, its shingles, those that the text contains) of each candidate that the text holds."""
-    own = shingles(words_of(text)) if near else set()
+def _held(text: str | None, near: list[dict] | None, threshold: float) -> Iterator[tuple[str, int, int]]:
+    """(item_key, its shingles, those that the text contains) of each candidate that the text holds."""
+    words, own = words_of(text) if near else [], {}
     for item in near or []:
-        mine = shingles(words_of(item["item_text"]))
-        shared = len(mine & own)
+        theirs = words_of(item["item_text"])
+        width = width_of(theirs)
+        if width not in own:
+            own[width] = shingles(words, width)
+        mine = shingles(theirs, width)
+        shared = len(mine & own[width])
         if mine and shared >= needed(len(mine), threshold):
-            yield item["item_id"], len(mine), shared
+            yield item["item_key"], len(mine), shared
 
 
 def _search_joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
@@ -274,11 +333,18 @@ def _search_joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataF
     def verify(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc_id, text, near in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "near")), strict=True):
-            rows += [(doc_id, i, size, shared, shared / size) for i, size, shared in _held(text, near, threshold)]
-        yield _rows(rows)
+            rows += [(doc_id, i, size, shared) for i, size, shared in _held(text, near, threshold)]
+        columns, kinds = list(zip(*rows, strict=True)) or [[]] * 4, [pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_key", "n_item_shingles", "n_shared"]
+        )
 
     joined = keyed.join(_near_items(keyed, items, threshold), "key").select("doc_id", "text", "near")
-    return map_arrow(joined, verify, _SCHEMA)
+    found = map_arrow(joined, verify, "doc_id long, item_key string, n_item_shingles long, n_shared long")
+    named = items.where("text is not null").select("item_id", _item_key().alias("item_key"))
+    return found.join(named, "item_key").select(
+        "doc_id", "item_id", "n_item_shingles", "n_shared", (F.col("n_shared") / F.col("n_item_shingles")).alias("containment")
+    )
 
 
 def _filter_joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
@@ -318,12 +384,13 @@ def filter_contaminated(
     if small is None:
         return _filter_joined(docs, items, threshold)
     texts, at_text = [r[1] for r in small], names.index("text")
+    digest = _digest(texts, threshold)
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _Searcher(texts, threshold)
         for batch in batches:
             if batch.num_rows:
+                find = searcher(texts, threshold, digest)
                 clean = []
                 for at in range(0, batch.num_rows, CHUNK_ROWS):
                     clean += [not find(t) for t in batch.column(at_text).slice(at, CHUNK_ROWS).to_pylist()]

@@ -85,13 +85,14 @@ ORACLES: dict[str, str] = {}
 
 ORACLES["op3_decontamination"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents),
-     b AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
-     bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
-            FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
-     ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
-            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+     b AS (SELECT item_id, w, least(len(w), 5) AS k
+           FROM (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark) WHERE len(w) > 0),
+     bs AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+            FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b)),
+     ds AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+            FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM b))),
      n AS (SELECT item_id, count(*) AS n_item_shingles FROM bs GROUP BY item_id),
-     m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY ALL)
+     m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (k, s) GROUP BY ALL)
 SELECT doc_id, item_id, n_item_shingles, n_shared, n_shared::DOUBLE / n_item_shingles AS containment
 FROM m JOIN n USING (item_id) WHERE 10 * n_shared >= 8 * n_item_shingles
 """
