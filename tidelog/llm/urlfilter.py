@@ -139,8 +139,10 @@ def judge(pages: DataFrame, rules: list[Rule], max_broadcast_rows: int = MAX_BRO
     urls = with_rule(own.groupBy("u").agg(F.count("*").alias("n")).where("u is not null"), rules)
     sides = [F.when(F.col("ruled") == v, F.col("n")).otherwise(0).alias(v) for v in ("allow", "block")]
     urls = materialize(urls.select("u", "n", *sides), "urls")
+    # few bytes become a row for each character: dealt out by number, lest they are read as one partition
+    dealt = urls.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "u")
     counts = materialize(
-        _grams(urls, "allow", "block").groupBy("c", "s").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")),
+        _grams(dealt, "allow", "block").groupBy("c", "s").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")),
         "grams",
     )
     seen = counts.agg(F.sum("allow"), F.sum("block")).first()
@@ -153,7 +155,7 @@ def judge(pages: DataFrame, rules: list[Rule], max_broadcast_rows: int = MAX_BRO
     model = materialize(log_ratios(counts), "ratios")
     if model.count() <= max_broadcast_rows:
         model = F.broadcast(model)
-    scored = _grams(urls, "u").join(model, ["c", "s"]).groupBy("u").agg(F.round(F.avg("ratio"), 9).alias("score"))
+    scored = _grams(dealt, "u").join(model, ["c", "s"]).groupBy("u").agg(F.round(F.avg("ratio"), 9).alias("score"))
     scored = materialize(scored, "scores")
     ruled = urls.where("allow + block > 0").join(scored, "u", "left").select("allow", "block", F.coalesce("score", F.lit(0.0)).alias("score"))
     steps = ruled.groupBy(F.floor(F.col("score") / STEP).alias("step")).agg(
