@@ -5,6 +5,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.llm import common, langid, quality, queries, toxicity, urlfilter
 
@@ -46,6 +47,57 @@ def test_forest_learns_and_keeps_its_constraints():
         assert (sign * np.diff(f.log_odds(g.reshape(-1, 3)).reshape(200, 50), axis=1) >= -1e-12).all()
 
 
+def slow_tree(x, y, monotone, depth, bins, least, l2):
+    """One tree, node by node: every statistic, every edge, gains from the rows themselves."""
+    share = y.mean()
+    p = np.full(len(y), share)
+    grad, hess, found = p - y, p * (1 - p), {}
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
+
+    def worth(rows, low, high):
+        g, h = grad[rows].sum(), hess[rows].sum() + l2
+        v = float(np.clip(-g / h, low, high))
+        return v, -(g * v + 0.5 * h * v * v)
+
+    def grow(node, rows, low, high, value):
+        found[node] = value
+        if node >= 2**depth - 1:
+            return
+        best = None
+        for f, cuts in enumerate(edges):
+            for c in cuts:
+                a, b = rows & (x[:, f] <= c), rows & (x[:, f] > c)
+                if hess[a].sum() < least or hess[b].sum() < least:
+                    continue
+                (va, wa), (vb, wb) = worth(a, low, high), worth(b, low, high)
+                gain = wa + wb - worth(rows, low, high)[1]
+                if (vb - va) * monotone[f] >= 0 and gain > 1e-9 and (best is None or gain > best[0] + 1e-9):
+                    best = (gain, f, a, b, va, vb)
+        if best is None:
+            for child in (2 * node + 1, 2 * node + 2):
+                grow(child, rows if child % 2 else rows & False, low, high, value)
+            return
+        _, f, a, b, va, vb = best
+        middle = (va + vb) / 2
+        grow(2 * node + 1, a, *((low, middle) if monotone[f] > 0 else (middle, high) if monotone[f] < 0 else (low, high)), va)
+        grow(2 * node + 2, b, *((middle, high) if monotone[f] > 0 else (low, middle) if monotone[f] < 0 else (low, high)), vb)
+
+    grow(0, np.ones(len(y), bool), -np.inf, np.inf, worth(np.ones(len(y), bool), -np.inf, np.inf)[0])
+    return found
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_tree_grows_as_by_brute_force(seed):
+    r = np.random.default_rng(seed)
+    x = np.round(r.normal(size=(300, 4)), 2)
+    y = (x[:, 0] - x[:, 1] * x[:, 2] + r.normal(size=300) > 0).astype(float)
+    monotone = [1, -1, 0, 1]
+    f = quality.fit_forest(x, y, monotone, trees=1, depth=3, rate=1.0, bins=8, least=2.0, l2=1.0)
+    want = slow_tree(x, y, monotone, 3, 8, 2.0, 1.0)
+    assert all(abs(f.value[0, k] - v) < 1e-9 for k, v in want.items())
+    assert np.isfinite(f.threshold[0]).sum() >= 3
+
+
 def test_forest_equals_walking_its_trees():
     r = np.random.default_rng(4)
     x = r.normal(size=(500, 4))
@@ -68,6 +120,23 @@ def test_quality_follows_the_labels(spark):
     assert np.mean([k == bool(q) for k, q in known]) > 0.98
 
 
+def test_quality_on_held_out_documents(spark):
+    """Labels of the held-out quarter teach nothing, and are followed all the same."""
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    wrong = labels.withColumn("quality", F.when(common.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    a, b = quality.fit_quality(docs, labels), quality.fit_quality(docs, wrong)
+    assert (a.value == b.value).all() and (a.threshold == b.threshold).all()
+    known = {r.doc_id: r.quality for r in labels.where(common.held_out(F.col("doc_id"))).collect()}
+    got = [(r.kept, known[r.doc_id]) for r in quality.judge(docs, a).where("not base_failed").collect() if r.doc_id in known]
+    assert len(got) > 40 and np.mean([k == bool(q) for k, q in got]) > 0.95
+
+
+def test_base_counts_equal_their_sql(spark, sf_dir, same):
+    same(queries.quality_base_counts(spark, sf_dir), queries.ORACLES["quality_base_counts"])
+
+
 def test_quality_filter_keeps_rows_whole(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     kept = quality.filter_quality(odd_docs, labels)
@@ -103,8 +172,41 @@ def test_rare_classes_are_learned(spark):
     assert quality.fit_quality(docs, labels, max_rows=500, trees=2) is not None
 
 
+def test_toxicity_slopes_equal_differences():
+    """The gradient against the definition: P(toxic) = 1 - prod(1 - p_s), mean negative log-likelihood."""
+    r = np.random.default_rng(5)
+    sizes = r.integers(1, 6, 30)
+    doc_of, doc_at = np.repeat(np.arange(30), sizes), np.cumsum(sizes) - sizes
+    y, z = (r.uniform(size=30) < 0.4).astype(float), r.normal(-1, 2, sizes.sum())
+
+    def loss(z):
+        p = [1 - np.prod(1 - 1 / (1 + np.exp(-z[a : a + n]))) for a, n in zip(doc_at, sizes, strict=True)]
+        return -np.mean(np.where(y > 0, np.log(p), np.log1p(-np.array(p))))
+
+    got = toxicity.sentence_slopes(z, y, doc_at, doc_of)
+    for j in range(len(z)):
+        step = np.eye(len(z))[j] * 1e-5
+        assert abs((loss(z + step) - loss(z - step)) / 2e-5 - got[j]) < 1e-6
+
+
+def test_toxicity_learns_from_bags():
+    """Words that make a document toxic get weights, words beside them none; settings are compared on folds."""
+    r = np.random.default_rng(6)
+    bags = []
+    for _ in range(400):
+        bad = r.uniform() < 0.3
+        sentences = [r.integers(10, 60, 6).astype(np.uint32) for _ in range(r.integers(1, 6))]
+        if bad:
+            sentences[0] = np.append(sentences[0], np.uint32(r.integers(0, 3)))
+        bags.append((int(bad), sentences))
+    assert toxicity.cross_validated(bags)["misses"] < 12 and toxicity.cross_validated(bags, steps=1)["log_loss"] > toxicity.cross_validated(bags)["log_loss"]
+    model = toxicity.fit(bags)
+    weights = [model.weights.get(k, 0.0) for k in range(60)]
+    assert min(weights[:3]) > 3 and max(weights[10:]) < 1.5
+
+
 def test_toxicity_on_held_out_documents(spark):
-    d = "/root/testdata/check_h"
+    d = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     got = queries.op2_toxicity(spark, d).select("doc_id", "held_out", "score", "predicted").collect()
     assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3) for r in got)

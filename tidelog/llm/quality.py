@@ -7,10 +7,16 @@ midpoint then bounds everything below it.  A fitted forest is flattened into
 numpy node arrays (statistic, threshold, value; children of node i at 2i+1 and
 2i+2), and a batch of documents descends all trees at once.
 
-Defined results: null text has no words; documents without both label classes
-to learn from are judged by the base rules alone; repeated rows are judged one
-by one; other columns of the input are ignored here and kept by
-:func:`filter_quality`.
+Labels of the held-out quarter of doc_ids are never learned from, so that the
+forest's verdicts can be measured there.
+
+Defined results: null and empty texts have no words; texts of any length are
+measured whole; documents without both label classes to learn from are judged by
+the base rules alone; a null label, or one without a doc_id, teaches nothing, and
+of several labels of a doc_id the least counts; a probability of exactly the
+threshold stays; repeated rows, and rows without a doc_id, are judged one by one;
+an empty table gives an empty one; other columns, whatever their names, are
+ignored here and kept by :func:`filter_quality`.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bounded_sample, byte_texts, map_arrow, small_batches
+from tidelog.llm.common import bounded_sample, byte_texts, held_out, map_arrow, small_batches
 
 #: Statistics a forest sees, each with its constraint: -1 means that more of it never raises quality.
 STATISTICS = {
@@ -262,12 +268,12 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, **growth) -> Forest | None:
-    """A forest fitted on the statistics of at most about ``max_rows`` labelled documents.
+    """A forest fitted on the statistics of at most about ``max_rows`` labelled documents that are not held out.
 
     Only statistics reach the driver.  None if the sample lacks a class.
     """
     marked = (
-        labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+        labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg((F.min("quality") > 0).cast("int").alias("quality"))
     )
