@@ -1,14 +1,18 @@
 """Token counts, shards, packing and the pipeline."""
 
 import base64
+import math
 import random
 from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
+import xxhash
+from pyspark.sql import Row
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -115,6 +119,36 @@ def test_shards(spark, odd_docs, no_docs):
     assert sharding.layout(no_docs, eight, nine).count() == 0
 
 
+def slow_shard(doc_id, tree):
+    """The descent, draw by draw: the child with the least -ln(u) / weight, u hashed from its name and the doc_id."""
+
+    def draw(name, weight):
+        h = xxhash.xxh64_intdigest(name.encode(), 42)  # hashed one after the other, each with the last as seed
+        if doc_id is not None:
+            h = xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), h)
+        return -math.log(((h >> 11) + 1) / 2**53) / weight, name
+
+    def least(children):
+        return min(draw(n, w) for n, w in children.items() if w)[1]
+
+    regions, racks, leaves = defaultdict(float), defaultdict(lambda: defaultdict(float)), defaultdict(dict)
+    for s in tree:
+        regions[s.region] += s.weight
+        racks[s.region][s.rack] += s.weight
+        leaves[s.rack][f"{s.rack}/{s.number}"] = s.weight
+    return int(least(leaves[least(racks[least(regions)])]).rpartition("/")[2])
+
+
+def test_draws_equal_brute_force(spark):
+    r, ids = random.Random(11), [None, 0, -1, 2**63 - 1, -(2**63)]
+    ids += [r.randint(-(2**40), 2**40) for _ in range(400)]
+    docs = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    uneven = [sharding.Shard(f"r{k % 3}", f"r{k % 3}/k{k % 2}", k, r.choice([0.0, 0.5, 1.0, 3.0])) for k in range(12)]
+    for tree in (sharding.balanced_tree(8), sharding.balanced_tree(9), sharding.balanced_tree(13, 6, 3, 1), uneven):
+        got = sharding.assign(docs, tree).collect()
+        assert Counter(map(tuple, got)) == Counter((i, slow_shard(i, tree)) for i in ids)
+
+
 def test_shards_are_written(spark, tmp_path):
     docs, tree = spark.range(100).selectExpr("id AS doc_id", "'t' AS text"), sharding.balanced_tree(4)
     sharding.write_shards(docs, tree, f"{tmp_path}/out")
@@ -195,6 +229,22 @@ def check_packed(rows, docs, capacity):
     return len(by)
 
 
+def check_sequences(rows, docs, capacity):
+    """Each sequence's ids, piece by piece; returns how many sequences there are."""
+    pieces = []
+    for r in rows:
+        ids, at = bytes(r.ids), 0
+        assert len(ids) == 4 * r.n_tokens <= 4 * capacity and r.doc_ids == [p.doc_id for p in r.pieces]
+        for p in r.pieces:
+            assert p.offset == at
+            own = ids[4 * at : 4 * (at + p.length)]
+            at += p.length
+            pieces.append(Row(**p.asDict(), sequence_id=r.sequence_id, ids_crc32=crc32(own)))
+        assert at == r.n_tokens
+    assert len(rows) == len({r.sequence_id for r in rows})
+    return check_packed(pieces, docs, capacity)
+
+
 def test_packing(spark, odd_docs, no_docs, real):
     docs = [(r.doc_id, r.text) for r in odd_docs.collect()]
     for capacity in (4096, 64):
@@ -208,9 +258,12 @@ def test_packing(spark, odd_docs, no_docs, real):
 def test_sequences_hold_the_ids(spark, odd_docs):
     packed = packing.pack(odd_docs, WORDS, 256, keep_ids=True)
     rows = packed.collect()
-    whole = {r.sequence_id: bytes(r.ids) for r in packing.sequences(packed).collect()}
+    found = packing.sequences(packed).collect()
+    whole = {r.sequence_id: bytes(r.ids) for r in found}
     for r in rows:
         assert whole[r.sequence_id][4 * r.offset : 4 * (r.offset + r.length)] == bytes(r.ids) and crc32(bytes(r.ids)) == r.ids_crc32
+    check_sequences(found, [(r.doc_id, r.text) for r in odd_docs.collect()], 256)
+    assert packing.sequences(packed.where("false")).count() == 0
 
 
 def test_remembered_ids_equal_the_tokenizer():
@@ -221,6 +274,13 @@ def test_remembered_ids_equal_the_tokenizer():
         assert e(text) == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
+def holds_an_item(text, sf_dir):
+    """At least 0.8 of the five-word shingles of a benchmark item; all items have more words."""
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(len(w) - 4)}
+    own = grams(text)
+    return any(10 * len(grams(t) & own) >= 8 * len(grams(t)) for t in pq.read_table(f"{sf_dir}/benchmark.parquet")["text"].to_pylist())
+
+
 def test_pipeline(spark, sf_dir):
     from .test_dedup import slow_components, slow_removal
     from .test_filters import base_counts
@@ -240,8 +300,10 @@ def test_pipeline(spark, sf_dir):
             gone = sum(n for _, _, n, _ in slow_removal([(r.doc_id, r.text) for r in before], 35))
             count = lambda rs: sum(len((r.text or "").split()) for r in rs)
             assert len(rows) == len(before) and count(before) - count(rows) == gone
+        if k == 3:
+            assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in before if not holds_an_item(r.text, sf_dir))
         if k == 4:
-            check_packed(rows, [(r.doc_id, r.text) for r in before], 4096)
+            check_sequences(rows, [(r.doc_id, r.text) for r in before], 4096)
         else:
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
             docs = spark.createDataFrame(rows, docs.schema)

@@ -18,7 +18,10 @@ with any character outside the range where the pre-tokens' pattern is known is
 encoded by the tokenizer itself.
 
 Defined results: a null text is empty; an empty text is the end token alone;
-repeated rows are packed one by one.
+texts of any length are encoded whole and cut into pieces; repeated rows, rows of
+one doc_id and rows without one are packed one by one; pieces of equal length are
+interchangeable, so files and rows decide which goes where; an empty table gives
+an empty one; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -224,9 +227,18 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool =
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """sequence_id and ids (binary) of each sequence, from pieces packed with their ids.
+    """One row per sequence, from pieces packed with their ids.
 
-    A group holds at most the capacity, as each of its pieces has a token at least.
+    sequence_id, n_tokens, ids (little-endian, 32 bits each), doc_ids, and pieces (doc_id, piece, start, offset,
+    length) in their order.  A group holds at most the capacity, as each of its pieces has a token at least.
     """
-    parts = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
-    return parts.select("sequence_id", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"])).alias("ids"))
+    columns = ["offset", "doc_id", "piece", "start", "length", "ids"]
+    parts = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("parts"))
+    joined = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), ""))
+    return parts.select(
+        "sequence_id",
+        F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["length"]).alias("n_tokens"),
+        joined.alias("ids"),
+        F.transform("parts", lambda p: p["doc_id"]).alias("doc_ids"),
+        F.transform("parts", lambda p: F.struct(*[p[c].alias(c) for c in ("doc_id", "piece", "start", "offset", "length")])).alias("pieces"),
+    )
