@@ -13,8 +13,11 @@ A byte's cost depends on it and the three before it alone, so it is worked out
 once for each four-byte gram that occurs, by look-ups in sorted counts, and
 remembered; a text is scored by table lookups.  All 256 byte values count.
 
-Defined results: null, empty and letterless texts are ``und`` with score 0;
-without training rows everything is ``und``; repeated rows are scored one by one.
+Defined results: null, empty and letterless texts are ``und`` with score 0; texts
+of any length are scored whole; of equal code lengths the first language in order
+of its name wins; without training rows everything is ``und``; a null doc_id is
+never held out; repeated rows, and rows without a doc_id, are scored one by one; an
+empty table gives an empty one; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,10 @@ that joins as a region of its own takes documents only into itself.
 The law is ``key``: the doc_id and the tree alone decide.
 
 Defined results: a null doc_id is a key like any other; a null text has no
-bytes, so size 1; rows that repeat share a shard and have a slot each.
+bytes, so size 1; rows that repeat, or that share a doc_id, share a shard and have
+a slot each; of equal draws the child whose name is least wins; an empty table
+gives an empty one; :func:`layout` reads doc_id and text alone, and
+:func:`assign` keeps all columns but replaces one of its result's name.
 """
 
 from __future__ import annotations
