@@ -1,4 +1,4 @@
-"""The corpus pipeline: documents in, packed training sequences out, one written table between stages."""
+"""The corpus pipeline: documents in, training sequences of token ids out, one written table between stages."""
 
 from __future__ import annotations
 
@@ -29,10 +29,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document and their places in sequences of 4,096 tokens."""
+    """Sequences of up to 4,096 token ids, with the documents' pieces that each holds."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.sequences(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True))
 
 
 STAGES = [
