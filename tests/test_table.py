@@ -1,5 +1,10 @@
+import io
 import json
+import os
+import random
+import struct
 
+import pyarrow.parquet as pq
 import pytest
 
 from tidelog.errors import (
@@ -12,8 +17,9 @@ from tidelog.errors import (
     ReadOnlyError,
     SchemaMismatchError,
 )
+from tidelog.operators.resolve import dedup_sql
 from tidelog.schema import TableSchema, column
-from tidelog.sources import export, manifest
+from tidelog.sources import avro, export, manifest
 from tidelog.sources.mirror import Mirror
 from tidelog.sources.replica import Replica
 from tidelog.sources.sqlfeed import lower_bound, select_changes
@@ -213,18 +219,67 @@ def test_mirror(spark, table, tmp_path):
     assert rows(copy.scan()) == rows(table.scan())
 
 
-def test_export(spark, table, tmp_path):
-    table.put_batch([{"id": 2, "v": 2}, {"id": 1, "v": 1}, {"id": 3}])
+def test_export(spark, tmp_path):
+    schema = TableSchema(
+        "x", (column("id", "long", nullable=False), column("v", "i32"), column("w", "double"), column("s", "string"), column("b", "fixed[2]")), ("id",)
+    )
+    table = KeyedTable.open(spark, f"{tmp_path}/t", schema, QUIET)
+    table.put_batch([{"id": 2, "v": 2}, {"id": 1, "v": -1, "w": 0.0, "s": "é", "b": b"ab"}, {"id": 3, "w": float("nan")}, {"id": 4, "v": 7, "w": 2.5}])
+    table.compact()
     table.delete(2)
     path = table.export(f"{tmp_path}/x")
     d = json.loads(open(path.removeprefix("file:")).read())
-    assert d["format-version"] == 2 and d["read-seq"] == 4 and d["schemas"][0]["identifier-field-ids"] == [1]
-    found = spark.read.parquet(*[f["file-path"] for f in d["exported-files"]])
-    assert sorted(rows(found)) == [(1, 1), (3, None)] and found.columns == ["id", "v"]
+    assert d["format-version"] == 2 and d["properties"]["read-seq"] == "5" and d["schemas"][0]["identifier-field-ids"] == [1]
+    files = export.exported_files(spark, f"{tmp_path}/x")
+    total = {k: sum(f[k] for f in files) for k in ("record_count", "file_size_in_bytes")}
+    # the summary counts the exported files, not the table's own
+    assert d["snapshots"][0]["summary"] == {"operation": "append", "total-data-files": str(len(files)), "total-records": "3", "total-files-size": str(total["file_size_in_bytes"])}
+    assert total == {"record_count": 3, "file_size_in_bytes": sum(os.path.getsize(f["file_path"]) for f in files)}
+    found = spark.read.parquet(*[f["file_path"] for f in files])
+    assert sorted(map(repr, rows(found))) == sorted(map(repr, rows(table.scan()))) and found.columns == schema.names
+    of = lambda f, name: {p["key"]: p["value"] for p in f[name]}
+    if len(files) == 1:
+        f = files[0]
+        assert of(f, "value_counts") == {i: 3 for i in range(1, 6)} and of(f, "null_value_counts") == {1: 0, 2: 1, 3: 0, 4: 2, 5: 2}
+        assert of(f, "nan_value_counts") == {3: 1}
+        low = {1: struct.pack("<q", 1), 2: struct.pack("<i", -1), 3: struct.pack("<d", -0.0), 4: "é".encode(), 5: b"ab"}
+        assert of(f, "lower_bounds") == low and of(f, "upper_bounds") == {**low, 1: struct.pack("<q", 4), 2: struct.pack("<i", 7), 3: struct.pack("<d", 2.5)}
+    ids = [pq.read_schema(f["file_path"]).field(c.name).metadata[b"PARQUET:field_id"] for f in files for c in schema.columns]
+    assert ids == [str(c.field_id).encode() for _ in files for c in schema.columns]
     assert table.export(f"{tmp_path}/x").endswith("v2.metadata.json")
-    f = export.data_file_json(table.snapshot().files[0], SCHEMA, "at")
-    assert f["record-count"] == 3 and f["null-value-counts"] == {1: 0, 2: 1} and f["lower-bounds"][1] == "1"
-    assert export.sort_order_json(SCHEMA)["fields"][0]["source-id"] == 1
+    assert export.sort_order_json(schema)["fields"][0]["source-id"] == 1
+    table.apply_batch([("delete", (i,)) for i in (1, 3, 4)])
+    table.export(f"{tmp_path}/x")
+    assert sum(f["record_count"] for f in export.exported_files(spark, f"{tmp_path}/x")) == 0
+
+
+def test_avro_files_are_read_by_its_own_library(spark, table, tmp_path):
+    table.put_batch([{"id": i, "v": None if i == 2 else -i} for i in range(5)])
+    table.export(f"{tmp_path}/x")
+    jvm = spark._jvm
+    names = sorted(n for n in os.listdir(f"{tmp_path}/x/metadata") if n.endswith(".avro") and not n.startswith("."))
+    assert len(names) == 2
+    for n in names:
+        reader = jvm.org.apache.avro.file.DataFileReader(jvm.java.io.File(f"{tmp_path}/x/metadata/{n}"), jvm.org.apache.avro.generic.GenericDatumReader())
+        own, properties = avro.read(open(f"{tmp_path}/x/metadata/{n}", "rb").read())
+        theirs = []
+        while reader.hasNext():
+            theirs.append(reader.next())
+        assert len(theirs) == len(own) and reader.getMetaString("format-version") == "2" == properties["format-version"]
+        if "snap-" in n:
+            assert theirs[0].get("manifest_path").toString() == own[0]["manifest_path"] and theirs[0].get("added_rows_count") == 5
+        else:
+            rows_of = [t.get("data_file").get("record_count") for t in theirs]
+            assert rows_of == [o["data_file"]["record_count"] for o in own] and sum(rows_of) == 5
+            first = theirs[0].get("data_file").get("null_value_counts").get(0)
+            assert (first.get("key"), first.get("value")) == (1, 0)
+    for value in (0, 1, -1, 63, 64, -65, 2**31, -(2**63), 2**63 - 1):
+        assert avro.decode("long", io.BytesIO(avro.encode("long", value))) == value
+    nested = {"type": "record", "name": "n", "fields": [{"name": "a", "type": ["null", {"type": "array", "items": "string"}]}, {"name": "m", "type": {"type": "map", "values": "boolean"}}]}
+    for value in ({"a": None, "m": {}}, {"a": [], "m": {"x": True}}, {"a": ["", "é"], "m": {"x": False, "y": True}}):
+        assert avro.read(avro.write(nested, [value] * 3, {"k": "v"}))[0] == [value] * 3
+    with pytest.raises(ValueError):
+        avro.read(b"PAR1")
 
 
 def test_manifest_rules(spark, tmp_path):
@@ -266,7 +321,7 @@ def test_pins_keep_files(table):
     table.put({"id": 1})
     table.compact()
     with table.pin() as held:
-        table.put({"id": 2})
+        table.put_batch([{"id": 1, "v": 2}, {"id": 2}])  # a key of the base, so its file is merged
         table.compact()
         assert table.vacuum(older_than_s=0) == []
     gone = table.vacuum(older_than_s=0)
@@ -347,3 +402,187 @@ def test_retries_number_a_batch_again(spark, table, tmp_path):
     assert other.put_batch([{"id": 3}, {"id": 4}]) == 3 and other.read_seq() == 4
     table.refresh()
     assert [r[0] for r in feed(table)] == [1, 2, 3, 4]
+
+
+def test_merges_take_only_what_they_must(spark, tmp_path):
+    """Bytes read by merges are those of the picked inputs and of what they overlap; the rest stays as it is."""
+    how = Options(compact_after=0, l0_trigger=2, level_bytes=(4_000, 1 << 30), max_merge_bytes=2_000, target_file_bytes=2_000)
+    t = KeyedTable.open(spark, f"{tmp_path}/t", SCHEMA, how)
+    state, at, r = {}, 0, random.Random(1)
+    merges = []
+    take = t._merge
+    t._merge = lambda picked: (merges.append((picked, t.snapshot())), take(picked))
+    for k in range(8):
+        keys = range(100 * k, 100 * k + 100) if k % 2 else r.sample(range(800), 60)
+        ops = [("put", {"id": i, "v": k}) if (i + k) % 5 else ("delete", (i,)) for i in keys]
+        t.apply_batch(ops)
+        for kind, what in ops:
+            state = {**state, what["id"]: k} if kind == "put" else {i: v for i, v in state.items() if i != what[0]}
+        at += len(ops)
+        if k % 2:
+            while t.merge():
+                pass
+            assert rows(t.scan()) == sorted(state.items()) and t.read_seq() == at
+    levels = {f.level for f in t.snapshot().base}
+    assert 2 in levels and len(merges) > 6
+    for picked, before in merges:
+        low, high = min(f.key_min for f in picked.inputs), max(f.key_max for f in picked.inputs)
+        touched = {f.path for f in (*picked.inputs, *picked.overlaps)}
+        assert {f.level for f in picked.inputs} == {picked.level} and {f.level for f in picked.overlaps} <= {picked.level + 1}
+        assert {f.path for f in before.base if f.level == picked.level + 1 and f.key_min <= high and f.key_max >= low} <= touched
+    assert any(len({f.path for f in before.base} - {f.path for f in (*p.inputs, *p.overlaps)}) > 2 for p, before in merges)
+    for level in levels:  # a key is in one file of a level
+        own = sorted((f.key_min, f.key_max) for f in t.snapshot().base if f.level == level)
+        assert all(a[1] < b[0] for a, b in zip(own, own[1:], strict=False))
+    assert t.metrics["bytes_read_by_merges"] == sum(f.bytes for p, _ in merges for f in (*p.inputs, *p.overlaps))
+    # every way of reading agrees, with levels, pending operations, and after all is merged
+    t.apply_batch([("delete", (i,)) for i in range(0, 800, 7)] + [("put", {"id": 801, "v": 0})])
+    state = {**{i: v for i, v in state.items() if i % 7}, 801: 0}
+    assert rows(t.scan()) == sorted(state.items()) and rows(t.scan(100, 120)) == sorted((i, v) for i, v in state.items() if 100 <= i < 120)
+    full = [(x.seq, x.op, x.id, x.v) for x in t.changes().orderBy("seq").collect()]
+    assert feed(t, t.snapshot().base_seq) == full[t.snapshot().base_seq :]
+    old = rows(t.scan(as_of=at))
+    assert t.compact() and rows(t.scan()) == sorted(state.items()) and rows(t.scan(as_of=at)) == old
+    assert tuple(t.get(801)) == (801, 0) and t.get(7) is None and not t.snapshot().pending
+
+
+def test_flush_marks_exactly_what_was_replaced(spark, tmp_path):
+    """(rounds - 1) x keys rows are marked, whatever is merged in between; the state then needs no exchange."""
+    t = KeyedTable.open(spark, f"{tmp_path}/t", SCHEMA, QUIET)
+    keys, rounds, marked = 40, 5, 0
+    for k in range(rounds):
+        t.put_batch([{"id": i, "v": k} for i in range(keys)])
+        marked += t.flush()
+        assert t.flush() == 0
+    assert marked == (rounds - 1) * keys == t.marked_positions().distinct().count()
+    t.apply_batch([("put", {"id": 1, "v": 9}), ("delete", (1,)), ("put", {"id": 2, "v": 9}), ("delete", (77,))])
+    before = rows(t.scan())
+    assert t.flush() == 3  # two older rows, and the put that its own batch deletes
+    plan = t.scan(ordered=False)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and rows(t.scan()) == before == [(i, 9 if i == 2 else 4) for i in range(keys) if i != 1]
+    assert [tuple(t.get(2)), t.get(1), t.get(77)] == [(2, 9), None, None]
+    assert len(feed(t)) == rounds * keys + 4 and rows(t.scan(as_of=keys)) == [(i, 0) for i in range(keys)]
+    t.compact()
+    assert t.marked_positions().count() == 0 and rows(t.scan()) == before
+    t.put({"id": 3, "v": 1})
+    assert t.flush() == 1 and tuple(t.get(3)) == (3, 1) and len(rows(t.scan())) == keys - 1
+
+
+def test_flush_between_merges_of_a_part(spark, tmp_path):
+    how = Options(compact_after=0, l0_trigger=1, level_bytes=(1_500, 1 << 30), max_merge_bytes=1, target_file_bytes=1_000, mark_superseded=True)
+    t, state = KeyedTable.open(spark, f"{tmp_path}/t", SCHEMA, how), {}
+    r = random.Random(2)
+    for k in range(6):
+        for _ in range(2):
+            ops = [("put", {"id": i, "v": k}) if r.random() < 0.8 else ("delete", (i,)) for i in r.sample(range(120), 50)]
+            t.apply_batch(ops)
+            for kind, what in ops:
+                if kind == "put":
+                    state[what["id"]] = k
+                else:
+                    state.pop(what[0], None)
+        assert t.snapshot().superseded_seq == t.read_seq()
+        assert rows(t.scan()) == sorted(state.items())
+        t.merge()
+        assert rows(t.scan()) == sorted(state.items())
+        if k % 2:
+            t.flush()
+            assert rows(t.scan()) == sorted(state.items())
+
+
+def test_a_torn_manifest_is_passed_over(spark, table, tmp_path):
+    table.put({"id": 1})
+    n = table.snapshot().snapshot_id
+    table._store.put(f"manifests/v{n + 1}.json", b"")  # the writer died
+    again = KeyedTable.open(spark, f"{tmp_path}/t", options=QUIET)
+    assert again.read_seq() == 1 and again.put({"id": 2}) == 2
+    assert KeyedTable.open_read_only(spark, f"{tmp_path}/t").read_seq() == 2
+    with pytest.raises(AlreadyExistsError):
+        table.put({"id": 3})
+    assert not [f for f, _ in table._store.list("manifests") if "/." in f]  # nothing is left aside
+
+
+def test_expiry_keeps_marked_rows_out(spark, table):
+    """Rows that were marked do not come back, an older version that a mark uncovered stays, and the feed knows all."""
+    table.put_batch([{"id": i, "v": 0} for i in range(6)])
+    table.apply_batch([("put", {"id": 1, "v": 1}), ("delete", (2,)), ("put", {"id": 3, "v": 1}), ("delete", (3,))])
+    log = [f"{table.catalog_path()}/{f.path}" for f in table.snapshot().log]
+    stored = table._placed_keys(table.snapshot().log)
+    assert log and table.mark_deleted(stored.where("id = 0 or (id = 1 and seq = 7) or (id = 2 and op = 0)")) == 3
+    want = rows(table.scan())
+    assert want == [(1, 0), (2, 0), (4, 0), (5, 0)]
+    table.put({"id": 9, "v": 9})
+    table.delete(0)
+    whole = feed(table)
+    assert table.expire(10) == 2
+    assert rows(table.scan()) == [*want, (9, 9)] and rows(table.scan(as_of=10)) == want
+    assert feed(table, 10) == whole[10:]
+    table.apply_batch([("delete", (2,)), ("put", {"id": 1, "v": 5})])
+    assert feed(table, 12) == [(13, "DELETE", None, None), (14, "UPDATE", 1, 5)]
+    table.compact()
+    assert rows(table.scan()) == [(1, 5), (4, 0), (5, 0), (9, 9)]
+
+
+def test_mirror_copies_marks(spark, table, tmp_path):
+    table.put_batch([{"id": i, "v": i} for i in range(6)])
+    table.compact()
+    table.mark_deleted(table._placed_keys(table.snapshot().base).where("id = 2"))
+    table.put({"id": 4, "v": 44})
+    Mirror(table, f"{tmp_path}/copy").run()
+    copy = KeyedTable.open_read_only(spark, f"{tmp_path}/copy")
+    assert rows(copy.scan()) == rows(table.scan()) == [(0, 0), (1, 1), (3, 3), (4, 44), (5, 5)]
+    table.compact()
+    table.put({"id": 5, "v": 55})
+    table.flush()
+    assert Mirror(table, f"{tmp_path}/copy").run() >= 3 and Mirror(table, f"{tmp_path}/copy").run() == 0
+    copy.refresh()
+    assert rows(copy.scan()) == rows(table.scan())
+
+
+def test_zeros_are_two_keys(spark, tmp_path):
+    s = TableSchema("z", (column("k", "double", nullable=False), column("v", "long")), ("k",))
+    t = KeyedTable.open(spark, f"{tmp_path}/z", s, QUIET)
+    t.put_batch([{"k": 0.0, "v": 1}, {"k": -0.0, "v": 2}, {"k": 1.0, "v": 3}])
+    t.compact()
+    r = Replica(spark, f"{tmp_path}/z")
+    t.delete(-0.0)
+    r.advance()
+    text = lambda found: [(str(a), b) for a, b in found]
+    assert sorted(text(rows(r.view()))) == [("0.0", 1), ("1.0", 3)] and r.get(-0.0) is None and r.get(0.0).v == 1
+    assert t.flush() == 1 and text(rows(t.scan())) == [("0.0", 1), ("1.0", 3)]
+    t.put({"k": -0.0, "v": 7})
+    t.flush()
+    assert text(rows(t.scan())) == [("-0.0", 7), ("0.0", 1), ("1.0", 3)]
+    assert text(rows(t.scan((0.0,), None))) == [("0.0", 1), ("1.0", 3)] and text(rows(t.scan(None, (0.0,)))) == [("-0.0", 7)]
+    assert text(rows(t.scan((-0.0,), (0.0,)))) == [("-0.0", 7)]
+    kept = spark.sql(dedup_sql("{log}", ["k"], ["k", "v"], floats=["k"]), log=t.operations())
+    assert sorted(text(rows(kept))) == [("-0.0", 7), ("0.0", 1), ("1.0", 3)]
+
+
+def test_bounds_are_read_from_the_query_alone(spark, table):
+    table.put_batch([{"id": i, "v": i} for i in range(8)])
+    assert [lower_bound(x) for x in (
+        "op = 'x and seq > 5 and y'", "id IN (SELECT id FROM t WHERE seq > 5)", "seq > 5 AND (seq > 7 OR id = 1)", "(seq > 3) AND NOT seq > 6",
+        "other.seq > 5", "seq > 2 AND id BETWEEN 1 AND 3", "seq > 2.5", "seq > '4'", "seq + 1 > 5", "not a query",
+    )] == [0, 0, 5, 3, 0, 2, 0, 0, 0, 0]
+    assert select_changes(table, where="op <> 'x and seq > 5 and y'").count() == 8
+    inner = "seq > 5 AND v IN (SELECT v - 4 FROM {changes} WHERE seq < 4 UNION SELECT v FROM {changes} WHERE seq < 7)"
+    assert [r.seq for r in select_changes(table, "seq", inner).collect()] == [6]
+    assert [r.seq for r in select_changes(table, "seq", "seq > 6", rest="ORDER BY seq DESC").collect()] == [8, 7]
+
+
+def test_a_shared_folder_is_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tidelog.sources.workspace import shared_dir
+
+    unset = SimpleNamespace(get=lambda key: None)
+    jsc = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))
+    made = []
+    for master, fails in (("spark://host:7077", True), ("yarn", True), ("local-cluster[2,1,1024]", True), ("local[4]", False), ("local", False)):
+        sc = SimpleNamespace(getConf=lambda: unset, _jsc=jsc, master=master, setCheckpointDir=made.append)
+        if fails:
+            with pytest.raises(InvalidArgumentError):
+                shared_dir(SimpleNamespace(sparkContext=sc))
+        else:
+            assert shared_dir(SimpleNamespace(sparkContext=sc)) == made[-1]

@@ -6,10 +6,9 @@ from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.operators.resolve import DELETE, in_range, key_columns
+from tidelog.operators.resolve import DELETE, distinct_keys, in_range, is_key, newest, same_key
 
 
 def compact(
@@ -21,17 +20,19 @@ def compact(
     still need it (``seq >= oldest_snapshot``).  A deletion that is the newest
     goes if ``drop_deletions`` (nothing older lies below the output) and no
     snapshot may need it.  Without ``oldest_snapshot`` no snapshot needs anything.
+
+    Operations that a snapshot may need are never ranked, so that the rank limit
+    holds for the others and a busy key's versions do not meet in one task.
     """
-    order = W.partitionBy(*key_columns(ops, pk)).orderBy(F.desc("seq"))
-    ranked = ops.withColumn("_rank", F.row_number().over(order))
-    if oldest_snapshot is None:
-        kept = ranked.where("_rank = 1")
-    else:
-        kept = ranked.where((F.col("_rank") == 1) | (F.col("seq") >= oldest_snapshot))
+    old = ops if oldest_snapshot is None else ops.where(F.col("seq") < oldest_snapshot)
+    kept = newest(old, pk)
     if drop_deletions:
-        needed = F.lit(False) if oldest_snapshot is None else F.col("seq") >= oldest_snapshot
-        kept = kept.where((F.col("_rank") > 1) | (F.col("op") != DELETE) | needed)
-    return kept.drop("_rank")
+        kept = kept.where(F.col("op") != DELETE)
+    if oldest_snapshot is None:
+        return kept
+    recent = ops.where(F.col("seq") >= oldest_snapshot)
+    keys = distinct_keys(recent, pk, "_r_{}")
+    return recent.unionByName(kept.join(keys, same_key(kept, keys, pk, "_r_{}"), "left_anti"))
 
 
 def drops_deletions(output_level: int, level_targets: int) -> bool:
@@ -48,11 +49,8 @@ def with_positions(files: DataFrame) -> DataFrame:
 
 def keys_in_range(rows: DataFrame, pk: Sequence[str], low: Sequence[Any], high: Sequence[Any]) -> DataFrame:
     """Keys and positions with ``low <= pk <= high``; no other column is read."""
-    below = in_range(pk, low, None)
-    last = F.lit(True)
-    for k, v in zip(pk, high, strict=True):
-        last = last & (F.col(k) == F.lit(v))
-    return rows.where(below & (in_range(pk, None, high) | last)).select(*pk, "file_path", "row_index")
+    inside = in_range(pk, low, None) & (in_range(pk, None, high) | is_key(pk, high))
+    return rows.where(inside).select(*pk, "file_path", "row_index")
 
 
 def superseded(
@@ -62,12 +60,21 @@ def superseded(
 
     Only key columns and positions are read.
     """
-    keys = keys.select(*[F.col(k).alias(f"_{k}") for k in pk]).distinct()
-    same = [rows[k] == keys[f"_{k}"] for k in pk]
-    found = rows.join(keys, same, "left_semi").select("file_path", "row_index")
+    keys = distinct_keys(keys, pk, "_{}")
+    found = rows.join(keys, same_key(rows, keys, pk, "_{}"), "left_semi").select("file_path", "row_index")
     return found if marked is None else found.join(marked, ["file_path", "row_index"], "left_anti")
 
 
+def replaced(rows: DataFrame, pk: Sequence[str]) -> DataFrame:
+    """(file_path, row_index) of every row that is not the newest of its key.
+
+    The newest are found under a rank limit and taken from all, so that a busy
+    key's versions never meet in one task.
+    """
+    last = newest(rows.select("seq", *pk, "file_path", "row_index"), pk).select("file_path", "row_index")
+    return rows.select("file_path", "row_index").join(last, ["file_path", "row_index"], "left_anti")
+
+
 def union_positions(old: DataFrame, new: DataFrame) -> DataFrame:
     """Positions of both; never fewer than before."""
     return old.select("file_path", "row_index").union(new.select("file_path", "row_index")).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.operators.resolve import PUT, newest
+from tidelog.operators.resolve import PUT, newest, same_key
 
 
 def apply_tail(tail: DataFrame, more: DataFrame, pk: Sequence[str]) -> DataFrame:
@@ -22,7 +22,6 @@ def overlay(base: DataFrame, tail: DataFrame, pk: Sequence[str]) -> DataFrame:
     hides the base's row.
     """
     held = newest(tail, pk)
-    touched = held.select(*pk)
-    same = [base[k].eqNullSafe(touched[k]) for k in pk]
-    below = base.join(touched, same, "left_anti")
+    touched = held.select(*[F.col(k).alias(f"_t_{k}") for k in pk])
+    below = base.join(touched, same_key(base, touched, pk, "_t_{}"), "left_anti")
     return below.unionByName(held.where(F.col("op") == PUT).drop("op"))

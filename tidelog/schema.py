@@ -238,8 +238,8 @@ def check_row(schema: TableSchema, row: dict[str, Any]) -> tuple:
     return tuple(found)
 
 
-def pad(df: DataFrame, schema: TableSchema, initial: bool = False) -> DataFrame:
-    """``df`` in the schema's column order; columns it lacks get their defaults.
+def pad(df: DataFrame, schema: TableSchema, initial: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` in the schema's column order, after ``keep``; columns it lacks get their defaults.
 
     ``initial`` pads what was written before a column existed: with the initial
     default, whatever rows written today would get.
@@ -253,7 +253,7 @@ def pad(df: DataFrame, schema: TableSchema, initial: bool = False) -> DataFrame:
             if value is None and not c.nullable and not initial:
                 raise SchemaMismatchError(f"{c.name} may not be null")
             found.append(F.lit(value).cast(c.spark_type).alias(c.name))
-    kept = [n for n in ("seq", "op") if n in df.columns and n not in schema.names]
+    kept = [n for n in ("seq", "op", *keep) if n in df.columns and n not in schema.names]
     return df.select(*kept, *found)
 
 

@@ -26,7 +26,7 @@ class Maintainer:
         try:
             self._table.refresh()
             m = self._table.snapshot()
-            merged = sum(f.seq_max > m.base_seq for f in m.log) >= self._log_files and self._table.compact()
+            merged = self._table.compact() if len(m.pending) >= self._log_files else self._table.merge()
             self._table.vacuum()
         except TableError:
             self.lost += 1

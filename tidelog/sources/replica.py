@@ -77,7 +77,7 @@ class Replica:
     def view(self) -> DataFrame:
         """All live rows: the tail over the base."""
         held = self._held
-        base = resolve.current_state(held.base.versions(), held.base.pk)
+        base = held.base.state()
         if held.visible == held.base_seq:
             return base.select(*held.base.schema.names)
         return overlay.overlay(base, self.tail(), held.base.pk).select(*held.base.schema.names)
@@ -85,11 +85,8 @@ class Replica:
     def get(self, *key: Any) -> Row | None:
         """A hit in the tail wins, a deletion there hides the base, a miss falls through."""
         held = self._held
-        same = F.lit(True)
-        for k, v in zip(held.base.pk, key, strict=True):
-            same = same & (F.col(k) == F.lit(v))
         if held.visible > held.base_seq:
-            hit = self.tail().where(same).first()
+            hit = self.tail().where(resolve.is_key(held.base.pk, key)).first()
             if hit is not None:
                 return self._spark_row(hit) if hit["op"] == 1 else None
         return held.base.get(*key)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 from tidelog.errors import AlreadyExistsError, NotFoundError
@@ -25,18 +27,32 @@ class Storage:
         return self._fs.exists(self._path(name))
 
     def put_if_absent(self, name: str, data: bytes) -> None:
-        """Create a file that must not be there; of several writers one succeeds."""
-        at = self._path(name)
+        """Create a file that must not be there; of several writers one succeeds, and no reader sees a part of it.
+
+        The bytes are written aside and then named: by a link on a local disk, by
+        a rename that does not replace elsewhere.  Both are atomic but on object
+        stores, where only one writer should be at work.
+        """
+        folder, _, last = name.rpartition("/")
+        aside = f"{folder}/.{last}.{uuid.uuid4().hex}".lstrip("/")
+        self.put(aside, data)
         try:
-            out = self._fs.create(at, False)
+            if self._fs.getScheme() == "file":
+                at, tmp = (self._jvm.java.io.File(self._path(n).toUri().getPath()).toPath() for n in (name, aside))
+                self._jvm.java.nio.file.Files.createLink(at, tmp)
+            else:
+                context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+                    self._fs.getUri(), self._spark._jsc.hadoopConfiguration()
+                )
+                rename = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+                none = self._spark.sparkContext._gateway.new_array(rename, 0)
+                context.rename(self._path(aside), self._path(name), none)
         except Exception as e:
-            if self._fs.exists(at):
+            if self._fs.exists(self._path(name)):
                 raise AlreadyExistsError(f"{name} is there already") from e
             raise
-        try:
-            out.write(bytearray(data))
         finally:
-            out.close()
+            self.delete(aside)
 
     def put(self, name: str, data: bytes) -> None:
         out = self._fs.create(self._path(name), True)
@@ -55,7 +71,18 @@ class Storage:
             stream.close()
 
     def get_range(self, name: str, start: int, length: int) -> bytes:
-        return self.get(name)[start : start + length]
+        """A part of a file; only that part is read.  What lies beyond the end is left out."""
+        if not self.exists(name):
+            raise NotFoundError(name)
+        n = min(length, self._fs.getFileStatus(self._path(name)).getLen() - start)
+        if n <= 0:
+            return b""
+        stream = self._fs.open(self._path(name))
+        try:
+            stream.seek(start)
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(n)))
+        finally:
+            stream.close()
 
     def list(self, name: str = "") -> list[tuple[str, int]]:
         """(name below the root, bytes) of the files directly in a folder."""

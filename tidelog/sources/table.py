@@ -1,9 +1,15 @@
 """A keyed table on storage.
 
 Three things persist: the log, append-only Parquet files ``(seq, op, row)``; the
-base, Parquet files of the live rows at ``base_seq`` clustered by key; and the
-manifests that name them.  Every read is a query over ``base`` and the
-operations after it; no read depends on when files were merged.
+base, levels of Parquet files clustered by key that hold the state at
+``base_seq``; and the manifests that name them.  Every read is a query over the
+base and the operations after it; no read depends on when files were merged.
+
+Merges go level by level: the oldest log files into level 1, a part of a full
+level into the next, each with the files there that its keys overlap and no
+others.  :meth:`KeyedTable.flush` marks the stored rows that newer operations
+replaced, by position; once all are marked, the state is what is left, and
+reading it needs no shuffle of the rows.
 
 A batch of operations is one commit and owns consecutive sequence numbers.  A
 DataFrame has no order, so a batch given as one names the columns that order it.
@@ -17,11 +23,10 @@ import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +40,8 @@ from tidelog.errors import (
     SchemaMismatchError,
 )
 from tidelog.functions.keys import encode, pk_bytes
-from tidelog.operators import feed, merge, resolve
+from tidelog.operators import feed, merge, picker, resolve
+from tidelog.operators.picker import Policy
 from tidelog.operators.stats import level_stats
 from tidelog.schema import ColumnSpec, TableSchema, check_row, check_value, pad, same_type, violation
 from tidelog.sources import manifest as snapshots
@@ -45,15 +51,43 @@ from tidelog.sources.storage import Storage
 
 @dataclass(frozen=True)
 class Options:
-    """``compact_after`` log files beyond the base trigger a merge at the next write, 0 never;
-    ``max_records_per_file`` bounds files; ``grace_s`` is how long unused files stay; a batch of rows that
-    another writer's commit got ahead of is numbered and written again up to ``retries`` times."""
+    """``compact_after`` log batches beyond the base trigger merges at the next write, 0 never; :meth:`KeyedTable.merge`
+    waits for ``l0_trigger`` log files or for a level over its ``level_bytes``, and takes at most ``max_merge_bytes`` of a
+    level at once.  Files have about ``target_file_bytes`` and at most ``max_records_per_file``; ``grace_s`` is how long
+    unused files stay.  With ``mark_superseded`` every write marks what it replaced.  A batch of rows that another
+    writer's commit got ahead of is numbered and written again up to ``retries`` times."""
 
     compact_after: int = 20
     max_records_per_file: int = 5_000_000
     grace_s: int = 300
     bloom_columns: tuple[str, ...] = ()
     retries: int = 0
+    l0_trigger: int = Policy.l0_trigger
+    l0_slowdown: int = Policy.l0_slowdown
+    level_bytes: tuple[int, ...] = Policy.level_bytes
+    max_merge_bytes: int = Policy.max_bytes
+    max_merge_rows: int | None = None
+    target_file_bytes: int = 512 << 20
+    mark_superseded: bool = False
+
+    @property
+    def policy(self) -> Policy:
+        return Policy(self.l0_trigger, self.l0_slowdown, self.level_bytes, self.max_merge_bytes, self.max_merge_rows)
+
+
+#: Merges that one call of compact() makes at most.
+MAX_MERGES = 128
+
+
+def _below_root(path: Column) -> Column:
+    """A stored file's path below its table's root, from any spelling of its whole path: ``kind/folder/file``."""
+    return F.substring_index(path, "/", -3)
+
+
+def _placed(files: DataFrame) -> DataFrame:
+    """Rows read from stored files, with the file below the root and the row's number in it."""
+    found = merge.with_positions(files)
+    return found.withColumn("file_path", _below_root(F.col("file_path")))
 
 
 class KeyedTable:
@@ -186,8 +220,9 @@ class KeyedTable:
     def write(self, df: DataFrame, order_by: Sequence[str], op: str | None = None) -> int:
         """A batch of any size, in the order of ``order_by``; ``op`` names a column of 0 and 1, else all are puts.
 
-        Rows are sorted and written once; a row's number is its place in the
-        sorted files, so nothing is ranked in one task.
+        Rows are sorted into staged files, and a row's number is its place there,
+        so nothing is ranked in one task; with their numbers they are then
+        written by key.
         """
         self._writable()
         keep = [c for c in df.columns if c in self.schema.names]
@@ -249,19 +284,22 @@ class KeyedTable:
         pending = len({f.path.rpartition("/")[0] for f in after.log if f.seq_max > after.base_seq})
         if self.options.compact_after and pending >= self.options.compact_after:
             self.compact()
+        if self.options.mark_superseded:
+            self.flush()
         return first
 
     def _write_files(self, frame: DataFrame, level: int) -> list[DataFile]:
         """Write a folder of Parquet files and gather their statistics in one pass over them."""
         folder = f"{'log' if level == 0 else 'base'}/{uuid.uuid4().hex}"
-        out = frame.sortWithinPartitions(*self.pk, F.desc("seq")).write
+        out = frame.sortWithinPartitions(*resolve.key_order(frame, self.pk), F.desc("seq")).write
         out = out.option("maxRecordsPerFile", self.options.max_records_per_file)
         for c in self.options.bloom_columns:
             out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
         out.parquet(self._store.url(folder))
         sizes = {name.rpartition("/")[2]: size for name, size in self._store.list(folder) if name.endswith(".parquet")}
         written = self._spark.read.schema(frame.schema).parquet(self._store.url(folder))
-        key = F.hex(pk_bytes(self.schema))
+        written = written.select("*", F.col("_metadata.file_name").alias("_file"), F.hex(pk_bytes(self.schema)).alias("_key"))
+        key = F.col("_key")
         parts = [F.count("*").alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high"), F.min(key).alias("kmin"), F.max(key).alias("kmax")]
         live = F.count_if(F.col("op") == 1) if "op" in frame.columns else F.count("*")
         parts.append(live.alias("live"))
@@ -272,7 +310,7 @@ class KeyedTable:
             if c.type == "binary" or c.fixed:
                 low, high = F.min(text), F.max(text)
             parts += [low.cast("string").alias(f"min{i}"), high.cast("string").alias(f"max{i}")]
-        rows = written.groupBy(F.col("_metadata.file_name").alias("file")).agg(*parts).collect()  # a row for each file
+        rows = written.groupBy(F.col("_file").alias("file")).agg(*parts).collect()  # a row for each file
         found = []
         for r in sorted(rows, key=lambda r: r["file"]):
             stats = {
@@ -289,22 +327,25 @@ class KeyedTable:
 
     # reading
 
-    def _read(self, files: Sequence[DataFile], marks: bool = False) -> DataFrame:
-        """``seq``, ``op`` and the current columns of the files, with ``marks`` without the rows marked as deleted.
+    def _read(self, files: Sequence[DataFile], marks: Sequence[str] = (), positions: bool = False) -> DataFrame:
+        """``seq``, ``op`` and the current columns of the files, without the rows at the positions in ``marks``.
 
         Files of one schema are read together; what they lack reads as its
         initial default.  A null that was written stays null.
         """
-        current = self.schema
+        current, at = self.schema, ("file_path", "row_index") if positions else ()
         empty = self._spark.createDataFrame([], current.log_struct())
+        if positions:
+            empty = empty.withColumns({"file_path": F.lit(""), "row_index": F.lit(0).cast("long")})
         found = None
         for schema_id in sorted({f.schema_id for f in files}):
             own, then = [f for f in files if f.schema_id == schema_id], self._manifest.schema_of(schema_id)
             part = self._spark.read.schema(then.log_struct()).parquet(*[self._store.url(f.path) for f in own])
-            if marks and self._manifest.deletions:
-                columns = part.columns
-                part = merge.without_positions(merge.with_positions(part), self._marked()).select(*columns)
-            part = pad(part, current, initial=True)
+            if marks or positions:
+                part = _placed(part)
+            if marks:
+                part = merge.without_positions(part, self._marked(marks))
+            part = pad(part, current, initial=True, keep=at)
             found = part if found is None else found.unionByName(part)
         return empty if found is None else found
 
@@ -321,16 +362,38 @@ class KeyedTable:
         ``files_in`` are encoded bounds; files whose keys lie outside are not opened.
         """
         m = self._manifest
-        low, high = (b.hex().upper() if b is not None else None for b in files_in)
-        near = lambda f: (low is None or f.key_max >= low) and (high is None or f.key_min <= high)
         if as_of is not None and as_of < m.base_seq:
             if as_of < m.low_water:
                 raise BelowRetentionError(as_of, m.low_water)
-            return self._read([f for f in m.log if f.seq_min <= as_of and near(f)], True).where(F.col("seq") <= as_of)
-        after = [f for f in m.log if f.seq_max > m.base_seq and near(f) and (as_of is None or f.seq_min <= as_of)]
-        found = self._read(after, True).where(feed.in_window(m.base_seq, as_of))
-        base = [f for f in m.base if near(f)]
-        return self._read(base, True).unionByName(found) if base else found
+            old = [f for f in m.near(m.log, *files_in) if f.seq_min <= as_of]
+            return self._read(old, m.deletions).where(F.col("seq") <= as_of)
+        after = [f for f in m.near(m.pending, *files_in) if as_of is None or f.seq_min <= as_of]
+        found = self._read(after, m.deletions).where(feed.in_window(m.base_seq, as_of))
+        base = m.near(m.base, *files_in)
+        return self._read(base, m.deletions).unionByName(found) if base else found
+
+    def state(
+        self,
+        as_of: int | None = None,
+        files_in: tuple[bytes | None, bytes | None] = (None, None),
+        where: Column | None = None,
+    ) -> DataFrame:
+        """Live rows with the seq that wrote them; ``where`` is a condition on the key.
+
+        No row is shuffled where each key is stored once, or all stored rows
+        that are not the newest of their key are marked.
+        """
+        m, where = self._manifest, F.lit(True) if where is None else where
+        if as_of is None or as_of >= self.read_seq():
+            base, after = m.near(m.base, *files_in), m.near(m.pending, *files_in)
+            live = None
+            if not after and len({f.level for f in base}) <= 1:
+                live = self._read(base, m.deletions)
+            elif m.superseded_seq >= self.read_seq() and not m.deletions:
+                live = self._read([*base, *after], m.superseded)
+            if live is not None:
+                return live.where(where & (F.col("op") == resolve.PUT)).drop("op")
+        return resolve.current_state(self.versions(as_of, files_in).where(where), self.pk, as_of)
 
     def scan(
         self,
@@ -343,15 +406,14 @@ class KeyedTable:
         self._count("scans")
         start, end = (None if x is None else tuple(x) if isinstance(x, tuple | list) else (x,) for x in (start, end))
         bounds = tuple(None if x is None else encode(self.schema, x) for x in (start, end))
-        found = resolve.range_scan(self.versions(as_of, bounds), self.pk, start, end, as_of)
-        found = found.select(*self.schema.names)
-        return found.orderBy(*self.pk) if ordered else found
+        found = self.state(as_of, bounds, resolve.in_range(self.pk, start, end)).select(*self.schema.names)
+        return found.orderBy(*resolve.key_order(found, self.pk)) if ordered else found
 
     def get(self, *key: Any, as_of: int | None = None) -> Row | None:
         """The live row of a key, or None."""
         self._count("gets")
         encoded = encode(self.schema, key)
-        found = resolve.point_lookup(self.versions(as_of, (encoded, encoded)), self.pk, key, as_of)
+        found = self.state(as_of, (encoded, encoded), resolve.is_key(self.pk, key))
         return found.select(*self.schema.names).first()
 
     def changes(
@@ -384,26 +446,91 @@ class KeyedTable:
 
     # maintenance
 
-    def flush(self) -> None:
-        """Nothing waits in memory: a batch is durable once its manifest is."""
+    def flush(self) -> int:
+        """Mark the stored rows that operations since the last flush replaced; how many.
+
+        A batch is durable once its manifest is, so nothing waits to be written.
+        Of each key that the new operations touch, all versions but the newest
+        are found in the files whose keys they overlap.
+        """
         self._writable()
+        m, upto = self._manifest, self.read_seq()
+        if m.superseded_seq >= upto:
+            return 0
+        new = [f for f in m.log if f.seq_max > m.superseded_seq]
+        if m.superseded_seq and new:
+            low, high = (bytes.fromhex(x) for x in (min(f.key_min for f in new), max(f.key_max for f in new)))
+            rows = self._placed_keys([*m.near(m.base, low, high), *m.near(m.pending, low, high)])
+            newest = resolve.newest(self._placed_keys(new).where(F.col("seq") > m.superseded_seq), self.pk)
+            newest = newest.select(F.col("seq").alias("_n_seq"), *[F.col(k).alias(f"_n_{k}") for k in self.pk])
+            older = resolve.same_key(rows, newest, self.pk, "_n_{}") & (rows["seq"] < newest["_n_seq"])
+            found = rows.join(newest, older, "left_semi").select("file_path", "row_index")
+        else:
+            found = merge.replaced(self._placed_keys([*m.base, *m.pending]), self.pk)
+        old = m.superseded if m.superseded_seq else ()
+        if old:
+            found = merge.without_positions(found, self._marked(old))
+        names = self._write_positions(found, "superseded")
+        n = self._marked(names).count() if names else 0
+        self._publish(m.apply(superseded=(*old, *names) if n else old, superseded_seq=upto))
+        self._count("rows_marked", n)
+        return n
+
+    def merge(self) -> bool:
+        """The merge that the levels need most, if any is over its limit; whether there was one."""
+        self._writable()
+        m = self._manifest
+        found = picker.pick([*m.pending, *m.base], self.options.policy)
+        if found is not None:
+            self._merge(found)
+        return found is not None
 
     def compact(self) -> bool:
-        """Merge base and log into a new base at the newest operation; False if there is nothing to merge."""
+        """Merge all that waits in the log, then whatever levels are over their limits; False if nothing was to do."""
         self._writable()
-        m, seq = self._manifest, self.read_seq()
-        if seq == m.base_seq:
-            return False
-        kept = merge.compact(self.versions(), self.pk, None, drop_deletions=True)
-        n = max(1, -(-sum(f.rows for f in m.files) // self.options.max_records_per_file))
-        files = self._write_files(kept.repartitionByRange(n, *self.pk), level=1)
-        # positions in the old base mean nothing in the new one, whose rows they already left out
-        after = m.apply(add=files, remove=[f.path for f in m.base], base_seq=seq)
-        snapshots.commit(self._store, after)
-        self._manifest = after
+        for done in range(MAX_MERGES):
+            m, policy = self._manifest, self.options.policy
+            files = [*m.pending, *m.base]
+            found = picker.choose(files, policy, 0) if m.pending else picker.pick(files, policy)
+            if found is None:
+                return done > 0
+            self._merge(found)
+        return True
+
+    def _merge(self, picked: picker.Pick) -> None:
+        """Merge a pick's inputs and overlaps into its output level; no other file is read or written.
+
+        Log files stay for the feed.  A deletion stays while a deeper level may
+        hold its key.
+        """
+        m, sources = self._manifest, [*picked.inputs, *picked.overlaps]
+        drop = picked.drop_deletions or not picked.below
+        kept = merge.compact(self._read(sources, m.deletions), self.pk, None, drop_deletions=drop)
+        files = self._write_files(self._dealt(kept, sources), picked.output_level)
+        base_seq = max(f.seq_max for f in picked.inputs) if picked.level == 0 else m.base_seq
+        gone = [f.path for f in sources if f.level > 0]
+        after = m.apply(add=files, remove=gone, base_seq=max(base_seq, m.base_seq))
+        # what is marked in the files that went is not marked in the new ones
+        if not after.pending and len({f.level for f in after.base}) <= 1:
+            after = replace(after, superseded=(), superseded_seq=self.read_seq())
+        elif picked.level == 0:
+            after = replace(after, superseded_seq=min(m.superseded_seq, after.base_seq))
+        else:
+            after = replace(after, superseded=(), superseded_seq=0)
+        self._publish(after)
         self._count("compactions")
+        self._count("bytes_read_by_merges", sum(f.bytes for f in sources))
         self._count("bytes_written", sum(f.bytes for f in files))
-        return True
+
+    def _dealt(self, rows: DataFrame, sources: Sequence[DataFile]) -> DataFrame:
+        """Rows dealt out by ranges of the key, for files of the size that the options ask for."""
+        by_bytes = -(-sum(f.bytes for f in sources) // self.options.target_file_bytes)
+        by_rows = -(-sum(f.rows for f in sources) // self.options.max_records_per_file)
+        return rows.repartitionByRange(max(1, by_bytes, by_rows), *self.pk)
+
+    def _publish(self, after: Manifest) -> None:
+        snapshots.commit(self._store, after)
+        self._manifest = after
 
     def expire(self, before: int) -> int:
         """Forget operations up to ``before``; how many files go.
@@ -411,6 +538,7 @@ class KeyedTable:
         Only files that lie wholly below go, so the low water mark is the
         greatest that no file crosses.  In their place stay the rows that were
         live at the mark, for the labels and pre-images of what came later.
+        Rows marked as deleted stay marked: the feed knows them, the state does not.
         """
         self._writable()
         m = self._manifest
@@ -420,23 +548,46 @@ class KeyedTable:
         gone = [f for f in m.log if f.seq_max <= mark]
         if not gone or mark <= m.low_water:
             return 0
-        state = merge.compact(self._read(gone), self.pk, None, drop_deletions=True)
-        n = max(1, -(-sum(f.rows for f in gone) // self.options.max_records_per_file))
-        files = self._write_files(state.repartitionByRange(n, *self.pk), level=0)
-        after = m.apply(add=files, remove=[f.path for f in gone], low_water=mark)
-        snapshots.commit(self._store, after)
-        self._manifest = after
+        marked = None
+        if m.deletions:
+            state, marked = self._expired_state(gone)
+        else:
+            state = merge.compact(self._read(gone), self.pk, None, drop_deletions=True)
+        files = self._write_files(self._dealt(state, gone), level=0)
+        deletions = m.deletions
+        if marked is not None and files:
+            at = self._read(files, positions=True).join(marked, "seq", "left_semi").select("file_path", "row_index")
+            deletions = (*deletions, *self._write_positions(at, "deletions"))
+        after = m.apply(add=files, remove=[f.path for f in gone], low_water=mark, deletions=deletions)
+        if mark > m.base_seq:  # the new files have pending rows in them
+            after = replace(after, superseded=(), superseded_seq=0)
+        self._publish(after)
         return len(gone)
 
+    def _expired_state(self, gone: Sequence[DataFile]) -> tuple[DataFrame, DataFrame]:
+        """The rows to keep of files that go, and the seqs of those that are marked.
+
+        The feed goes by the newest operation of a key, the state by the newest
+        that is not marked; where they differ both stay.
+        """
+        marks = self._marked(self._manifest.deletions).withColumn("_marked", F.lit(True))
+        rows = self._read(gone, positions=True).join(marks, ["file_path", "row_index"], "left").drop("file_path", "row_index")
+        puts = F.col("op") == resolve.PUT
+        live, last = resolve.newest(rows.where("_marked is null"), self.pk).where(puts), resolve.newest(rows, self.pk)
+        keys, hides = live.select(*[F.col(k).alias(f"_l_{k}") for k in self.pk]), last.where(~puts)
+        hides = hides.join(keys, resolve.same_key(hides, keys, self.pk, "_l_{}"), "left_semi")
+        kept = live.union(last.where(puts)).union(hides).dropDuplicates(["seq"])
+        return kept.drop("_marked"), kept.where("_marked").select("seq")
+
     def vacuum(self, older_than_s: float | None = None) -> list[str]:
         """Delete files that the newest snapshot does not name and that are older than the grace period."""
         self._writable()
         age = self.options.grace_s if older_than_s is None else older_than_s
-        live = {f.path for f in self._manifest.files} | set(self._manifest.deletions)
+        live = self._manifest.everything
         for pinned in self._pins:
             live |= pinned
         limit, gone = (time.time() - age) * 1000, []
-        for kind in ("log", "base", "deletions"):
+        for kind in ("log", "base", "deletions", "superseded"):
             for folder in self._store.folders(kind):
                 for name, _ in self._store.list(folder):
                     if name.endswith(".parquet") and name not in live and self._store.modified_ms(name) <= limit:
@@ -449,7 +600,7 @@ class KeyedTable:
     def pin(self) -> Iterator[Manifest]:
         """Keep the files of the snapshot that is current now from :meth:`vacuum`, however long a reader takes."""
         held = self._manifest
-        files = frozenset([*(f.path for f in held.files), *held.deletions])
+        files = frozenset(held.everything)
         self._pins[files] += 1
         try:
             yield held
@@ -466,33 +617,42 @@ class KeyedTable:
         stays what was written.
         """
         self._writable()
-        old, folder = self._marked(), f"deletions/{uuid.uuid4().hex}"
-        known = self._spark.createDataFrame([(self._store.url(f.path),) for f in self._manifest.files], "known string")
-        own = positions.select("file_path", "row_index").distinct()
-        plain = F.regexp_replace("file_path", "^file:/*", "/")
-        named = own.join(known, plain == F.regexp_replace("known", "^file:/*", "/"), "left")
-        if named.where("known is null").limit(1).count():
+        m = self._manifest
+        own = positions.select(_below_root(F.col("file_path")).alias("file_path"), "row_index").distinct()
+        known = self._spark.createDataFrame([(f.path,) for f in m.files], "known string")
+        if own.join(known, own["file_path"] == known["known"], "left_anti").limit(1).count():
             raise InvalidArgumentError("a position is in no file of the snapshot")
-        merge.union_positions(old, own).write.parquet(self._store.url(folder))
-        names = tuple(n for n, _ in self._store.list(folder) if n.endswith(".parquet"))
+        names = self._write_positions(merge.union_positions(self._marked(m.deletions), own), "deletions")
         # a base merged from now on lacks rows that the feed still has to know
-        after = self._manifest.apply(deletions=names, properties=self._manifest.properties | {"marked": "true"})
-        snapshots.commit(self._store, after)
-        self._manifest = after
-        return self._marked().count()
+        self._publish(m.apply(deletions=names, properties=m.properties | {"marked": "true"}))
+        return self._marked(names).count()
+
+    def _write_positions(self, positions: DataFrame, kind: str) -> tuple[str, ...]:
+        folder = f"{kind}/{uuid.uuid4().hex}"
+        positions.write.parquet(self._store.url(folder))
+        return tuple(n for n, _ in self._store.list(folder) if n.endswith(".parquet"))
 
-    def _marked(self) -> DataFrame:
+    def _marked(self, names: Sequence[str]) -> DataFrame:
+        """The positions in files of marks; paths are below the table's root."""
         schema = "file_path string, row_index long"
-        if not self._manifest.deletions:
+        if not names:
             return self._spark.createDataFrame([], schema)
-        return self._spark.read.schema(schema).parquet(*[self._store.url(n) for n in self._manifest.deletions])
+        found = self._spark.read.schema(schema).parquet(*[self._store.url(n) for n in names])
+        return found.withColumn("file_path", _below_root(F.col("file_path")))
+
+    def _placed_keys(self, files: Sequence[DataFile]) -> DataFrame:
+        """seq, op, the key, and the position of every row of the files; nothing else is read."""
+        struct = T.StructType([f for f in self.schema.log_struct() if f.name in ("seq", "op", *self.pk)])
+        if not files:
+            return self._spark.createDataFrame([], struct.add("file_path", "string").add("row_index", "long"))
+        return _placed(self._spark.read.schema(struct).parquet(*[self._store.url(f.path) for f in files]))
 
     def refresh(self) -> None:
         """Go on from the newest snapshot; its files must all be there."""
         found = snapshots.load(self._store)
-        for f in found.files:
-            if not self._store.exists(f.path):
-                raise NotFoundError(f.path)
+        have = {name for folder in {f.rpartition("/")[0] for f in found.everything} for name, _ in self._store.list(folder)}
+        if missing := found.everything - have:
+            raise NotFoundError(min(missing))
         self._manifest = found
 
     def add_column(self, new: ColumnSpec) -> TableSchema:
@@ -505,14 +665,11 @@ class KeyedTable:
 
     def superseded_positions(self) -> DataFrame:
         """(file_path, row_index) of every log row that is not the newest of its key."""
-        needed = ["seq", "op", *self.pk]
-        struct = T.StructType([f for f in self.schema.log_struct() if f.name in needed])
-        paths = [self._store.url(f.path) for f in self._manifest.log]
-        if not paths:
-            return self._spark.createDataFrame([], "file_path string, row_index long")
-        rows = merge.with_positions(self._spark.read.schema(struct).parquet(*paths))
-        order = W.partitionBy(*resolve.key_columns(rows, self.pk)).orderBy(F.desc("seq"))
-        return rows.withColumn("_n", F.row_number().over(order)).where("_n > 1").select("file_path", "row_index")
+        return merge.replaced(self._placed_keys(self._manifest.log), self.pk)
+
+    def marked_positions(self) -> DataFrame:
+        """(file_path, row_index) of the stored rows that :meth:`flush` has marked."""
+        return self._marked(self._manifest.superseded)
 
     def stats(self) -> dict[str, Any]:
         m = self._manifest
