@@ -14,13 +14,14 @@ from tidelog.llm.common import materialize
 
 
 def _least(pairs: DataFrame) -> DataFrame:
-    """The least neighbour ``m`` of each node ``a``, written.
+    """The least neighbour ``m`` of each node ``a``.
 
     A node may have very many neighbours.  Spark splits such a node's rows in a
-    join only if both sides come straight from an exchange, so this side is a
-    table, not the aggregate itself.
+    join only if both sides come straight from an exchange.  An aggregate by the
+    join's key would be joined where it stands, so it is made by another
+    expression of the key, and this side, a row for each node, is dealt out again.
     """
-    return materialize(pairs.groupBy("a").agg(F.min("b").alias("m")), "least")
+    return pairs.groupBy(F.bitwise_not("a").alias("k")).agg(F.min("b").alias("m")).select(F.bitwise_not("k").alias("a"), "m")
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = _least(both).select("a", F.least("a", "m").alias("m"))
     moved = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return materialize(moved.where("a <> b").distinct(), "large")
+    return moved.where("a <> b").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:

@@ -27,9 +27,8 @@ where all 128 bits of their hashes agree.
 
 Skew.  A gram that very many documents share in different surroundings would
 gather its runs in one task.  Such anchors show in a sample of the documents:
-each with more than ``max_rows`` runs by that estimate, and more than one in
-:data:`MAX_HOT` of all runs, so that they are at most :data:`MAX_HOT` and travel
-to the tasks.  A window on one of them is a run of its own whose anchor is a
+those with more than ``max_rows`` runs by that estimate, and of these the
+:data:`MAX_HOT` most frequent, travel to the tasks.  A window on one of them is a run of its own whose anchor is a
 hash of all its words.  Which anchors are so refined decides where windows are
 counted, never which are repeated: equal windows still have equal anchors.
 Rows that agree within a task are counted there, in blocks of :data:`BLOCK`:
@@ -246,10 +245,8 @@ def _run_rows(keyed: DataFrame, window: int, gram: int, hot: np.ndarray) -> Data
 def _hot_anchors(keyed: DataFrame, window: int, gram: int, max_rows: int, sample: int) -> np.ndarray:
     """Anchors that seem to have more than ``max_rows`` runs, in order; at most :data:`MAX_HOT`."""
     some = _run_rows(keyed.sample(1 / sample, seed=7) if sample > 1 else keyed, window, gram, np.empty(0, np.uint64))
-    seen = materialize(some.groupBy("anchor").agg(F.count("*").alias("n")), "anchors")
-    total = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(max_rows / sample, total / MAX_HOT)
-    found = [r[0] for r in seen.where(F.col("n") > least).select("anchor").collect()]
+    seen = some.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > max_rows / sample)
+    found = [r[0] for r in seen.orderBy(F.desc("n"), "anchor").limit(MAX_HOT).collect()]
     return np.sort(np.array(found, np.int64).view(np.uint64))
 
 
