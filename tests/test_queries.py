@@ -34,5 +34,5 @@ def test_bench_gives_no_rates_of_partial_queries():
     import bench
 
     seconds = dict.fromkeys([*bench.HEADLINE, "stored_scan"], 0.5)
-    whole = {"current_state", "feed_all", "feed_since", "compact_keep_latest", "file_stats", "stored_scan"}
+    whole = {"current_state", "feed_all", "tail_over_base", "compact_keep_latest", "file_stats", "stored_scan"}
     assert bench.rates(seconds, 100) == dict.fromkeys(whole, 200)

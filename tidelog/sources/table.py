@@ -75,6 +75,8 @@ class Options:
         return Policy(self.l0_trigger, self.l0_slowdown, self.level_bytes, self.max_merge_bytes, self.max_merge_rows)
 
 
+#: Lists of more files than this are joined by shuffle.
+MAX_BROADCAST_FILES = 100_000
 #: Merges that one call of compact() makes at most.
 MAX_MERGES = 128
 
@@ -344,7 +346,9 @@ class KeyedTable:
             if marks or positions:
                 part = _placed(part)
             if marks:
-                part = merge.without_positions(part, self._marked(marks))
+                # by one number instead of path and place, which is quick to look up
+                gone = self._with_row_id(self._marked(marks), own).select("row_id")
+                part = self._with_row_id(part, own).join(gone, "row_id", "left_anti")
             part = pad(part, current, initial=True, keep=at)
             found = part if found is None else found.unionByName(part)
         return empty if found is None else found
@@ -640,6 +644,13 @@ class KeyedTable:
         found = self._spark.read.schema(schema).parquet(*[self._store.url(n) for n in names])
         return found.withColumn("file_path", _below_root(F.col("file_path")))
 
+    def _with_row_id(self, rows: DataFrame, files: Sequence[DataFile]) -> DataFrame:
+        """The rows that are in ``files`` with their row ids: the file's first and the number of the row in it."""
+        first = self._spark.createDataFrame([(f.path, f.first_row_id) for f in files], "file_path string, first_row_id long")
+        if len(files) <= MAX_BROADCAST_FILES:
+            first = F.broadcast(first)
+        return merge.lineage(rows, first).drop("first_row_id")
+
     def _placed_keys(self, files: Sequence[DataFile]) -> DataFrame:
         """seq, op, the key, and the position of every row of the files; nothing else is read."""
         struct = T.StructType([f for f in self.schema.log_struct() if f.name in ("seq", "op", *self.pk)])
