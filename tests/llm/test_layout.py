@@ -245,13 +245,15 @@ def check_sequences(rows, docs, capacity):
     return check_packed(pieces, docs, capacity)
 
 
-def test_packing(spark, odd_docs, no_docs, real):
+def test_packing(spark, odd_docs, no_docs, real, monkeypatch):
     docs = [(r.doc_id, r.text) for r in odd_docs.collect()]
     for capacity in (4096, 64):
         check_packed(packing.pack(odd_docs, WORDS, capacity).collect(), docs, capacity)
     rows = packing.pack(real, WORDS).collect()
     n = check_packed(rows, [(r.doc_id, r.text) for r in real.collect()], 4096)
     assert n <= -(-sum(r.length for r in rows) // 4096) + 1
+    monkeypatch.setattr(packing, "MAX_BROADCAST_ROWS", 0)  # the same, joined by shuffle
+    check_packed(packing.pack(odd_docs, WORDS, 64).collect(), docs, 64)
     assert packing.pack(no_docs, WORDS).count() == 0
 
 

@@ -9,8 +9,10 @@ lengths last and then removed.  Each repetition uses up a length or nearly so;
 the plan's size depends on the capacity, not on the corpus.
 
 Every piece then finds its place from its length and its rank among pieces of
-that length: one search in the plan, no join.  Ranks are counted per bucket of
-files and added up, so one very frequent length is spread over many tasks.
+that length, by one search in the plan.  The task that cuts pieces counts them
+by length as it writes them; a piece's rank is its number there plus the pieces
+of tasks before, so nothing is ranked afterwards, and a very frequent length is
+in no task more than any other.
 
 Token ids are exactly those of the tokenizer over the whole text.  Its
 pre-tokens never cross white space, so ids are remembered by pre-token; a text
@@ -28,23 +30,25 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import CHUNK_ROWS, map_arrow, materialize
+from tidelog.llm.common import CHUNK_ROWS, map_arrow, materialize, small_batches
 
 CAPACITY = 4096
 END = 1
 MEMORY = 400_000
-#: Files are ranked together in so many buckets at least.
-BUCKETS = 256
+#: A table of so many rows, three numbers each, travels to the tasks; a larger one is joined by shuffle.
+MAX_BROADCAST_ROWS = 500_000
 
 # White space, letters and digits up to U+017F as the tokenizer's pattern classes them.
 _SAFE = "\t\n\r\x20-\x7e\xa1-įı-ſ"
@@ -103,28 +107,36 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32 and, if kept, ids (little-endian, 32 bits each)."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32 and, if kept, ids (little-endian, 32 bits each).
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        encode, end, width = encoder(path), array("I", [END]).tobytes(), 4 * capacity
-        for at in range(0, batch.num_rows, CHUNK_ROWS):
-            part, rows, owner = batch.slice(at, CHUNK_ROWS), [], []
-            for i, text in enumerate(part.column("text").to_pylist()):
-                ids = encode(text or "") + end
-                for k, first in enumerate(range(0, len(ids), width)):
-                    own = ids[first : first + width]
-                    owner.append(i)
-                    rows.append((k, first // 4, len(own) // 4, crc32(own), own))
-            piece, start, length, crc, ids = zip(*rows, strict=True)
-            columns = [pa.array(x, pa.int64()) for x in (start, length, crc)]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            found = [part.column("doc_id").take(pa.array(owner)), pa.array(piece, pa.int32()), *columns]
-            if keep_ids:
-                found, names = [*found, pa.array(ids, pa.binary())], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(found, names=names)
-
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
+    ``task`` and ``nth`` number the pieces of each length in the task that cuts them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end, width, seen = array("I", [END]).tobytes(), 4 * capacity, Counter()
+        task = TaskContext.get().partitionId()
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK_ROWS):
+                encode, part, rows, owner = encoder(path), batch.slice(at, CHUNK_ROWS), [], []
+                for i, text in enumerate(part.column("text").to_pylist()):
+                    ids = encode(text or "") + end
+                    for k, first in enumerate(range(0, len(ids), width)):
+                        own = ids[first : first + width]
+                        length = len(own) // 4
+                        owner.append(i)
+                        rows.append((k, first // 4, length, crc32(own), own, seen[length]))
+                        seen[length] += 1
+                piece, start, length, crc, ids, nth = zip(*rows, strict=True)
+                columns = [pa.array(x, pa.int64()) for x in (start, length, crc)]
+                found = [part.column("doc_id").take(pa.array(owner)), pa.array(piece, pa.int32()), *columns]
+                found += [pa.array(ids, pa.binary())] * keep_ids
+                found += [pa.array([task] * len(rows), pa.int32()), pa.array(nth, pa.int64())]
+                yield pa.RecordBatch.from_arrays(found, names=names)
+
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, "task", "nth"]
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids + ", task int, nth long"
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -199,21 +211,20 @@ class Places:
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """The pieces, each with its sequence_id and its offset there."""
-    spark = docs.sparkSession
     cut = materialize(pieces(docs, path, capacity, keep_ids), "pieces")
-    # at most `capacity` rows
-    histogram = {r[0]: r[1] for r in cut.groupBy("length").agg(F.count("*")).collect()}
-    places = Places(plan(histogram, capacity))
-    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = cut.select(
-        "*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at")
-    ).withColumn("bucket", F.pmod(F.xxhash64("at.file", F.floor(F.col("at.row") / 10_000)), F.lit(buckets)))
-    counts = placed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = counts.select(
-        "length", "bucket", (F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before")
+    counts = cut.groupBy("length", "task").agg(F.count("*").alias("n"))
+    before = materialize(
+        counts.select(
+            "length", "task", "n", (F.sum("n").over(W.partitionBy("length").orderBy("task")) - F.col("n")).alias("before")
+        ),
+        "ranks",
     )
-    ranked = placed.withColumn("rank", F.row_number().over(W.partitionBy("length", "bucket").orderBy("at")) - 1)
-    ranked = ranked.join(before, ["length", "bucket"]).select(*cut.columns, (F.col("rank") + F.col("before")).alias("rank"))
+    # at most `capacity` rows
+    histogram = {r[0]: r[1] for r in before.groupBy("length").agg(F.sum("n")).collect()}
+    places, names = Places(plan(histogram, capacity)), [c for c in cut.columns if c not in ("task", "nth")]
+    # few tasks: the pieces are spared a shuffle
+    small = before.count() <= MAX_BROADCAST_ROWS
+    ranked = cut.join(before.hint("broadcast" if small else "merge"), ["length", "task"]).select(*names, (F.col("nth") + F.col("before")).alias("rank"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
@@ -221,8 +232,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool =
         kept = [batch.column(c) for c in names]
         yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    names = cut.columns
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name in names)
     return map_arrow(ranked, run, f"{schema}, sequence_id long, offset long")
 
 
