@@ -34,6 +34,8 @@ counted, never which are repeated: equal windows still have equal anchors.
 Rows that agree within a task are counted there, in blocks of :data:`BLOCK`:
 the first carries the count, the others are proven and spread over all tasks, so
 a passage that a third of the documents share brings a row for each block.
+Null, empty and short texts, of which very many may be the same, are never dealt
+out; longer rows of one doc_id and one text meet where the text is cut.
 
 Defined results: null and empty texts have no words; texts of fewer than 35
 words lose nothing; texts of any length are cut whole; rows that repeat are
@@ -140,6 +142,15 @@ def _key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
+def _may_repeat(window: int) -> Column:
+    """Whether a text is long enough for a window: so many words and the space between them."""
+    return F.coalesce(F.length(F.col("text").cast("string")) >= 2 * window - 1, F.lit(False))
+
+
+def _no_spans() -> Column:
+    return F.lit(None).cast("array<struct<start:int,n:int>>").alias("spans")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), F.col("text").cast("string"))
 
@@ -339,10 +350,13 @@ def digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **skew) -> D
             names=["doc_id", "n_words", "n_removed", "kept_sha256"],
         )
 
-    keyed = _keyed(docs)
+    # texts without a window, many of which may be the same, are never dealt out
+    keyed = _keyed(docs.where(_may_repeat(window)))
+    short = _keyed(docs.where(~_may_repeat(window)))
     spans = repeated_spans(keyed, window, gram, **skew)
     # the texts are dealt out once: this join and the one for the windows read the same exchange
     rows = keyed.join(spans, _same(keyed, spans), "left").select(keyed["doc_id"], "text", "spans")
+    rows = rows.union(short.select("doc_id", "text", _no_spans()))
     return map_arrow(rows, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -372,12 +386,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         yield pa.RecordBatch.from_arrays([batch.column("row"), column], names=["row", "cut"])
 
     others = [c for c in docs.columns if c != "text"]
-    keyed = docs.select(
+    every = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), F.col("text").cast("string").alias("text"),
         F.struct(*others).alias("row"),
     )
+    keyed, short = every.where(_may_repeat(window)), every.where(~_may_repeat(window))
     spans = repeated_spans(keyed, window, gram)
     judged = keyed.join(spans, _same(keyed, spans), "left").select("row", "text", "spans")
+    judged = judged.union(short.select("row", "text", _no_spans()))
     schema = T.StructType([judged.schema["row"], T.StructField("cut", T.StringType())])
     done = map_arrow(judged, run, schema)
     columns = []
