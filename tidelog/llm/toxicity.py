@@ -135,10 +135,15 @@ def fit(
     w, seen = np.maximum(odds - 2 * np.sqrt(1 / bad + 1 / good), 0), np.full(len(kinds), 1e-12)
     b, seen_b = bias, 1e-12
     doc_of = np.repeat(np.arange(len(bags)), counts)
-    for _ in range(steps):
-        z = b + np.bincount(sentence, w[code], n_sentences)
+    # sums over the entries of each sentence that has any, and over those of each feature
+    first_of = np.flatnonzero(np.diff(sentence, prepend=-1))
+    some, by_kind = sentence[first_of], sentence[np.argsort(code, kind="stable")]
+    kind_at = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(kinds)))[:-1]])
+    for _ in range(steps if len(code) else 0):
+        z = np.full(n_sentences, b)
+        z[some] += np.add.reduceat(w[code], first_of)
         r = sentence_slopes(z, y, doc_at, doc_of)
-        g, gb = np.bincount(code, r[sentence], len(kinds)), r.sum()
+        g, gb = np.add.reduceat(r[by_kind], kind_at), r.sum()
         seen, seen_b = seen + g * g, seen_b + gb * gb
         step = rate / np.sqrt(seen)
         w = w - step * g
