@@ -1,4 +1,14 @@
-"""The corpus pipeline: documents in, training sequences of token ids out, one written table between stages."""
+"""The corpus pipeline: documents in, training sequences of token ids out, one written table between stages.
+
+Defined results: a null or empty text fails the base rules and goes; of a group
+of copies the row with the least doc_id stays, and of rows that repeat it one,
+the first by fingerprint and text; a null doc_id stays only where its group has
+no other; a document that loses all its words to substring dedup stays as an
+empty text and is packed as the end token alone; a benchmark that is empty, or
+has only empty items, takes nothing away; without labels the base rules judge
+alone; an empty table gives no sequence; further columns, whatever their names,
+are kept up to the last stage.
+"""
 
 from __future__ import annotations
 
