@@ -151,8 +151,13 @@ def _no_spans() -> Column:
     return F.lit(None).cast("array<struct<start:int,n:int>>").alias("spans")
 
 
+def _plain(docs: DataFrame, name: str, type: T.DataType) -> Column:
+    """A column as that type.  One that is of it already is not named anew, so that plans that read it stay the same."""
+    return F.col(name) if docs.schema[name].dataType == type else F.col(name).cast(type).alias(name)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), F.col("text").cast("string"))
+    return docs.select(_plain(docs, "doc_id", T.LongType()), _key().alias("key"), _plain(docs, "text", T.StringType()))
 
 
 def _same(a: DataFrame, b: DataFrame) -> Column:
