@@ -3,6 +3,8 @@ import json
 import os
 import random
 import struct
+import threading
+import time
 
 import pyarrow.parquet as pq
 import pytest
@@ -17,6 +19,7 @@ from tidelog.errors import (
     ReadOnlyError,
     SchemaMismatchError,
 )
+from tidelog.functions.keys import encode
 from tidelog.operators.resolve import dedup_sql
 from tidelog.schema import TableSchema, column
 from tidelog.sources import avro, export, manifest
@@ -586,3 +589,103 @@ def test_a_shared_folder_is_named_on_a_cluster():
                 shared_dir(SimpleNamespace(sparkContext=sc))
         else:
             assert shared_dir(SimpleNamespace(sparkContext=sc)) == made[-1]
+
+
+def test_ranges_open_only_their_files(spark, tmp_path):
+    t = KeyedTable.open(spark, f"{tmp_path}/t", SCHEMA, Options(compact_after=0, max_records_per_file=100))
+    t.write(spark.range(1000).selectExpr("id", "id AS v", "id AS at"), order_by=["at"])
+    t.compact()
+    assert len(t.snapshot().base) >= 10
+    opened = lambda df: {f.rpartition("/")[2] for f in df.inputFiles()}
+    near = {f.path.rpartition("/")[2] for f in t.snapshot().base if f.key_min <= encode(SCHEMA, (420,)).hex().upper() <= f.key_max}
+    assert len(near) == 1 and opened(t.scan(420, 421)) == near and len(opened(t.scan(350, 460))) <= 3
+    assert len(opened(t.scan())) == len(t.snapshot().base) and not opened(t.scan(5000, None))
+    t.put({"id": 421, "v": 0})
+    assert len(opened(t.scan(420, 422))) == 2 and len(opened(t.scan(100, 101))) == 1 and tuple(t.get(421)) == (421, 0)
+    assert len(opened(t.changes(1000))) < len(t.snapshot().files) and len(opened(t.operations(1000))) == 1
+
+
+def test_small_writes_are_committed_together(table):
+    with table.batch(max_rows=3) as b:
+        for i in range(7):
+            b.put({"id": i, "v": i})
+        b.delete(0)
+        assert table.read_seq() == 6
+        with pytest.raises(SchemaMismatchError):
+            b.put({"id": None})
+        with pytest.raises(InvalidArgumentError):
+            b.delete(1, 2)
+    assert table.read_seq() == 8 and table.metrics["batches"] == 3 and [r[0] for r in rows(table.scan())] == [1, 2, 3, 4, 5, 6]
+    with pytest.raises(ZeroDivisionError), table.batch() as b:
+        b.put({"id": 50})
+        1 / 0  # noqa: B018
+    assert table.read_seq() == 8
+    table.close()
+    with pytest.raises(ClosedError):
+        table.batch()
+
+
+def test_histograms(table):
+    seen = []
+    table.install_metrics_recorder(lambda name, value: seen.append(name))
+    table.put_batch([{"id": i} for i in range(5)])
+    table.put({"id": 1})
+    table.flush()
+    table.compact()
+    h = table.metrics.histograms
+    assert {k: x.count for k, x in h.items()} == {"write_ms": 2, "batch_rows": 2, "flush_ms": 1, "merge_ms": 1, "merge_bytes": 1}
+    assert (h["batch_rows"].total, h["batch_rows"].least, h["batch_rows"].most) == (6, 1, 5) and "write_ms" in seen
+    assert h["batch_rows"].quantile(0.5) == 2 and h["batch_rows"].quantile(1) == 5
+
+
+def test_a_slow_swap_is_given_up(spark, table, tmp_path):
+    table.put({"id": 1, "v": 1})
+    r = Replica(spark, f"{tmp_path}/t")
+    table.put_batch([{"id": 2, "v": 2}, {"id": 2, "v": 3}])
+    began, released = time.time(), threading.Event()
+    with pytest.raises(Exception, match="took"):
+        r.rebase_hotswap(timeout_s=1, warm=lambda base: released.wait(20))
+    assert time.time() - began < 15 and r.visible_seq == 1 and r.stats()["rebase_count"] == 0
+    released.set()
+    r.advance()
+    assert r.stats()["tail_length"] == 1  # two operations on one key
+    r.rebase_hotswap(warm=lambda base: base.scan().count())
+    assert r.visible_seq == 3 and r.stats()["tail_length"] == 0 and r.stats()["rebase_count"] == 1
+
+
+def test_a_file_is_scanned_by_itself(spark, table):
+    table.apply_batch([("put", {"id": 1, "v": 1}), ("put", {"id": 1, "v": 2}), ("put", {"id": 2, "v": 2}), ("delete", (3,)), ("put", {"id": 9, "v": 9})])
+    (first,) = [f.path for f in table.snapshot().log]
+    table.put({"id": 1, "v": 7})
+    table.mark_deleted(table._placed_keys(table.snapshot().log).where("id = 2"))
+    got = sorted(tuple(r) for r in table.scan_file(first, (1,), (5,)).collect())
+    assert got == [(2, 1, 1, 2), (4, 0, 3, None)] and table.scan_file(first).count() == 3
+    with pytest.raises(NotFoundError):
+        table.scan_file("log/none/part")
+
+
+def test_rows_written_by_the_driver_are_as_by_spark(spark, tmp_path, monkeypatch):
+    """The same files in content and statistics, whatever the types."""
+    from tidelog.sources import table as module
+
+    schema = TableSchema(
+        "w", (column("k", "double", nullable=False), column("b", "bytes", nullable=False), column("i", "i32"), column("n", "long"), column("f", "float"), column("o", "bool"), column("t", "str"), column("x", "fixed[2]")), ("k", "b")
+    )
+    ops = [
+        ("put", {"k": 0.0, "b": b"\0", "i": -5, "n": 2**62, "f": 0.5, "o": True, "t": "é", "x": b"ab"}), ("put", {"k": -0.0, "b": b"", "t": ""}),
+        ("put", {"k": 1.5, "b": b"a\0b", "f": float("nan"), "o": False}), ("put", {"k": 0.0, "b": b"\0", "f": -2.0}), ("delete", (1.5, b"a\0b")), ("delete", (9.0, b"z")),
+    ]
+    found = []
+    for size in (100, 0):
+        monkeypatch.setattr(module, "SMALL_BATCH", size)
+        t = KeyedTable.open(spark, f"{tmp_path}/t{size}", schema, QUIET)
+        t.apply_batch(ops)
+        files = t.snapshot().files
+        total = [sum(f.rows for f in files), sum(f.live_rows for f in files), min(f.seq_min for f in files), max(f.seq_max for f in files), min(f.key_min for f in files), max(f.key_max for f in files)]
+        nulls = {c.name: sum(f.column_stats[c.name]["nulls"] for f in files) for c in schema.columns}
+        found.append((total, nulls, sorted(map(repr, t.operations().collect())), list(map(repr, t.scan().collect())), sorted(map(repr, t.changes().collect()))))
+        if size:
+            assert len(files) == 1 and t.metrics.histograms["write_ms"].count == 1
+            stats = files[0].column_stats
+            assert (stats["i"]["min"], stats["b"]["max"], stats["o"]["max"], stats["f"]["max"], stats["t"]["min"]) == ("-5", "7A", "true", "NaN", "")
+    assert found[0] == found[1]

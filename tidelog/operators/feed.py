@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from tidelog.errors import BelowRetentionError
 from tidelog.operators.resolve import DELETE, PUT, key_columns, newest
 
+#: Operations of one key that a task works on at most.
+SPLIT_EVERY = 5_000_000
+
 INSERT_LABEL, UPDATE_LABEL, DELETE_LABEL = "INSERT", "UPDATE", "DELETE"
 
 
@@ -71,12 +74,14 @@ def change_feed(
     discriminate: bool = True,
     low_water: int = 0,
     key_bytes: Column | None = None,
-    split_every: int | None = None,
+    split_every: int | None = SPLIT_EVERY,
 ) -> DataFrame:
     """``seq``, ``op`` (a label), ``pk_bytes`` if an expression for it is given, and the row's columns.
 
     Without ``discriminate`` every put is an INSERT and nothing is looked up for
-    it; deletions still carry the row they removed.  Rows are not ordered.
+    it; deletions still carry the row they removed.  Rows are not ordered.  A key
+    brings at most ``split_every`` operations to a task; a range that is known to
+    be no longer needs no splitting.
     """
     if since < low_water:
         raise BelowRetentionError(since, low_water)
@@ -84,6 +89,8 @@ def change_feed(
     keys = [] if key_bytes is None else [key_bytes.alias("pk_bytes")]
     delta = ops.where(in_window(since, until))
     seen = delta if since <= 0 else delta.unionByName(_prior(ops, pk, delta, since))
+    if until is not None and split_every and until - since <= split_every:
+        split_every = None
     ranked = with_previous(seen, pk, split_every)
     live = F.coalesce(F.col("_before.op") == PUT, F.lit(False))
     put = F.when(live, UPDATE_LABEL).otherwise(INSERT_LABEL) if discriminate else F.lit(INSERT_LABEL)

@@ -53,6 +53,20 @@ def keys_in_range(rows: DataFrame, pk: Sequence[str], low: Sequence[Any], high:
     return rows.where(inside).select(*pk, "file_path", "row_index")
 
 
+def file_scan(
+    rows: DataFrame, pk: Sequence[str], low: Sequence[Any] | None = None, high: Sequence[Any] | None = None,
+    marked: DataFrame | None = None,
+) -> DataFrame:
+    """What each stored file has to say about the keys ``low <= pk < high``: the newest operation of each key in it.
+
+    Deletions are kept, since they may hide rows of other files; marked rows are left out.
+    """
+    found = rows.where(in_range(pk, low, high))
+    if marked is not None:
+        found = without_positions(found, marked)
+    return newest(found, ["file_path", *pk])
+
+
 def superseded(
     rows: DataFrame, pk: Sequence[str], keys: DataFrame, marked: DataFrame | None = None
 ) -> DataFrame:

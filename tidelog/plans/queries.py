@@ -163,12 +163,12 @@ def versions_in_order(spark, sf_dir):
 
 @query(f"WITH {LOG}, {FEED} SELECT seq, op, pk, event_type, value FROM feed")
 def feed_all(spark, sf_dir):
-    return feed.change_feed(log(spark, sf_dir), PK)
+    return feed.change_feed(log(spark, sf_dir), PK, until=upto(spark, sf_dir, 100))
 
 
 @query(f"WITH {LOG}, {FEED} SELECT seq, op, pk, event_type, value FROM feed WHERE seq > {at(90)}")
 def feed_since(spark, sf_dir):
-    return feed.change_feed(log(spark, sf_dir), PK, since=upto(spark, sf_dir, 90))
+    return feed.change_feed(log(spark, sf_dir), PK, since=upto(spark, sf_dir, 90), until=upto(spark, sf_dir, 100))
 
 
 @query(f"WITH {LOG}, {FEED} SELECT seq, op, pk, event_type, value FROM feed WHERE seq > {at(50)} AND seq <= {at(90)}")
@@ -411,6 +411,15 @@ def dv_replaced(spark, sf_dir):
     return merge.replaced(_rows(spark, sf_dir), PK)
 
 
+@query(
+    f"""WITH {_FILES}, n AS (SELECT *, row_number() OVER (PARTITION BY file_path, pk ORDER BY seq DESC) AS n FROM rows_
+    WHERE pk >= 3 AND pk < 90 AND seq % 7 <> 0) SELECT file_path, row_index, seq, op, pk, event_type, value FROM n WHERE n = 1"""
+)
+def file_scan(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    return merge.file_scan(rows, PK, (3,), (90,), rows.where("seq % 7 = 0"))
+
+
 @query(f"WITH {_FILES} SELECT pk, file_path, row_index FROM rows_ WHERE pk BETWEEN 3 AND 8")
 def key_positions(spark, sf_dir):
     rows = _rows(spark, sf_dir)

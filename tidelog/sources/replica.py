@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +76,10 @@ class Replica:
         ops = self._log.since(held.base_seq).where(F.col("seq") <= held.visible)
         return resolve.newest(ops, held.base.pk)
 
+    def tail_length(self) -> int:
+        """How many keys the tail holds."""
+        return 0 if self._held.visible == self._held.base_seq else self.tail().count()
+
     def view(self) -> DataFrame:
         """All live rows: the tail over the base."""
         held = self._held
@@ -102,17 +108,28 @@ class Replica:
         self.advance()
 
     def rebase_hotswap(self, timeout_s: float = 60.0, warm: Callable[[KeyedTable], Any] | None = None) -> None:
-        """Build base and tail aside while reads go on, then swap; an error, and no swap, if it takes too long."""
+        """Build base and tail aside while reads go on, then swap; an error, and no swap, once it takes too long.
+
+        What is built too late is dropped when it is done.
+        """
         began = time.time()
-        fresh = self._fresh()
-        if warm is not None:
-            warm(fresh.base)
-        self._log.refresh()
-        fresh.visible = max(fresh.visible, self._log.latest_seq())
-        took = time.time() - began
-        if took > timeout_s:
-            raise TableError(f"the new base took {took:.1f} s, over {timeout_s:g} s")
-        self._held, self._warmup_ms = fresh, took * 1000
+
+        def build() -> _Held:
+            fresh = self._fresh()
+            if warm is not None:
+                warm(fresh.base)
+            self._log.refresh()
+            fresh.visible = max(fresh.visible, self._log.latest_seq())
+            return fresh
+
+        pool = ThreadPoolExecutor(1)
+        try:
+            fresh = pool.submit(inheritable_thread_target(self._spark)(build)).result(timeout_s)
+        except TimeoutError as e:
+            raise TableError(f"the new base took over {timeout_s:g} s") from e
+        finally:
+            pool.shutdown(wait=False)
+        self._held, self._warmup_ms = fresh, (time.time() - began) * 1000
         self._rebases += 1
 
     def advance_or_recover(self, timeout_s: float = 60.0) -> str:
@@ -127,6 +144,6 @@ class Replica:
     def stats(self) -> dict[str, Any]:
         return {
             "visible_seq": self._held.visible, "base_seq": self._held.base_seq,
-            "tail_length": self._held.visible - self._held.base_seq, "operations_applied": self._applied,
+            "tail_length": self.tail_length(), "operations_applied": self._applied,
             "rebase_count": self._rebases, "last_warmup_ms": self._warmup_ms,
         }

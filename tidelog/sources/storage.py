@@ -61,6 +61,14 @@ class Storage:
         finally:
             out.close()
 
+    def put_whole(self, name: str, data: bytes) -> None:
+        """As :meth:`put`, but no reader that lists the folder sees a part of the file."""
+        folder, _, last = name.rpartition("/")
+        aside = f"{folder}/.{last}.part"
+        self.put(aside, data)
+        if not self._fs.rename(self._path(aside), self._path(name)):
+            raise AlreadyExistsError(f"{name} is there already")
+
     def get(self, name: str) -> bytes:
         if not self.exists(name):
             raise NotFoundError(name)

@@ -17,6 +17,8 @@ DataFrame has no order, so a batch given as one names the columns that order it.
 
 from __future__ import annotations
 
+import io
+import math
 import re
 import time
 import uuid
@@ -26,6 +28,8 @@ from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from typing import Any
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +50,7 @@ from tidelog.operators.stats import level_stats
 from tidelog.schema import ColumnSpec, TableSchema, check_row, check_value, pad, same_type, violation
 from tidelog.sources import manifest as snapshots
 from tidelog.sources.manifest import DataFile, Manifest
+from tidelog.sources.metrics import Metrics
 from tidelog.sources.storage import Storage
 
 
@@ -75,12 +80,77 @@ class Options:
         return Policy(self.l0_trigger, self.l0_slowdown, self.level_bytes, self.max_merge_bytes, self.max_merge_rows)
 
 
-#: Lists of more files than this are joined by shuffle.
-MAX_BROADCAST_FILES = 100_000
+#: A batch of so many rows that the driver has is written by the driver.
+SMALL_BATCH = 20_000
+#: Lists of more files than this, and more marks, a number each, are joined by shuffle.
+MAX_BROADCAST_FILES, MAX_BROADCAST_MARKS = 100_000, 2_000_000
 #: Merges that one call of compact() makes at most.
 MAX_MERGES = 128
 
 
+class WriteBatch:
+    """Operations that are committed together, when there are ``max_rows`` of them and at the end of the ``with`` block.
+
+    What has not been committed is checked but has no number and is not seen by
+    readers.  An error in the block drops it.
+    """
+
+    def __init__(self, table: KeyedTable, max_rows: int):
+        self._table, self._max, self._held = table, max_rows, []
+
+    def put(self, row: dict[str, Any]) -> None:
+        check_row(self._table.schema, row)
+        self._add(("put", row))
+
+    def delete(self, *key: Any) -> None:
+        encode(self._table.schema, key)
+        self._add(("delete", key))
+
+    def _add(self, operation: tuple[str, Any]) -> None:
+        self._held.append(operation)
+        if len(self._held) >= self._max:
+            self.commit()
+
+    def commit(self) -> int:
+        """Commit what is held; the newest visible operation."""
+        held, self._held = self._held, []
+        self._table.apply_batch(held)
+        return self._table.read_seq()
+
+    def __enter__(self) -> WriteBatch:
+        return self
+
+    def __exit__(self, kind: type | None, *_: Any) -> None:
+        if kind is None:
+            self.commit()
+
+
+_ARROW = {
+    "boolean": pa.bool_(), "integer": pa.int32(), "long": pa.int64(), "float": pa.float32(), "double": pa.float64(),
+    "binary": pa.binary(), "string": pa.string(),
+}
+
+
+def _value_stats(c: ColumnSpec, values: list[Any]) -> dict[str, Any]:
+    """A column's statistics from its values, as a pass over the written file gives them."""
+    known = [v for v in values if v is not None]
+    whole = [v for v in known if v == v]  # NaN is greater than all
+    low, high = (min(whole), max(whole)) if whole else (None, None)
+    if len(whole) < len(known):
+        low, high = (math.nan if low is None else low), math.nan
+
+    def text(v: Any) -> str | None:
+        if v is None or isinstance(v, str):
+            return v
+        if isinstance(v, bool):
+            return str(v).lower()
+        if isinstance(v, float):
+            return "NaN" if math.isnan(v) else repr(v)
+        return bytes(v).hex().upper() if isinstance(v, bytes) else str(v)
+
+    return {"values": len(known), "nulls": len(values) - len(known), "min": text(low), "max": text(high)}
+
+
 def _below_root(path: Column) -> Column:
     """A stored file's path below its table's root, from any spelling of its whole path: ``kind/folder/file``."""
     return F.substring_index(path, "/", -3)
@@ -99,8 +169,7 @@ class KeyedTable:
         self._spark, self._store, self._manifest = spark, store, manifest
         self._read_only, self._closed, self.options = read_only, False, options
         self._pins: Counter[frozenset[str]] = Counter()
-        self.metrics: Counter[str] = Counter()
-        self._recorder: Callable[[str, int], None] | None = None
+        self.metrics = Metrics()
 
     # opening and closing
 
@@ -143,13 +212,11 @@ class KeyedTable:
             raise ClosedError("the table is closed")
 
     def install_metrics_recorder(self, recorder: Callable[[str, int], None]) -> None:
-        """Call ``recorder(name, by)`` whenever a counter of :attr:`metrics` goes up."""
-        self._recorder = recorder
+        """Call ``recorder(name, value)`` whenever a counter of :attr:`metrics` goes up or a histogram gets a value."""
+        self.metrics.recorder = recorder
 
     def _count(self, name: str, by: int = 1) -> None:
-        self.metrics[name] += by
-        if self._recorder is not None:
-            self._recorder(name, by)
+        self.metrics.count(name, by)
 
     # what it is
 
@@ -208,9 +275,13 @@ class KeyedTable:
         for left in range(self.options.retries, -1, -1):
             first = self._manifest.next_seq
             numbered = [(first + i, *r) for i, r in enumerate(rows)]
-            frame = self._spark.createDataFrame(numbered, self.schema.log_struct()).coalesce(1)
             try:
-                return self._append(frame, first, len(rows))
+                with self.metrics.timed("write_ms"):
+                    if len(numbered) <= SMALL_BATCH:
+                        files = [self._write_rows(numbered)]
+                    else:
+                        files = self._write_files(self._spark.createDataFrame(numbered, self.schema.log_struct()), level=0)
+                    return self._append(files, first, len(rows))
             except AlreadyExistsError:
                 if not left:
                     raise
@@ -272,24 +343,45 @@ class KeyedTable:
                 F.col("_op").alias("op"),
                 *[F.col(c.name).cast(c.spark_type).alias(c.name) for c in self.schema.columns],
             )
-            return self._append(frame, first, total)
+            with self.metrics.timed("write_ms"):
+                return self._append(self._write_files(frame, level=0), first, total)
         finally:
             self._store.delete(staging)
 
-    def _append(self, frame: DataFrame, first: int, n: int) -> int:
-        files = self._write_files(frame, level=0)
-        after = self._manifest.apply(add=files, next_seq=first + n)
-        snapshots.commit(self._store, after)
-        self._manifest = after
+    def batch(self, max_rows: int = 10_000) -> WriteBatch:
+        """Many small writes as few commits: ``with table.batch() as b: b.put(row); b.delete(key)``."""
+        self._writable()
+        return WriteBatch(self, max_rows)
+
+    def _append(self, files: list[DataFile], first: int, n: int) -> int:
+        self._publish(self._manifest.apply(add=files, next_seq=first + n))
+        self.metrics.observe("batch_rows", n)
         self._count("batches")
         self._count("bytes_written", sum(f.bytes for f in files))
-        pending = len({f.path.rpartition("/")[0] for f in after.log if f.seq_max > after.base_seq})
+        pending = len({f.path.rpartition("/")[0] for f in self._manifest.pending})
         if self.options.compact_after and pending >= self.options.compact_after:
             self.compact()
         if self.options.mark_superseded:
             self.flush()
         return first
 
+    def _write_rows(self, rows: list[tuple]) -> DataFile:
+        """A log file of a few rows that the driver has; no Spark job is worth its cost for them."""
+        names = self.schema.log_struct().names
+        at = [names.index(k) for k in self.pk]
+        keyed = sorted(((encode(self.schema, tuple(r[i] for i in at)), -r[0], r) for r in rows), key=lambda x: x[:2])
+        arrays = [pa.array(c, _ARROW[f.dataType.typeName()]) for c, f in zip(zip(*[r for *_, r in keyed], strict=True), self.schema.log_struct(), strict=True)]
+        data = io.BytesIO()
+        pq.write_table(pa.table(arrays, names=names), data, compression="snappy")
+        path = f"log/{uuid.uuid4().hex}/part-00000-{uuid.uuid4().hex}.parquet"
+        self._store.put_whole(path, data.getvalue())
+        stats = {c.name: _value_stats(c, [r[i] for r in rows]) for i, c in enumerate(self.schema.columns, 2)}
+        low, high = keyed[0][0], keyed[-1][0]
+        return DataFile(
+            path, 0, len(rows), len(data.getvalue()), rows[0][0], rows[-1][0], low.hex().upper(), high.hex().upper(),
+            self.schema.schema_id, sum(r[1] for r in rows), None, stats,
+        )
+
     def _write_files(self, frame: DataFrame, level: int) -> list[DataFile]:
         """Write a folder of Parquet files and gather their statistics in one pass over them."""
         folder = f"{'log' if level == 0 else 'base'}/{uuid.uuid4().hex}"
@@ -347,7 +439,10 @@ class KeyedTable:
                 part = _placed(part)
             if marks:
                 # by one number instead of path and place, which is quick to look up
+                m = self._manifest
+                n = m.superseded_rows if tuple(marks) == m.superseded else m.deleted_rows
                 gone = self._with_row_id(self._marked(marks), own).select("row_id")
+                gone = F.broadcast(gone) if 0 <= n <= MAX_BROADCAST_MARKS else gone
                 part = self._with_row_id(part, own).join(gone, "row_id", "left_anti")
             part = pad(part, current, initial=True, keep=at)
             found = part if found is None else found.unionByName(part)
@@ -413,6 +508,14 @@ class KeyedTable:
         found = self.state(as_of, bounds, resolve.in_range(self.pk, start, end)).select(*self.schema.names)
         return found.orderBy(*resolve.key_order(found, self.pk)) if ordered else found
 
+    def scan_file(self, path: str, start: Sequence[Any] | None = None, end: Sequence[Any] | None = None) -> DataFrame:
+        """One stored file's newest operation of each key with ``start <= key < end``, deletions too, without marked rows."""
+        own = [f for f in self._manifest.files if f.path == path]
+        if not own:
+            raise NotFoundError(path)
+        rows = self._read(own, self._manifest.deletions, positions=True)
+        return merge.file_scan(rows, self.pk, start, end).drop("file_path", "row_index")
+
     def get(self, *key: Any, as_of: int | None = None) -> Row | None:
         """The live row of a key, or None."""
         self._count("gets")
@@ -435,11 +538,10 @@ class KeyedTable:
         else:
             # expire() leaves the state at the low water mark in the log
             history = self._read([f for f in m.log if f.seq_min <= until]).where(F.col("seq") <= until)
-        if split_every is None and until - since > self.options.max_records_per_file:
-            split_every = self.options.max_records_per_file  # no key brings more to a task
         return feed.change_feed(
-            history, self.pk, since, until, discriminate, key_bytes=pk_bytes(self.schema), split_every=split_every
-        )
+            history, self.pk, since, until, discriminate, key_bytes=pk_bytes(self.schema),
+            split_every=split_every or self.options.max_records_per_file,
+        )
 
     def cursor(self, since: int = 0, discriminate: bool = True) -> feed.Cursor:
         return feed.Cursor(lambda s: self.changes(s, discriminate=discriminate), since)
@@ -458,9 +560,13 @@ class KeyedTable:
         are found in the files whose keys they overlap.
         """
         self._writable()
-        m, upto = self._manifest, self.read_seq()
-        if m.superseded_seq >= upto:
+        if self._manifest.superseded_seq >= self.read_seq():
             return 0
+        with self.metrics.timed("flush_ms"):
+            return self._mark_replaced()
+
+    def _mark_replaced(self) -> int:
+        m, upto = self._manifest, self.read_seq()
         new = [f for f in m.log if f.seq_max > m.superseded_seq]
         if m.superseded_seq and new:
             low, high = (bytes.fromhex(x) for x in (min(f.key_min for f in new), max(f.key_max for f in new)))
@@ -476,7 +582,8 @@ class KeyedTable:
             found = merge.without_positions(found, self._marked(old))
         names = self._write_positions(found, "superseded")
         n = self._marked(names).count() if names else 0
-        self._publish(m.apply(superseded=(*old, *names) if n else old, superseded_seq=upto))
+        before = m.superseded_rows if old else 0
+        self._publish(m.apply(superseded=(*old, *names) if n else old, superseded_seq=upto, superseded_rows=before + n))
         self._count("rows_marked", n)
         return n
 
@@ -507,6 +614,10 @@ class KeyedTable:
         Log files stay for the feed.  A deletion stays while a deeper level may
         hold its key.
         """
+        with self.metrics.timed("merge_ms"):
+            self._merge_files(picked)
+
+    def _merge_files(self, picked: picker.Pick) -> None:
         m, sources = self._manifest, [*picked.inputs, *picked.overlaps]
         drop = picked.drop_deletions or not picked.below
         kept = merge.compact(self._read(sources, m.deletions), self.pk, None, drop_deletions=drop)
@@ -516,12 +627,13 @@ class KeyedTable:
         after = m.apply(add=files, remove=gone, base_seq=max(base_seq, m.base_seq))
         # what is marked in the files that went is not marked in the new ones
         if not after.pending and len({f.level for f in after.base}) <= 1:
-            after = replace(after, superseded=(), superseded_seq=self.read_seq())
+            after = replace(after, superseded=(), superseded_rows=0, superseded_seq=self.read_seq())
         elif picked.level == 0:
             after = replace(after, superseded_seq=min(m.superseded_seq, after.base_seq))
         else:
-            after = replace(after, superseded=(), superseded_seq=0)
+            after = replace(after, superseded=(), superseded_rows=0, superseded_seq=0)
         self._publish(after)
+        self.metrics.observe("merge_bytes", sum(f.bytes for f in sources))
         self._count("compactions")
         self._count("bytes_read_by_merges", sum(f.bytes for f in sources))
         self._count("bytes_written", sum(f.bytes for f in files))
@@ -562,9 +674,10 @@ class KeyedTable:
         if marked is not None and files:
             at = self._read(files, positions=True).join(marked, "seq", "left_semi").select("file_path", "row_index")
             deletions = (*deletions, *self._write_positions(at, "deletions"))
-        after = m.apply(add=files, remove=[f.path for f in gone], low_water=mark, deletions=deletions)
+        rows = self._marked(deletions).count() if marked is not None else 0
+        after = m.apply(add=files, remove=[f.path for f in gone], low_water=mark, deletions=deletions, deleted_rows=rows)
         if mark > m.base_seq:  # the new files have pending rows in them
-            after = replace(after, superseded=(), superseded_seq=0)
+            after = replace(after, superseded=(), superseded_rows=0, superseded_seq=0)
         self._publish(after)
         return len(gone)
 
@@ -628,8 +741,9 @@ class KeyedTable:
             raise InvalidArgumentError("a position is in no file of the snapshot")
         names = self._write_positions(merge.union_positions(self._marked(m.deletions), own), "deletions")
         # a base merged from now on lacks rows that the feed still has to know
-        self._publish(m.apply(deletions=names, properties=m.properties | {"marked": "true"}))
-        return self._marked(names).count()
+        n = self._marked(names).count()
+        self._publish(m.apply(deletions=names, deleted_rows=n, properties=m.properties | {"marked": "true"}))
+        return n
 
     def _write_positions(self, positions: DataFrame, kind: str) -> tuple[str, ...]:
         folder = f"{kind}/{uuid.uuid4().hex}"
