@@ -82,6 +82,8 @@ class Options:
 
 #: A batch of so many rows that the driver has is written by the driver.
 SMALL_BATCH = 20_000
+#: So many files are told apart by comparing their names, more by their paths.
+MAX_CASES = 64
 #: Lists of more files than this, and more marks, a number each, are joined by shuffle.
 MAX_BROADCAST_FILES, MAX_BROADCAST_MARKS = 100_000, 2_000_000
 #: Merges that one call of compact() makes at most.
@@ -156,10 +158,22 @@ def _below_root(path: Column) -> Column:
     return F.substring_index(path, "/", -3)
 
 
-def _placed(files: DataFrame) -> DataFrame:
-    """Rows read from stored files, with the file below the root and the row's number in it."""
-    found = merge.with_positions(files)
-    return found.withColumn("file_path", _below_root(F.col("file_path")))
+def _by_file(files: Sequence[DataFile], value: Callable[[DataFile], Any], other: Column) -> Column:
+    """A value of the file that a row was read from: compared by name where there are few files, else ``other``."""
+    found, name = other, F.col("_metadata.file_name")
+    for f in files if len(files) <= MAX_CASES else []:
+        found = F.when(name == f.path.rpartition("/")[2], F.lit(value(f))).otherwise(found)
+    return found
+
+
+def _positions(files: Sequence[DataFile]) -> list[Column]:
+    """The file below the root, and the row's number in it, of rows read from stored files."""
+    path = _by_file(files, lambda f: f.path, _below_root(F.col("_metadata.file_path")))
+    return [path.alias("file_path"), F.col("_metadata.row_index").alias("row_index")]
+
+
+def _placed(rows: DataFrame, files: Sequence[DataFile]) -> DataFrame:
+    return rows.select("*", *_positions(files))
 
 
 class KeyedTable:
@@ -435,15 +449,19 @@ class KeyedTable:
         for schema_id in sorted({f.schema_id for f in files}):
             own, then = [f for f in files if f.schema_id == schema_id], self._manifest.schema_of(schema_id)
             part = self._spark.read.schema(then.log_struct()).parquet(*[self._store.url(f.path) for f in own])
-            if marks or positions:
-                part = _placed(part)
+            if marks and len(own) <= MAX_CASES:
+                first = _by_file(own, lambda f: f.first_row_id, F.lit(None).cast("long"))
+                part = part.select("*", *(_positions(own) if positions else []), (first + F.col("_metadata.row_index")).alias("row_id"))
+            elif marks or positions:
+                part = _placed(part, own)
+                part = self._with_row_id(part, own) if marks else part
             if marks:
                 # by one number instead of path and place, which is quick to look up
                 m = self._manifest
                 n = m.superseded_rows if tuple(marks) == m.superseded else m.deleted_rows
                 gone = self._with_row_id(self._marked(marks), own).select("row_id")
                 gone = F.broadcast(gone) if 0 <= n <= MAX_BROADCAST_MARKS else gone
-                part = self._with_row_id(part, own).join(gone, "row_id", "left_anti")
+                part = part.join(gone, "row_id", "left_anti")
             part = pad(part, current, initial=True, keep=at)
             found = part if found is None else found.unionByName(part)
         return empty if found is None else found
@@ -770,7 +788,7 @@ class KeyedTable:
         struct = T.StructType([f for f in self.schema.log_struct() if f.name in ("seq", "op", *self.pk)])
         if not files:
             return self._spark.createDataFrame([], struct.add("file_path", "string").add("row_index", "long"))
-        return _placed(self._spark.read.schema(struct).parquet(*[self._store.url(f.path) for f in files]))
+        return _placed(self._spark.read.schema(struct).parquet(*[self._store.url(f.path) for f in files]), files)
 
     def refresh(self) -> None:
         """Go on from the newest snapshot; its files must all be there."""
