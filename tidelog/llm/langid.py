@@ -38,6 +38,9 @@ ORDER = 3
 #: Costs that a worker remembers, over all languages; beyond it the memory starts anew.
 MEMORY = 8_000_000
 
+#: An odd number that spreads grams over slots.
+_SPREAD = np.uint32(0x9E3779B1)
+
 _letter = regex.compile(r"\p{L}").search
 _PAD = np.full(ORDER, ord("\n"), np.uint8)
 
@@ -105,6 +108,22 @@ class Coder:
 
     def _forget(self) -> None:
         self.gram, self.cost = np.empty(0, np.uint32), np.empty((0, len(self.languages)), np.float32)
+        self._slot, self._shift = np.zeros(1, np.int32), np.uint32(31)
+
+    def _lay_out(self) -> None:
+        """One place of each hash value, for look-ups without a search; a gram that lost its slot is searched for."""
+        bits = max(4, (4 * len(self.gram)).bit_length())
+        self._slot, self._shift = np.zeros(1 << bits, np.int32), np.uint32(32 - bits)
+        self._slot[self.gram * _SPREAD >> self._shift] = np.arange(len(self.gram), dtype=np.int32)
+
+    def _places(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each gram in the memory, which is not empty, and whether it is there."""
+        at = self._slot[gram * _SPREAD >> self._shift]
+        known = self.gram[at] == gram
+        other = np.flatnonzero(~known)
+        if len(other):
+            at[other], known[other] = _find(self.gram, gram[other])
+        return at, known
 
     def costs(self, gram: np.ndarray) -> np.ndarray:
         """The cost of the last byte of each gram (rows) under each language."""
@@ -132,7 +151,7 @@ class Coder:
     def _rows(self, gram: np.ndarray) -> np.ndarray:
         """Places in the memory of the costs of these grams, which are worked out if they are new."""
         if len(self.gram):
-            at, known = _find(self.gram, gram)
+            at, known = self._places(gram)
             if known.all():
                 return at
             new = np.unique(gram[~known])
@@ -144,7 +163,8 @@ class Coder:
         to = np.searchsorted(self.gram, new)
         self.cost = np.insert(self.cost, to, self.costs(new), axis=0)
         self.gram = np.insert(self.gram, to, new)
-        return np.searchsorted(self.gram, gram)
+        self._lay_out()
+        return self._places(gram)[0]
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text (rows, none empty) under each language."""
