@@ -689,3 +689,24 @@ def test_rows_written_by_the_driver_are_as_by_spark(spark, tmp_path, monkeypatch
             stats = files[0].column_stats
             assert (stats["i"]["min"], stats["b"]["max"], stats["o"]["max"], stats["f"]["max"], stats["t"]["min"]) == ("-5", "7A", "true", "NaN", "")
     assert found[0] == found[1]
+
+
+def test_long_lists_of_files_and_marks_are_joined(spark, tmp_path, monkeypatch):
+    """Beyond the bounds nothing is compared name by name or broadcast, and all is the same."""
+    from tidelog.sources import table as module
+
+    found = []
+    for bound in (None, 0):
+        if bound == 0:
+            for name in ("MAX_CASES", "MAX_BROADCAST_FILES", "MAX_BROADCAST_MARKS"):
+                monkeypatch.setattr(module, name, 0)
+        t = KeyedTable.open(spark, f"{tmp_path}/t{bound}", SCHEMA, QUIET)
+        for k in range(3):
+            t.apply_batch([("put", {"id": i, "v": k}) if (i + k) % 4 else ("delete", (i,)) for i in range(30)])
+            n = t.flush()
+        marked = rows(t.scan())
+        t.mark_deleted(t._placed_keys(t.snapshot().log).where("id % 5 = 0"))
+        gone = rows(t.scan())
+        t.expire(60)
+        found.append((n, marked, gone, rows(t.scan()), rows(t.scan(as_of=60)), feed(t, 60), t.compact(), rows(t.scan())))
+    assert found[0] == found[1] and found[0][2] == found[0][3] and len(found[0][1]) > len(found[0][2]) > 5
