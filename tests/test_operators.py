@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.errors import BelowRetentionError
 from tidelog.operators import feed, merge, overlay, picker, resolve
@@ -143,3 +144,21 @@ def test_cursor(spark):
         sizes.append(len(page))
     assert seen == list(range(1, 251)) and set(sizes[:-1]) == {7} and cursor.since_seq == 250
     assert cursor.next_batch(7) == [] and cursor.buffered_len() == 0 and cursor.next_batch(0) == []
+
+
+def test_cursor_scans_do_not_grow_with_pages(spark):
+    written, scans = [5000], []
+
+    def changes(since):
+        scans.append(since)
+        ops = spark.range(1, written[0] + 1).select(F.col("id").alias("seq"), F.lit(1).alias("op"), (F.col("id") % 90).alias("id"))
+        return feed.change_feed(ops, ["id"], since=since)
+
+    cursor, pages = feed.Cursor(changes), []
+    while page := cursor.next_batch(7):
+        pages.append([r["seq"] for r in page])
+    assert sum(pages, []) == list(range(1, 5001))
+    assert {len(p) for p in pages[:-1]} == {7}
+    assert scans == [0, 1024, 5000]  # the first pages, the rest, the head
+    written[0] = 5003
+    assert [r["seq"] for r in cursor.next_batch(7)] == [5001, 5002, 5003] and cursor.since_seq == 5003

@@ -12,9 +12,10 @@ those.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -115,11 +116,17 @@ def labels_only(ops: DataFrame, since: int = 0, until: int | None = None) -> Dat
 
 
 class Cursor:
-    """Reads a feed page by page, in order of ``seq``, and remembers where it is."""
+    """Reads a feed page by page, in order of ``seq``, and remembers where it is.
+
+    The first pages come from a scan that keeps only them.  For a reader that
+    goes on, the rest is sorted once and handed over a partition at a time, so
+    the number of scans does not grow with the number of pages.  What is written
+    meanwhile is found by a new scan at the end of the last.
+    """
 
     def __init__(self, feed, since: int = 0):
         """``feed`` makes the feed after a seq: ``feed(since) -> DataFrame``."""
-        self._feed, self._since, self._held = feed, since, []
+        self._feed, self._since, self._held, self._rest = feed, since, [], None
 
     @property
     def since_seq(self) -> int:
@@ -128,12 +135,24 @@ class Cursor:
     def buffered_len(self) -> int:
         return len(self._held)
 
+    def _after(self, since: int, first: int) -> Iterator[Row]:
+        found = self._feed(since).orderBy("seq").limit(first).collect()
+        yield from found
+        if len(found) == first:
+            yield from self._feed(found[-1]["seq"]).orderBy("seq").toLocalIterator(prefetchPartitions=True)
+
     def next_batch(self, max_rows: int) -> list:
         """Up to ``max_rows`` rows after the last returned; none at the head of the feed."""
         if max_rows < 1:
             return []
-        if not self._held:  # one scan fills several pages
-            self._held = self._feed(self._since).orderBy("seq").limit(max(4 * max_rows, 1024)).collect()
+        want = max(4 * max_rows, 1024)  # one fetch fills several pages
+        if not self._held and self._rest is None:
+            self._rest = self._after(self._since, want)
+        if len(self._held) < max_rows and self._rest is not None:
+            more = list(islice(self._rest, want))
+            self._held += more
+            if len(more) < want:
+                self._rest = None
         page, self._held = self._held[:max_rows], self._held[max_rows:]
         if page:
             self._since = page[-1]["seq"]

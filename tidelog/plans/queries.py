@@ -219,13 +219,22 @@ def cursor_page(spark, sf_dir):
     FROM feed WHERE seq > {at(95)}"""
 )
 def cursor_pages(spark, sf_dir):
-    """All pages up to the head.  A cursor hands its rows to the caller, page by page."""
-    changes = feed.change_feed(log(spark, sf_dir), PK)
-    cursor, found, page = feed.Cursor(lambda since: changes.where(feed.in_window(since, None)), upto(spark, sf_dir, 95)), [], 0
+    """All pages up to the head.  A cursor hands its rows to the caller, page by page, who writes them out in parts."""
+    ops, head, to = log(spark, sf_dir), upto(spark, sf_dir, 100), scratch(spark, "pages")
+    cursor = feed.Cursor(lambda since: feed.change_feed(ops, PK, since, head), upto(spark, sf_dir, 95))
+    schema, found, page = "seq long, op string, pk long, page long, since long", [], 0
+
+    def write_out() -> None:
+        spark.createDataFrame(found, schema).write.mode("append").parquet(to)
+        found.clear()
+
     while rows := cursor.next_batch(300):
         found += [(r.seq, r.op, r.pk, page, r.seq) for r in rows]
         page += cursor.since_seq == rows[-1].seq
-    return spark.createDataFrame(found, "seq long, op string, pk long, page long, since long")
+        if len(found) >= 100_000:
+            write_out()
+    write_out()
+    return spark.read.schema(schema).parquet(to)
 
 
 @query(f"WITH {LOG} SELECT seq, op, pk FROM ops WHERE seq > {at(80)}")
