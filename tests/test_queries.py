@@ -25,6 +25,13 @@ def test_bounds_on_seq_reach_the_scan(spark, sf_dir, tmp_path):
     assert "GreaterThan(seq,900)" in plan and "LessThanOrEqual(seq,900)" in plan
 
 
+def test_bounds_of_batches_reach_the_scan(spark, sf_dir):
+    from tidelog.plans.queries import batches
+
+    plan = batches(spark, sf_dir, 4)[1]._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(event_id,250)" in plan and "LessThan(event_id,500)" in plan
+
+
 def test_range_bounds_reach_the_scan(spark, sf_dir):
     plan = QUERIES["range_scan"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(user_id,3)" in plan and "LessThan(user_id,90)" in plan

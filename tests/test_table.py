@@ -710,3 +710,44 @@ def test_long_lists_of_files_and_marks_are_joined(spark, tmp_path, monkeypatch):
         t.expire(60)
         found.append((n, marked, gone, rows(t.scan()), rows(t.scan(as_of=60)), feed(t, 60), t.compact(), rows(t.scan())))
     assert found[0] == found[1] and found[0][2] == found[0][3] and len(found[0][1]) > len(found[0][2]) > 5
+
+
+def test_flush_reads_no_older_marks(spark, tmp_path, monkeypatch):
+    t, read = KeyedTable.open(spark, f"{tmp_path}/t", SCHEMA, QUIET), []
+    marked = t._marked
+    monkeypatch.setattr(t, "_marked", lambda names: read.extend(names) or marked(names))
+    for k in range(3):
+        t.put_batch([{"id": i, "v": k} for i in range(10 * k, 40)])
+        before = set(t.snapshot().superseded)
+        assert t.flush() == (0, 30, 20)[k]
+        assert not before & set(read)
+        read.clear()
+    found = [tuple(r) for r in t.marked_positions().collect()]
+    assert len(found) == len(set(found)) and set(found) == {tuple(r) for r in t.superseded_positions().collect()}
+
+
+def test_flush_marks_every_replaced_row_once(spark, tmp_path):
+    """After every flush just the newest row of each key is without a mark, whatever was merged since the last."""
+    how = Options(compact_after=0, l0_trigger=1, level_bytes=(1 << 20, 1 << 30), max_merge_bytes=1, target_file_bytes=1_000)
+    t, r, seen = KeyedTable.open(spark, f"{tmp_path}/t", SCHEMA, how), random.Random(5), set()
+    for step in ("wwf", "wmf", "wwmmmf", "wcf", "wwf"):
+        for do in step:
+            if do == "w":
+                t.apply_batch([("put", {"id": i, "v": 0}) if r.random() < 0.8 else ("delete", (i,)) for i in r.sample(range(60), 25)])
+            elif do == "m":
+                t.merge()
+            elif do == "c":
+                t.compact()
+        m = t.snapshot()
+        seen.add((bool(m.superseded_seq), m.base_seq <= m.marked_seq))
+        t.flush()
+        m = t.snapshot()
+        rows = t._placed_keys([*m.base, *m.pending]).collect()
+        newest = {}
+        for x in rows:
+            newest[x.id] = max(newest.get(x.id, 0), x.seq)
+        marks = [tuple(x) for x in t.marked_positions().collect()]
+        assert len(marks) == len(set(marks)) == m.superseded_rows
+        left = [x for x in rows if (x.file_path, x.row_index) not in set(marks)]
+        assert sorted((x.id, x.seq) for x in left) == sorted(newest.items())
+    assert {(True, True), (True, False)} <= seen  # short ways and the general one

@@ -73,8 +73,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+def log(spark: SparkSession, sf_dir: str, since: int | None = None, until: int | None = None) -> DataFrame:
+    """The log, or its part ``(since, until]``; a bound on ``event_id + 1`` would not reach the scan."""
+    events = table(spark, sf_dir, "events")
+    if since is not None:
+        events = events.where((F.col("event_id") >= since) & (F.col("event_id") < until))
+    return events.select(
         (F.col("event_id") + 1).alias("seq"),
         F.when(F.col("event_type") == "error", 0).otherwise(1).alias("op"),
         F.col("user_id").alias("pk"),
@@ -572,8 +576,9 @@ def stored_table(spark: SparkSession, sf_dir: str) -> KeyedTable:
 
 def batches(spark: SparkSession, sf_dir: str, n: int) -> list[DataFrame]:
     """The log in ``n`` parts of about equal size."""
-    ops, ends = log(spark, sf_dir), [upto(spark, sf_dir, 100 * k // n) for k in range(n + 1)]
-    return [ops.where(feed.in_window(a, b)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    head = upto(spark, sf_dir, 100)
+    ends = [head * (100 * k // n) // 100 for k in range(n + 1)]
+    return [log(spark, sf_dir, a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 @query(f"WITH {LOG}, {RANKED} SELECT pk, event_type, value FROM r WHERE rn = 1 AND op = 1")

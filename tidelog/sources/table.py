@@ -86,6 +86,8 @@ SMALL_BATCH = 20_000
 MAX_CASES = 64
 #: Lists of more files than this, and more marks, a number each, are joined by shuffle.
 MAX_BROADCAST_FILES, MAX_BROADCAST_MARKS = 100_000, 2_000_000
+#: A position as one number has the row's in so many bits, and the file's above them.
+_ROW_BITS = 40
 #: Merges that one call of compact() makes at most.
 MAX_MERGES = 128
 
@@ -586,25 +588,64 @@ class KeyedTable:
     def _mark_replaced(self) -> int:
         m, upto = self._manifest, self.read_seq()
         new = [f for f in m.log if f.seq_max > m.superseded_seq]
+        old = m.superseded if m.superseded_seq else ()
+        stored = [*m.base, *m.pending]
         if m.superseded_seq and new:
             low, high = (bytes.fromhex(x) for x in (min(f.key_min for f in new), max(f.key_max for f in new)))
-            rows = self._placed_keys([*m.near(m.base, low, high), *m.near(m.pending, low, high)])
+            stored = [*m.near(m.base, low, high), *m.near(m.pending, low, high)]
+        if not m.superseded_seq:
+            found = self._replaced(stored, 0, upto)
+        elif m.base_seq <= m.marked_seq and not m.deletions:
+            found = self._replaced(stored, m.marked_row_id, m.marked_seq)
+        else:
+            rows = self._placed_keys(stored)
             newest = resolve.newest(self._placed_keys(new).where(F.col("seq") > m.superseded_seq), self.pk)
             newest = newest.select(F.col("seq").alias("_n_seq"), *[F.col(k).alias(f"_n_{k}") for k in self.pk])
             older = resolve.same_key(rows, newest, self.pk, "_n_{}") & (rows["seq"] < newest["_n_seq"])
             found = rows.join(newest, older, "left_semi").select("file_path", "row_index")
-        else:
-            found = merge.replaced(self._placed_keys([*m.base, *m.pending]), self.pk)
-        old = m.superseded if m.superseded_seq else ()
-        if old:
-            found = merge.without_positions(found, self._marked(old))
+            if old:
+                found = merge.without_positions(found, self._marked(old))
         names = self._write_positions(found, "superseded")
         n = self._marked(names).count() if names else 0
         before = m.superseded_rows if old else 0
-        self._publish(m.apply(superseded=(*old, *names) if n else old, superseded_seq=upto, superseded_rows=before + n))
+        self._publish(
+            m.apply(
+                superseded=(*old, *names) if n else old, superseded_seq=upto, superseded_rows=before + n,
+                marked_seq=upto, marked_row_id=m.next_row_id,
+            )
+        )
         self._count("rows_marked", n)
         return n
 
+    def _replaced(self, files: Sequence[DataFile], row_id: int, marked_seq: int) -> DataFrame:
+        """(file_path, row_index) of the rows of ``files`` that are not the newest of their key and have no mark yet.
+
+        Files whose row ids are below ``row_id`` were there at the last flush,
+        which saw all operations up to ``marked_seq``; of a key's rows in them
+        only the newest can be without a mark, and it is if no row that was
+        merged since is newer.  So old rows are only aggregated, by a number for
+        each position: neither they nor their marks are shuffled.
+        """
+        files = sorted(files, key=lambda f: (f.first_row_id or 0) >= row_id)
+        before = sum((f.first_row_id or 0) < row_id for f in files)
+        fresh, row = F.col("_at") >= F.lit(before << _ROW_BITS), F.lit((1 << _ROW_BITS) - 1)
+        rows, by = self._numbered_keys(files), self.pk
+        seq, last = F.col("seq"), lambda which, c: F.max_by(c, F.when(which, F.col("seq")))
+        top = rows.groupBy(*resolve.key_columns(rows, by)).agg(
+            last(fresh, F.col("_at")).alias("_fresh"), last(~fresh, F.col("_at")).alias("_old"),
+            F.max(F.when(fresh, seq)).alias("_fresh_seq"), F.max(F.when(~fresh, seq)).alias("_old_seq"),
+            F.max(F.when(fresh & (seq <= marked_seq), seq)).alias("_merged_seq"),
+        )
+        known = F.coalesce(F.col("_old_seq"), F.lit(0))
+        stays = F.when(F.col("_fresh_seq") > known, F.col("_fresh"))
+        goes = F.when((F.col("_fresh_seq") > known) & (known > F.coalesce(F.col("_merged_seq"), F.lit(0))), F.col("_old"))
+        told = top.select(F.inline(F.array(F.struct(stays.alias("_at"), F.lit(1).alias("_stays")), F.struct(goes.alias("_at"), F.lit(0).alias("_stays")))))
+        told = told.where("_at is not null").union(self._numbered_keys(files[before:], before).select("_at", F.lit(0)))
+        found = told.groupBy("_at").agg(F.max("_stays").alias("_stays")).where("_stays = 0")
+        paths = self._spark.createDataFrame([(i, f.path) for i, f in enumerate(files)], "_file int, file_path string")
+        found = found.select(F.shiftright("_at", _ROW_BITS).cast("int").alias("_file"), F.col("_at").bitwiseAND(row).alias("row_index"))
+        return found.join(F.broadcast(paths), "_file").select("file_path", "row_index")
+
     def merge(self) -> bool:
         """The merge that the levels need most, if any is over its limit; whether there was one."""
         self._writable()
@@ -645,7 +686,8 @@ class KeyedTable:
         after = m.apply(add=files, remove=gone, base_seq=max(base_seq, m.base_seq))
         # what is marked in the files that went is not marked in the new ones
         if not after.pending and len({f.level for f in after.base}) <= 1:
-            after = replace(after, superseded=(), superseded_rows=0, superseded_seq=self.read_seq())
+            seq = self.read_seq()
+            after = replace(after, superseded=(), superseded_rows=0, superseded_seq=seq, marked_seq=seq, marked_row_id=after.next_row_id)
         elif picked.level == 0:
             after = replace(after, superseded_seq=min(m.superseded_seq, after.base_seq))
         else:
@@ -790,6 +832,20 @@ class KeyedTable:
             return self._spark.createDataFrame([], struct.add("file_path", "string").add("row_index", "long"))
         return _placed(self._spark.read.schema(struct).parquet(*[self._store.url(f.path) for f in files]), files)
 
+    def _numbered_keys(self, files: Sequence[DataFile], first: int = 0) -> DataFrame:
+        """seq, the key, and ``_at``, a number for the position of every row: the file's place in ``files`` and the row's number in it."""
+        struct = T.StructType([f for f in self.schema.log_struct() if f.name in ("seq", *self.pk)])
+        if not files:
+            return self._spark.createDataFrame([], struct.add("_at", "long"))
+        names, path = [f.path.rpartition("/")[2] for f in files], F.col("_metadata.file_name")
+        if len(set(names)) < len(files):
+            names, path = [f.path for f in files], _below_root(F.col("_metadata.file_path"))
+        numbers = [(n, i << _ROW_BITS) for i, n in enumerate(names, first)]
+        numbers = F.broadcast(self._spark.createDataFrame(numbers, "_name string, _first long"))
+        rows = self._spark.read.schema(struct).parquet(*[self._store.url(f.path) for f in files])
+        rows = rows.select("*", path.alias("_name"), F.col("_metadata.row_index").alias("_row"))
+        return rows.join(numbers, "_name").select("seq", *self.pk, (F.col("_first") + F.col("_row")).alias("_at"))
+
     def refresh(self) -> None:
         """Go on from the newest snapshot; its files must all be there."""
         found = snapshots.load(self._store)
